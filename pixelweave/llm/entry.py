@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, exact_dedup, mixing, pii, secrets
+from . import audio, exact_dedup, mixing, near_dedup, pieces, pii, quality, secrets
 from .common import documents
 
 
@@ -15,10 +15,21 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(documents(spark, sf_dir)), ("assign", "access", "hex"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs, model, ["doc_id"])
+    return scored.select("doc.doc_id", "quality_text", "quality_meta", "quality", (F.col("quality") >= 0.5).alias("kept"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(pii.scan_pii(documents(spark, sf_dir)), pii.KINDS)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_documents(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
@@ -33,12 +44,19 @@ def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_features(documents(spark, sf_dir), full=False).drop("segments", "windows", "media")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).drop("text_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_quality": op2_quality,
     "op3_pii": op3_pii,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_mix_sources": op6_mix_sources,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_audio_features": op9_audio_features,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
