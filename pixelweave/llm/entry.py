@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, exact_dedup, mixing, near_dedup, pieces, pii, quality, secrets
+from . import audio, exact_dedup, licences, mixing, near_dedup, pieces, pii, quality, secrets
 from .common import documents
 
 
@@ -35,6 +35,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digest(licences.scan_licences(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select(F.col("doc.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_mix_sources": op6_mix_sources,
+    "op7_licences": op7_licences,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_audio_features": op9_audio_features,
     "op10_near_dedup": op10_near_dedup,
