@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, exact_dedup, licences, mixing, near_dedup, pieces, pii, quality, secrets
+from . import audio, exact_dedup, licences, mixing, near_dedup, pieces, pii, quality, repeats, secrets
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(pii.scan_pii(documents(spark, sf_dir)), pii.KINDS)
 
 
+def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_documents(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
+    "op4_remove_repeats": op4_remove_repeats,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_mix_sources": op6_mix_sources,
     "op7_licences": op7_licences,
