@@ -26,6 +26,11 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def if_few(df: DataFrame, few: int = 500_000) -> DataFrame:
+    """``df`` marked for broadcast if a count shows at most ``few`` (short) rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(few + 1).count() <= few else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

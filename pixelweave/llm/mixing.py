@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import if_few, stored
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -152,17 +152,12 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, text: str =
     sized = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     sized = sized.withColumn("unit", unit_key("source", "doc_id", "size")).withColumn("source_key", source_key("source"))
     targets = source_targets(sized, weights, most).withColumn("source_key", source_key("source")).drop("source")
-    near = sized.join(F.broadcast(targets) if targets_are_few(targets) else targets, "source_key")
+    near = sized.join(if_few(targets, 100_000), "source_key")
     p = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = near.groupBy("unit", "source_key", "size").agg(F.first(p).alias("p")).withColumn("h", F.xxhash64("unit"))
     return near.join(dependent_copies(units, seed), "unit").select("unit", "doc_id", "source", "size", "source_size", "target", "copies")
 
 
-def targets_are_few(targets: DataFrame, limit: int = 100_000) -> bool:
-    """Whether the sources fit a broadcast; checked by a count, as their number grows with the corpus."""
-    return targets.limit(limit + 1).count() <= limit
-
-
 def source_key(source: str):
     return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
 
@@ -179,4 +174,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     keyed = row.select("__row", F.col("__row")[s].alias("source"), F.col("__row")[i].alias("doc_id"), F.coalesce(F.regexp_count(F.col("__row")[t], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     keyed = keyed.select("__row", unit_key("source", "doc_id", "size").alias("unit"))
     copies = mix_sources(docs, **options).groupBy("unit").agg(F.first("copies").alias("copies")).where("copies > 0")
-    return keyed.join(copies, "unit").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
+    return keyed.join(if_few(stored(copies, "copies")), "unit").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import if_few, stored
 from .wordhash import mix, shingles, slices, words
 
 BANDS, ROWS = 24, 4
@@ -100,10 +100,15 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("b")).mapInArrow(run, "doc_id long, text_id binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", few: int = 500_000) -> DataFrame:
+def text_ids(body):
+    """The text_id of a text column, as ``sketches`` makes it."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(body, F.lit("")), 256)), 1, 16)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
     """text_id and shingles (32-bit hashes of shingle and copy number, so that sets stand for multisets) of the texts in ``wanted``.
 
-    ``wanted`` (text_id) is broadcast if a count shows at most ``few`` ids of 16 bytes; else both sides are shuffled.
+    ``wanted`` (text_id) is broadcast if a count shows that its ids are few; else both sides are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +122,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", few: in
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], ["text_id", "shingles"])
 
     ids = wanted.select("text_id").distinct()
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(F.substring(F.unhex(F.sha2(body, 256)), 1, 16).alias("text_id"), body.cast("binary").alias("b"))
-    small = ids.limit(few + 1).count() <= few
-    found = keyed.join(F.broadcast(ids) if small else ids, "text_id", "left_semi")
+    keyed = docs.select(text_ids(F.col(text)).alias("text_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("b"))
+    found = keyed.join(if_few(ids), "text_id", "left_semi")
     return found.select("text_id", "b").mapInArrow(run, "text_id binary, shingles array<int>").groupBy("text_id").agg(F.first("shingles").alias("shingles"))
 
 
@@ -189,12 +192,27 @@ def linked_classes(distinct: DataFrame, docs: DataFrame, text: str = "text", sim
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """doc_id, text_id, class_id (least doc id of the class), class_size, kept: one row per row of ``docs``.
 
-    ``kept`` holds for the rows of the least id in a class: one, if ids are unique.
+    ``kept`` holds for the rows of the least (id, text_id) in a class, null ids
+    last: one row, unless rows are equal in both.
     """
     rows = stored(sketches(docs, text, doc_id), "sketches")
     # The copies of a text sketch alike; a hot text is one row a task after partial aggregation.
     distinct = rows.groupBy("text_id").agg(F.first("bands").alias("bands"))
     labels = linked_classes(distinct, docs, text, similar)
     labelled = rows.select("doc_id", "text_id").join(labels.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
-    classes = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return labelled.join(classes, "label").select("doc_id", "text_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_id")
+    classes = labelled.groupBy("label").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_id") == F.col("first.text_id"))
+    return labelled.join(classes, "label").select("doc_id", "text_id", F.col("first.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
+    """The rows of ``docs``, with their columns, that stay: one of each class."""
+    found = stored(near_duplicates(docs, text, doc_id, similar).select("doc_id", "text_id", "kept"), "near")
+    gone = found.where("not kept").select(F.col("doc_id").alias("g_id"), F.col("text_id").alias("g_text")).distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    keyed = packed.withColumn("g_text_id", text_ids(F.col("__row")[text])).withColumn("g_doc_id", F.col("__row")[doc_id].cast("long"))
+    stay = keyed.join(if_few(gone), F.col("g_doc_id").eqNullSafe(F.col("g_id")) & (F.col("g_text_id") == F.col("g_text")), "left_anti")
+    if not found.where("kept").groupBy("doc_id", "text_id").count().where("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["g_doc_id", "g_text_id"])
+    return stay.select("__row.*")

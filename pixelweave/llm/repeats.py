@@ -36,12 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import if_few, stored
 from .wordhash import mix
 
 LENGTH, GRAM, FAN = 400, 58, 7
 SPAN = LENGTH - GRAM + 1  # offsets of an anchor in its window: FAN ** 3
-FEW = 500_000
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -139,11 +138,6 @@ def _next_round(width: int):
     return run
 
 
-def _if_few(df: DataFrame, few: int = FEW) -> DataFrame:
-    """``df`` marked for broadcast if a count shows that it is small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(few + 1).count() <= few else df
-
-
 def settle(nodes: DataFrame) -> DataFrame:
     """Nodes of shared intervals with ``settled``: whether another node agrees on all of its windows, and ``open``.
 
@@ -164,17 +158,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     long = keyed.where(F.length("t") >= LENGTH)
     rows = stored(long.select("k1", "k2", "t").mapInArrow(_first_round, "k1 long, k2 long, p int, low int, high int, gram long, hull long"), "anchors")
     twice = rows.groupBy("gram").count().where("count > 1").select("gram")
-    nodes = rows.join(_if_few(stored(twice, "grams")), "gram", "left_semi").withColumn("a0", F.lit(0)).withColumn("core", F.col("gram"))
+    nodes = rows.join(if_few(stored(twice, "grams")), "gram", "left_semi").withColumn("a0", F.lit(0)).withColumn("core", F.col("gram"))
     now = stored(settle(nodes), "settled")
     touched = now.select("k1", "k2").distinct()
-    texts = stored(long.join(_if_few(touched), ["k1", "k2"], "left_semi").select("k1", "k2", "t"), "touched")
+    texts = stored(long.join(if_few(touched), ["k1", "k2"], "left_semi").select("k1", "k2", "t"), "touched")
     done = now.where("settled").select("k1", "k2", "p", "low", "high")
     width = SPAN
     while width > 1:
         width //= FAN
         # Copies of a row give the same nodes; the set keeps one list for both, and each row below makes its own nodes.
         still = now.where("open").groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "low", "high", "gram")).alias("open"))
-        below = texts.join(_if_few(stored(still, "open")), ["k1", "k2"]).select("k1", "k2", "t", "open").mapInArrow(_next_round(width), NODE)
+        below = texts.join(if_few(stored(still, "open")), ["k1", "k2"]).select("k1", "k2", "t", "open").mapInArrow(_next_round(width), NODE)
         now = stored(settle(stored(below, "nodes")), "settled")
         done = done.unionByName(now.where("settled").select("k1", "k2", "p", "low", "high"))
     spans = done.groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("p") - F.col("high")).alias("start"), (F.col("p") - F.col("low") + LENGTH).alias("end"))).alias("spans"))
@@ -192,7 +186,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             removed, runs, digests = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], ["k1", "k2", "n_removed", "n_spans", "kept"])
 
-    cuts = texts.join(_if_few(stored(spans, "spans")), ["k1", "k2"]).select("k1", "k2", "t", "spans").mapInArrow(cut, "k1 long, k2 long, n_removed long, n_spans long, kept string").dropDuplicates(["k1", "k2"])
+    cuts = texts.join(if_few(stored(spans, "spans")), ["k1", "k2"]).select("k1", "k2", "t", "spans").mapInArrow(cut, "k1 long, k2 long, n_removed long, n_spans long, kept string").dropDuplicates(["k1", "k2"])
     whole = keyed.select("doc_id", "k1", "k2", F.length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("all"))
-    joined = whole.join(_if_few(stored(cuts, "cuts")), ["k1", "k2"], "left")
+    joined = whole.join(if_few(stored(cuts, "cuts")), ["k1", "k2"], "left")
     return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "all").alias("kept_sha256"))
