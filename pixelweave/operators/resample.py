@@ -55,10 +55,10 @@ def resize_area(px: DataFrame, height: int, width: int, to_height: int, to_width
         low, high = F.floor(F.col(c) * to / n).cast("int"), F.ceil((F.col(c) + 1) * to / n).cast("int") - 1
         return F.transform(F.sequence(low, high), lambda t: F.struct(t.alias("t"), (F.least((F.col(c) + 1) / n, (t + 1) / to) - F.greatest(F.col(c) / n, t / to)).alias("w")))
 
-    rows = px.select("*", F.explode(spans("y", height, to_height)).alias("a")).select("*", F.explode(spans("x", width, to_width)).alias("b"))
-    w = F.col("a.w") * F.col("b.w") * (to_height * to_width)
+    rows = px.select("*", F.explode(spans("y", height, to_height)).alias("down")).select("*", F.explode(spans("x", width, to_width)).alias("across"))
+    w = F.col("down.w") * F.col("across.w") * (to_height * to_width)
     mean = lambda c: F.floor(F.sum(w * (F.col(c) - 255)) + 255 + 0.5).cast("int").alias(c)
-    return rows.groupBy("slide", F.col("a.t").alias("y"), F.col("b.t").alias("x")).agg(*[mean(c) for c in channels])
+    return rows.groupBy("slide", F.col("down.t").alias("y"), F.col("across.t").alias("x")).agg(*[mean(c) for c in channels])
 
 
 def limit_dim(px: DataFrame, height: int, width: int, most: int = 2048) -> tuple[DataFrame, int, int]:
