@@ -47,12 +47,12 @@ def rounded(e: str) -> str:
 # --- sources -----------------------------------------------------------------
 
 
-@on_pix("a3_expand_levels", f"SELECT slide, CAST(vy * 2 ** i AS BIGINT) AS vy, CAST(vx * 2 ** i AS BIGINT) AS vx, CAST(i AS INT) AS level, CAST(h // 2 ** i AS INT) AS height, CAST(w // 2 ** i AS INT) AS width FROM (SELECT slide, 77000 + max(y) AS h, 25000 + max(x) AS w, 250 AS vy, 250 AS vx FROM pix GROUP BY 1), range(5) t(i)")
+@on_pix("a3_expand_levels", f"SELECT slide, CAST(vy * 2 ** i AS BIGINT) AS vy, CAST(vx * 2 ** i AS BIGINT) AS vx, CAST(i AS INT) AS level, CAST(floor(h / 2 ** i) AS INT) AS height, CAST(floor(w / 2 ** i) AS INT) AS width FROM (SELECT slide, 77000 + max(y) AS h, 25000 + max(x) AS w, 250 AS vy, 250 AS vx FROM pix GROUP BY 1), range(5) t(i)")
 def _(px):
     return A.expand_levels(px.groupBy("slide").agg((F.max("y") + 77000).alias("height"), (F.max("x") + 25000).alias("width"), F.lit(250).cast("long").alias("vy"), F.lit(250).cast("long").alias("vx")), 5)
 
 
-@on_pix("a4_level_repair_plan", f"SELECT slide, level, height, width, CASE WHEN slide + level = 5 THEN 'create' WHEN (slide * level) % 3 = 1 THEN 'regenerate' ELSE 'keep' END AS action FROM (SELECT slide, CAST(i AS INT) AS level, CAST({S} // 2 ** i AS INT) AS height, CAST({S} // 2 ** i AS INT) AS width FROM (SELECT DISTINCT slide FROM pix), range(5) t(i))")
+@on_pix("a4_level_repair_plan", f"SELECT slide, level, height, width, CASE WHEN slide + level = 5 THEN 'create' WHEN (slide * level) % 3 = 1 THEN 'regenerate' ELSE 'keep' END AS action FROM (SELECT slide, CAST(i AS INT) AS level, CAST(floor({S} / 2 ** i) AS INT) AS height, CAST(floor({S} / 2 ** i) AS INT) AS width FROM (SELECT DISTINCT slide FROM pix), range(5) t(i))")
 def _(px):
     start = px.select("slide").distinct().select("slide", F.lit(S).alias("height"), F.lit(S).alias("width"), F.lit(1).alias("vy"), F.lit(1).alias("vx"))
     expected = A.expand_levels(start, 5)
@@ -76,7 +76,7 @@ def _(px):
 NAMES = [("foreground", 3), ("fill", 3), ("eroded", 3), ("cortex", 3), ("cap", 2), ("tubule", 2), ("vessel", 2), ("nuclei", 1), ("tbm", 1), ("bc", 1)]
 
 
-@on_pix("a7_create_layers", f"SELECT slide, layer, level, CAST({S} // 2 ** level AS INT) AS height, CAST({S} // 2 ** level AS INT) AS width FROM (SELECT DISTINCT slide FROM pix), (VALUES {', '.join(f"('{n}', {k})" for n, k in NAMES)}) t(layer, level)")
+@on_pix("a7_create_layers", f"SELECT slide, layer, level, CAST(floor({S} / 2 ** level) AS INT) AS height, CAST(floor({S} / 2 ** level) AS INT) AS width FROM (SELECT DISTINCT slide FROM pix), (VALUES {', '.join(f"('{n}', {k})" for n, k in NAMES)}) t(layer, level)")
 def _(px):
     start = px.select("slide").distinct().select("slide", F.lit(S).alias("height"), F.lit(S).alias("width"), F.lit(1).alias("vy"), F.lit(1).alias("vx"))
     return A.create_layers(A.expand_levels(start, 5), NAMES)
