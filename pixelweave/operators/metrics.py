@@ -77,9 +77,9 @@ def grade(c: Column) -> Column:
 def score_by_grade(scores: DataFrame) -> DataFrame:
     """Box statistics of the score per grade, in grade order with null last: quartiles, whiskers at 1.5 IQR, outliers."""
     rows = scores.select(F.col("fib_score").try_cast("double").alias("score"), grade(F.col("pathologist_score")).alias("grade")).where("score is not null")
-    q = rows.groupBy("grade").agg(F.count(F.lit(1)).alias("n"), F.percentile("score", F.lit(0.25)).alias("q1"), F.percentile("score", F.lit(0.5)).alias("median"), F.percentile("score", F.lit(0.75)).alias("q3"))
+    q = rows.groupBy(F.col("grade").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.percentile("score", F.lit(0.25)).alias("q1"), F.percentile("score", F.lit(0.5)).alias("median"), F.percentile("score", F.lit(0.75)).alias("q3"))
     # Four grades and null: a broadcast of five rows.
-    each = rows.join(F.broadcast(q), rows["grade"].eqNullSafe(q["grade"])).select(q["grade"], "n", "q1", "median", "q3", "score")
+    each = rows.join(F.broadcast(q), F.col("grade").eqNullSafe(F.col("of"))).select("grade", "n", "q1", "median", "q3", "score")
     inside = F.col("score").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     return each.groupBy("grade", "n", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("score"))).alias("low"), F.max(F.when(inside, F.col("score"))).alias("high"), F.count_if(~inside).alias("outliers"))
 
