@@ -12,10 +12,10 @@ band are candidates, and multiset overlap of the whole shingle sets decides. At
 similarity 0.8 a pair misses all bands with probability 3e-6.
 
 Equal texts are one node, whatever their number. Within a bucket each text is
-first compared with one hub only. Weighted Jaccard distance is a metric, so two
-texts whose distances to the hub differ by more than 0.2 can't be linked, and
-texts already in one class need no further link: what is left after ``STARS``
-rounds of new hubs is compared pair by pair. No bucket is dropped or cut.
+first compared with one hub, for ``STARS`` rounds of hubs of other classes. What
+is then left in buckets of several classes is compared pair by pair where the
+bucket is small (``FEW`` texts), and by exact prefix filtering where it is not: no
+bucket is dropped or cut, and no link of a shared band is lost.
 
 Null counts as the empty text. Texts of fewer than five words are one shingle;
 texts of no word have no near-duplicates but equal ones.
@@ -36,7 +36,7 @@ from .wordhash import mix, shingles, slices, words
 
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
-SIMILAR, SHINGLE, STARS = 0.8, 5, 2
+SIMILAR, SHINGLE, STARS, FEW = 0.8, 5, 2, 12
 
 
 def weights_of(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,39 +150,48 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def prefix_pairs(texts: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (text_id, label) of different labels that may be similar: all that are, and few others.
+
+    With shingles in order of frequency, rarest first, two texts of similarity
+    t share one of their first n - ceil(t * n) + 1 shingles. Shingles that one
+    text alone holds come first and link nothing, so texts that share but a
+    frequent passage never meet.
+    """
+    tokens = texts.join(sets, "text_id").select("text_id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    own = Window.partitionBy("text_id")
+    ranked = tokens.join(shared, "token").withColumns({"rank": F.row_number().over(own.orderBy("texts", "token")), "held": F.count(F.lit(1)).over(own)})
+    prefix = stored(ranked.where(F.col("n") - F.col("held") + F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1).select("token", "text_id", "label", "n"), "prefix")
+    other = prefix.select("token", F.col("text_id").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    fits = (F.col("n") * similar <= F.col("n_b") + 1e-9) & (F.col("n_b") * similar <= F.col("n") + 1e-9)
+    return prefix.join(other, "token").where((F.col("text_id") < F.col("b")) & (F.col("label") != F.col("label_b")) & fits).select(F.col("text_id").alias("a"), "b").distinct()
+
+
 def linked_classes(distinct: DataFrame, docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """(node, label) of the texts that have a near-duplicate, from ``distinct`` (text_id, bands) and the texts in ``docs``."""
     bucket = Window.partitionBy("key")
     members = distinct.select("text_id", F.explode("bands").alias("key")).withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1")
     members = stored(members.select("key", "text_id"), "buckets")
     sets = stored(shingle_sets(docs, members, text), "sets")
-    links, labels = None, None
+    links, labels, now = None, None, members.withColumn("label", F.col("text_id"))
     for star in range(STARS + 1):
-        if labels is None:
-            now = members.withColumn("label", F.col("text_id")).withColumn("to_hub", F.lit(None).cast("double"))
-        else:
-            now = members.join(labels.select(F.col("node").alias("text_id"), "label"), "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
-            classes = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-            now = now.join(classes, "key")
+        if labels is not None:
+            # Buckets that still hold several classes.
+            labelled = members.join(labels.select(F.col("node").alias("text_id"), "label"), "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
+            open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("key", "n")
+            now = stored(labelled.join(open_, "key"), "open")
         if star < STARS:
-            # The hub of round one is the least text, of the next the greatest: another class wherever classes differ most.
+            # The hub of round one is of the least class, of the next of the greatest.
             pick = F.min if star % 2 == 0 else F.max
             hubs = now.groupBy("key").agg(pick(F.struct("label", "text_id")).alias("hub"))
-            pairs = now.join(hubs, "key").where(F.col("text_id") != F.col("hub.text_id")).select(F.col("hub.text_id").alias("a"), F.col("text_id").alias("b"))
-            if labels is not None:
-                pairs = now.join(hubs, "key").where(F.col("label") != F.col("hub.label")).select(F.col("hub.text_id").alias("a"), F.col("text_id").alias("b"))
-            compared = stored(overlap(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets), "compared")
-            measured = compared if star == 0 else measured.unionByName(compared)
-            last_hubs = hubs.select("key", F.col("hub.text_id").alias("hub"))
+            pairs = now.join(hubs, "key").where(F.col("label") != F.col("hub.label")).select(F.least("text_id", "hub.text_id").alias("a"), F.greatest("text_id", "hub.text_id").alias("b")).distinct()
         else:
-            # The rest, pair by pair where the distances to the last hub allow a link.
-            to_hub = now.join(last_hubs, "key").withColumn("a", F.least("text_id", "hub")).withColumn("b", F.greatest("text_id", "hub")).join(measured.dropDuplicates(["a", "b"]), ["a", "b"], "left")
-            rest = stored(to_hub.select("key", "text_id", "label", F.when(F.col("text_id") == F.col("hub"), F.lit(1.0)).otherwise(F.col("similarity")).alias("s")), "rest")
-            other = rest.select("key", F.col("text_id").alias("b"), F.col("label").alias("label_b"), F.col("s").alias("t"))
-            may = F.col("s").isNull() | F.col("t").isNull() | (F.abs(F.col("s") - F.col("t")) <= 1 - similar + 1e-9)
-            known = measured.select("a", "b").distinct()
-            pairs = rest.join(other, "key").where((F.col("text_id") < F.col("b")) & (F.col("label") != F.col("label_b")) & may).select(F.col("text_id").alias("a"), "b").distinct().join(known, ["a", "b"], "left_anti")
-            compared = stored(overlap(pairs, sets), "compared")
+            few = now.where(F.col("n") <= FEW).select("key", "text_id", "label")
+            other = few.select("key", F.col("text_id").alias("b"), F.col("label").alias("label_b"))
+            close = few.join(other, "key").where((F.col("text_id") < F.col("b")) & (F.col("label") != F.col("label_b"))).select(F.col("text_id").alias("a"), "b")
+            pairs = close.union(prefix_pairs(now.where(F.col("n") > FEW).select("text_id", "label").distinct(), sets, similar)).distinct()
+        compared = stored(overlap(pairs, sets), "compared")
         fresh = compared.where(F.col("similarity") >= similar).select("a", "b")
         links = fresh if links is None else links.unionByName(fresh)
         labels = components(links)
