@@ -168,7 +168,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         width //= FAN
         # Copies of a row give the same nodes; the set keeps one list for both, and each row below makes its own nodes.
         still = now.where("open").groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "low", "high", "gram")).alias("open"))
-        below = texts.join(if_few(stored(still, "open")), ["k1", "k2"]).select("k1", "k2", "t", "open").mapInArrow(_next_round(width), NODE)
+        below = texts.join(still, ["k1", "k2"]).select("k1", "k2", "t", "open").mapInArrow(_next_round(width), NODE)
         now = stored(settle(stored(below, "nodes")), "settled")
         done = done.unionByName(now.where("settled").select("k1", "k2", "p", "low", "high"))
     spans = done.groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("p") - F.col("high")).alias("start"), (F.col("p") - F.col("low") + LENGTH).alias("end"))).alias("spans"))
@@ -186,7 +186,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             removed, runs, digests = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], ["k1", "k2", "n_removed", "n_spans", "kept"])
 
-    cuts = texts.join(if_few(stored(spans, "spans")), ["k1", "k2"]).select("k1", "k2", "t", "spans").mapInArrow(cut, "k1 long, k2 long, n_removed long, n_spans long, kept string").dropDuplicates(["k1", "k2"])
+    cuts = texts.join(spans, ["k1", "k2"]).select("k1", "k2", "t", "spans").mapInArrow(cut, "k1 long, k2 long, n_removed long, n_spans long, kept string").dropDuplicates(["k1", "k2"])
     whole = keyed.select("doc_id", "k1", "k2", F.length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("all"))
     joined = whole.join(if_few(stored(cuts, "cuts")), ["k1", "k2"], "left")
     return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "all").alias("kept_sha256"))
