@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE, RUN, HOT = "▁", 48, 500_000
+SPACE, RUN, HOT = "▁", 48, 150_000
 #: One unit: spaces with a run of letters, digits or other characters.
 UNIT = re.compile(rf"[ {SPACE}]{{0,16}}(?:[^\W\d_²]{{1,{RUN}}}|\d{{1,{RUN}}}|(?:[^\w {SPACE}]|[_²]){{1,{RUN}}})|[ {SPACE}]{{1,16}}")
-UNIT_GROUPS = 40_000
+UNIT_GROUPS = 10_000
 
 
 @dataclass
@@ -74,7 +74,7 @@ def units_of(text: str) -> list[str]:
     return UNIT.findall(" " + text) if text else []
 
 
-def distinct_units(docs: DataFrame, text: str = "text", most: int = 200_000) -> DataFrame:
+def distinct_units(docs: DataFrame, text: str = "text", most: int = 60_000) -> DataFrame:
     """(unit, n) with spaces escaped; tasks add up what they have seen before the shuffle, at most ``most`` units at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,13 +102,22 @@ def viterbi(edges: Column, length: Column) -> Column:
     node = "struct<score:double,start:int,id:int>"
     start = F.struct(F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id"))).cast(f"array<{node}>").alias("nodes"), F.lit(0).alias("end"), F.lit(None).cast(node).alias("best"))
 
+    def let(value: Column, use) -> Column:
+        """``use(value)`` with the value computed once."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
     def step(acc: Column, e: Column) -> Column:
-        new = e["end"] != acc["end"]
-        nodes = F.when(new & acc["best"].isNotNull(), F.array_append(acc["nodes"], acc["best"])).otherwise(acc["nodes"])
-        score = F.get(F.when(new & acc["best"].isNotNull(), F.array_append(acc["nodes"], acc["best"])).otherwise(acc["nodes"]), e["start"])["score"] + e["score"]
-        mine = F.struct(score.alias("score"), e["start"].alias("start"), e["id"].alias("id"))
-        best = F.when(new | acc["best"].isNull() | (score > acc["best"]["score"]), mine).otherwise(acc["best"])
-        return F.struct(nodes.alias("nodes"), e["end"].alias("end"), best.alias("best"))
+        same = e["end"] == acc["end"]
+
+        def chosen(nodes: Column) -> Column:
+            def better(score: Column) -> Column:
+                keep = same & (score <= acc["best"]["score"])
+                best = F.when(keep, acc["best"]).otherwise(F.struct(score.alias("score"), e["start"].alias("start"), e["id"].alias("id")))
+                return F.struct(nodes.alias("nodes"), e["end"].alias("end"), best.alias("best"))
+
+            return let(F.get(nodes, e["start"])["score"] + e["score"], better)
+
+        return let(F.when(same | acc["best"].isNull(), acc["nodes"]).otherwise(F.array_append(acc["nodes"], acc["best"])), chosen)
 
     nodes = F.aggregate(edges, start, step, lambda acc: F.array_append(acc["nodes"], acc["best"]))
 
@@ -172,7 +181,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: T
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts of common units come out encoded; others with their text, packed, and the units that are still wanted."""
         common = _cached(shared, known)
-        for batch in batches:
+        for batch in _few_rows(batches):
             done, packed, sizes, wanted = [], [], [], []
             for t in batch.column(1):
                 body = t.as_py()
@@ -194,7 +203,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: T
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = _cached(shared, known)
-        for batch in batches:
+        for batch in _few_rows(batches):
             done = []
             for packed, size, rare in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
                 own = {x["unit"]: np.array(x["ids"], np.uint32).tobytes() for x in rare.as_py()}
@@ -206,6 +215,13 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: T
     return half.where(F.col("wanted").isNull()).select("doc_id", "text_sha256", "ids").unionByName(filled)
 
 
+def _few_rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what a task holds at a time is a few texts and their ids."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 _cache: dict = {}
 
 
@@ -242,7 +258,7 @@ def decode(encoded: DataFrame, table: Table | None = None, ids: str = "ids") ->
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few_rows(batches):
             texts = []
             for x in batch.column(at):
                 if not x.is_valid:
