@@ -12,10 +12,13 @@ band are candidates, and multiset overlap of the whole shingle sets decides. At
 similarity 0.8 a pair misses all bands with probability 3e-6.
 
 Equal texts are one node, whatever their number. Within a bucket each text is
-first compared with one hub, for ``STARS`` rounds of hubs of other classes. What
-is then left in buckets of several classes is compared pair by pair where the
-bucket is small (``FEW`` texts), and by exact prefix filtering where it is not: no
-bucket is dropped or cut, and no link of a shared band is lost.
+first compared with one hub, for ``STARS`` rounds of hubs of other classes. In
+buckets that then still hold several classes, texts of different classes meet in
+the first bucket they share, and a pair goes on to the full comparison unless
+its sizes or its bitmaps rule similarity out: bit i of a bitmap is the parity of
+the shingles hashed to i, so bitmaps differ in at most as many bits as the sets
+differ in shingles. No bucket is dropped or cut, and no link of a shared band is
+lost.
 
 Null counts as the empty text. Texts of fewer than five words are one shingle;
 texts of no word have no near-duplicates but equal ones.
@@ -36,7 +39,7 @@ from .wordhash import mix, shingles, slices, words
 
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
-SIMILAR, SHINGLE, STARS, FEW = 0.8, 5, 2, 12
+SIMILAR, SHINGLE, STARS, BITS = 0.8, 5, 2, 512
 
 
 def weights_of(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,8 +108,14 @@ def text_ids(body):
     return F.substring(F.unhex(F.sha2(F.coalesce(body, F.lit("")), 256)), 1, 16)
 
 
+def parities(texts: int, text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """``BITS`` parities of each text's shingles in longs, texts x BITS / 64."""
+    odd = np.bincount(text * BITS + h.astype(np.int64) % BITS, minlength=texts * BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).reshape(texts, BITS // 64)
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """text_id and shingles (32-bit hashes of shingle and copy number, so that sets stand for multisets) of the texts in ``wanted``.
+    """text_id, shingles (32-bit hashes of shingle and copy number, so that sets stand for multisets) and their ``parities`` of the texts in ``wanted``.
 
     ``wanted`` (text_id) is broadcast if a count shows that its ids are few; else both sides are shuffled.
     """
@@ -116,15 +125,16 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> Data
             for a, b, texts in slices(batch.column(1)):
                 owner, h = shingles(words(texts), SHINGLE)
                 distinct_text, distinct_hash, weight, nth = weights_of(owner, h)
-                each = (mix(np.repeat(distinct_hash, weight) + nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                sizes = np.bincount(np.repeat(distinct_text, weight), minlength=len(texts))[: len(texts)]
-                sets = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), each)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], ["text_id", "shingles"])
+                each, of = (mix(np.repeat(distinct_hash, weight) + nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32), np.repeat(distinct_text, weight)
+                sizes = np.bincount(of, minlength=len(texts))[: len(texts)]
+                sets = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), each.view(np.int32))
+                bits = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * (BITS // 64), parities(len(texts), of, each).ravel())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets, bits], ["text_id", "shingles", "bits"])
 
     ids = wanted.select("text_id").distinct()
     keyed = docs.select(text_ids(F.col(text)).alias("text_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("b"))
     found = keyed.join(if_few(ids), "text_id", "left_semi")
-    return found.select("text_id", "b").mapInArrow(run, "text_id binary, shingles array<int>").groupBy("text_id").agg(F.first("shingles").alias("shingles"))
+    return found.select("text_id", "b").mapInArrow(run, "text_id binary, shingles array<int>, bits array<long>").groupBy("text_id").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
 
 
 def overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -150,22 +160,21 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def prefix_pairs(texts: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Pairs (a, b) of ``texts`` (text_id, label) of different labels that may be similar: all that are, and few others.
+def possible_pairs(now: DataFrame, distinct: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b) of different labels that share a bucket of ``now`` (key, text_id, label) and may be similar, each once.
 
-    With shingles in order of frequency, rarest first, two texts of similarity
-    t share one of their first n - ceil(t * n) + 1 shingles. Shingles that one
-    text alone holds come first and link nothing, so texts that share but a
-    frequent passage never meet.
+    Sets of n and m shingles are similar only if they differ in at most
+    (n + m) * (1 - t) / (1 + t) shingles, and so their bitmaps in no more bits.
     """
-    tokens = texts.join(sets, "text_id").select("text_id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    own = Window.partitionBy("text_id")
-    ranked = tokens.join(shared, "token").withColumns({"rank": F.row_number().over(own.orderBy("texts", "token")), "held": F.count(F.lit(1)).over(own)})
-    prefix = stored(ranked.where(F.col("n") - F.col("held") + F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1).select("token", "text_id", "label", "n"), "prefix")
-    other = prefix.select("token", F.col("text_id").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
-    fits = (F.col("n") * similar <= F.col("n_b") + 1e-9) & (F.col("n_b") * similar <= F.col("n") + 1e-9)
-    return prefix.join(other, "token").where((F.col("text_id") < F.col("b")) & (F.col("label") != F.col("label_b")) & fits).select(F.col("text_id").alias("a"), "b").distinct()
+    longs = [f"bits{i}" for i in range(BITS // 64)]
+    facts = sets.select("text_id", F.size("shingles").alias("n"), *[F.col("bits")[i].alias(c) for i, c in enumerate(longs)]).join(distinct.select("text_id", "bands"), "text_id")
+    left = now.select("key", "text_id", "label").join(facts, "text_id")
+    right = left.select("key", *[F.col(c).alias(f"{c}_b") for c in left.columns if c != "key"])
+    n, m = F.col("n"), F.col("n_b")
+    differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in longs)
+    may = (n * similar <= m + 1e-9) & (m * similar <= n + 1e-9) & (differ <= (n + m) * ((1 - similar) / (1 + similar)) + 1e-6)
+    once = F.get(F.array_intersect("bands", "bands_b"), F.lit(0)) == F.col("key")
+    return left.join(right, "key").where((F.col("text_id") < F.col("text_id_b")) & (F.col("label") != F.col("label_b")) & may & once).select(F.col("text_id").alias("a"), F.col("text_id_b").alias("b"))
 
 
 def linked_classes(distinct: DataFrame, docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -179,7 +188,7 @@ def linked_classes(distinct: DataFrame, docs: DataFrame, text: str = "text", sim
         if labels is not None:
             # Buckets that still hold several classes.
             labelled = members.join(labels.select(F.col("node").alias("text_id"), "label"), "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
-            open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("key", "n")
+            open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
             now = stored(labelled.join(open_, "key"), "open")
         if star < STARS:
             # The hub of round one is of the least class, of the next of the greatest.
@@ -187,10 +196,7 @@ def linked_classes(distinct: DataFrame, docs: DataFrame, text: str = "text", sim
             hubs = now.groupBy("key").agg(pick(F.struct("label", "text_id")).alias("hub"))
             pairs = now.join(hubs, "key").where(F.col("label") != F.col("hub.label")).select(F.least("text_id", "hub.text_id").alias("a"), F.greatest("text_id", "hub.text_id").alias("b")).distinct()
         else:
-            few = now.where(F.col("n") <= FEW).select("key", "text_id", "label")
-            other = few.select("key", F.col("text_id").alias("b"), F.col("label").alias("label_b"))
-            close = few.join(other, "key").where((F.col("text_id") < F.col("b")) & (F.col("label") != F.col("label_b"))).select(F.col("text_id").alias("a"), "b")
-            pairs = close.union(prefix_pairs(now.where(F.col("n") > FEW).select("text_id", "label").distinct(), sets, similar)).distinct()
+            pairs = possible_pairs(now, distinct, sets, similar)
         compared = stored(overlap(pairs, sets), "compared")
         fresh = compared.where(F.col("similarity") >= similar).select("a", "b")
         links = fresh if links is None else links.unionByName(fresh)
@@ -206,7 +212,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     rows = stored(sketches(docs, text, doc_id), "sketches")
     # The copies of a text sketch alike; a hot text is one row a task after partial aggregation.
-    distinct = rows.groupBy("text_id").agg(F.first("bands").alias("bands"))
+    distinct = stored(rows.groupBy("text_id").agg(F.first("bands").alias("bands")), "distinct")
     labels = linked_classes(distinct, docs, text, similar)
     labelled = rows.select("doc_id", "text_id").join(labels.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_id")
