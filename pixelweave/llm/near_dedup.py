@@ -137,6 +137,15 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> Data
     return found.select("text_id", "b").mapInArrow(run, "text_id binary, shingles array<int>, bits array<long>").groupBy("text_id").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) of the components once ``links`` (a, b) are added. Links between the same two classes count once, so a large class isn't walked again."""
+    a, b = (labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")) for end in "ab")
+    classes = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    roots = components(classes.where("a != b").distinct())
+    old = labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return stored(old.unionByName(roots.join(labels, "node", "left_anti")), "labels")
+
+
 def overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with ``similarity``, the weighted Jaccard similarity of their shingles."""
     left = sets.select(F.col("text_id").alias("a"), F.col("shingles").alias("x"))
@@ -183,7 +192,7 @@ def linked_classes(distinct: DataFrame, docs: DataFrame, text: str = "text", sim
     members = distinct.select("text_id", F.explode("bands").alias("key")).withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1")
     members = stored(members.select("key", "text_id"), "buckets")
     sets = stored(shingle_sets(docs, members, text), "sets")
-    links, labels, now = None, None, members.withColumn("label", F.col("text_id"))
+    labels, now = None, members.withColumn("label", F.col("text_id"))
     for star in range(STARS + 1):
         if labels is not None:
             # Buckets that still hold several classes.
@@ -199,8 +208,7 @@ def linked_classes(distinct: DataFrame, docs: DataFrame, text: str = "text", sim
             pairs = possible_pairs(now, distinct, sets, similar)
         compared = stored(overlap(pairs, sets), "compared")
         fresh = compared.where(F.col("similarity") >= similar).select("a", "b")
-        links = fresh if links is None else links.unionByName(fresh)
-        labels = components(links)
+        labels = components(fresh) if labels is None else merged(labels, fresh)
     return labels
 
 
