@@ -233,6 +233,19 @@ def test_licences_of_written_notices(spark, licence_model):
     assert licences.scan_licences(table(spark, texts).limit(0), model=licence_model).count() == 0
 
 
+def test_licences_of_wrapped_notices(spark, licence_model):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction."
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    apache = "# Licensed under the Apache\n# License, Version 2.0 (the License);\n# you may not use this file except in\n# compliance with the License."
+    texts = [mit, f"/*\n * Copyright someone\n *\n{bsd}\n */\nint x;", apache, "\n".join("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files".split()), f"{apache}\n\n{mit}\n", "released under\n\nthe mit license"]
+    texts += ["licensed under the\nMIT license", "Released under the MIT License.\nReleased under the BSD License."]
+    found = licences.scan_licences(table(spark, texts, "row near line gram"), model=licence_model)
+    got = {r.doc_id: r for r in licences.digest(found).collect()}
+    assert [got[i].families for i in range(8)] == ["mit", "bsd", "apache-2.0", "mit", "apache-2.0,mit", "", "mit", "bsd,mit"]
+    assert got[0].paragraphs == "mit:0" and got[1].paragraphs == "bsd:3" and got[6].paragraphs == "mit:0" and got[7].paragraphs == "mit:0,bsd:1"
+    assert all(r.n_predicted >= r.n_confirmed for r in got.values())
+
+
 def test_licences_of_whole_table(spark, licence_model):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = {r.doc_id: r.families for r in licences.digest(licences.scan_licences(docs, model=licence_model)).collect()}
