@@ -2,9 +2,11 @@
 
 A text is escaped as the model asks (a space in front, spaces as U+2581) and
 falls into units: leading spaces with one run of letters, of digits, or of
-other characters. No piece of the table crosses a unit's edge (checked when the
-model is read), so the best segmentation of a text is that of its units. Runs
-are cut every ``RUN`` characters, which bounds the lattice of one unit.
+other characters, whatever their length. No piece of the table crosses a unit's
+edge (checked when the model is read), so the best segmentation of a text is that
+of its units. Units above ``LONG`` characters (a sentence of Chinese, base 64) are
+not put in the lattice relation: the task that encodes a text folds them where
+they stand, with the nodes of the last ``longest`` places, by the same rule.
 
 1. distinct units of the corpus with their counts;
 2. each unit's substrings of bounded length, equi-joined to the piece table
@@ -38,9 +40,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE, RUN, HOT = "▁", 48, 150_000
+SPACE, LONG, HOT = "▁", 64, 150_000
 #: One unit: spaces with a run of letters, digits or other characters.
-UNIT = re.compile(rf"[ {SPACE}]{{0,16}}(?:[^\W\d_²]{{1,{RUN}}}|\d{{1,{RUN}}}|(?:[^\w {SPACE}]|[_²]){{1,{RUN}}})|[ {SPACE}]{{1,16}}")
+UNIT = re.compile(rf"[ {SPACE}]*+(?:[^\W\d_²]++|\d++|(?:[^\w {SPACE}]|[_²])++)|[ {SPACE}]++")
 UNIT_GROUPS = 10_000
 
 
@@ -74,8 +76,30 @@ def units_of(text: str) -> list[str]:
     return UNIT.findall(" " + text) if text else []
 
 
+def best_ids(unit: str, known: dict[str, tuple[int, float]], longest: int, unknown: float, bytes0: int) -> np.ndarray:
+    """Ids of the best path of a unit of any length, spaces plain; of equal scores the earliest start wins, as in ``viterbi``."""
+    n = len(unit)
+    nodes, start, piece = [0.0] * (n + 1), np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int32)
+    for e in range(1, n + 1):
+        best = None
+        for b in range(max(0, e - longest), e):
+            found = known.get(unit[b:e])
+            if found is None and b < e - 1:
+                continue
+            i, score = found or (-1, unknown)
+            if best is None or nodes[b] + score > best:
+                best, start[e], piece[e] = nodes[b] + score, b, i
+        nodes[e] = best
+    out, at = [], n
+    while at:
+        b = int(start[at])
+        out.append([int(piece[at])] if piece[at] >= 0 else [bytes0 + x for x in unit[b:at].replace(" ", SPACE).encode()])
+        at = b
+    return np.array([i for x in reversed(out) for i in x], np.int32)
+
+
 def distinct_units(docs: DataFrame, text: str = "text", most: int = 60_000) -> DataFrame:
-    """(unit, n) with spaces escaped; tasks add up what they have seen before the shuffle, at most ``most`` units at a time."""
+    """(unit, n) of at most ``LONG`` characters, with spaces escaped; tasks add up what they have seen before the shuffle, at most ``most`` units at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -87,7 +111,7 @@ def distinct_units(docs: DataFrame, text: str = "text", most: int = 60_000) -> D
 
         for batch in batches:
             for t in batch.column(0):
-                seen.update(units_of(t.as_py() or ""))
+                seen.update(u for u in units_of(t.as_py() or "") if len(u) <= LONG)
                 if len(seen) > most:
                     yield out()
                     seen.clear()
@@ -171,29 +195,30 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: T
     ids = common["ids"].combine_chunks()
     shared = spark.sparkContext.broadcast((common["unit"].to_pylist(), np.diff(ids.offsets.to_numpy()), ids.values.to_numpy().astype(np.uint32)))
     del common, ids
+    pieces = spark.sparkContext.broadcast([(p.replace(SPACE, " "), i, score) for p, i, score in table.pieces])
+    rest = (table.longest, table.unknown, table.bytes0)
 
-    def known() -> dict[str, bytes]:
+    def known() -> tuple[dict[str, bytes], dict[str, tuple[int, float]]]:
         units, sizes, values = shared.value
         ends = np.cumsum(sizes) * 4
         body = values.tobytes()
-        return {u: body[a:b] for u, a, b in zip(units, (ends - sizes * 4).tolist(), ends.tolist(), strict=True)}
+        return {u: body[a:b] for u, a, b in zip(units, (ends - sizes * 4).tolist(), ends.tolist(), strict=True)}, {p: (i, score) for p, i, score in pieces.value}
+
+    def joined(found: list[str], common: dict, own: dict, table_: dict) -> np.ndarray:
+        return np.frombuffer(b"".join([best_ids(u, table_, *rest).tobytes() if len(u) > LONG else common[u] if u in common else own[u] for u in found]), np.int32)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts of common units come out encoded; others with their text, packed, and the units that are still wanted."""
-        common = _cached(shared, known)
+        common, table_ = _cached(shared, known)
         for batch in _few_rows(batches):
             done, packed, sizes, wanted = [], [], [], []
             for t in batch.column(1):
                 body = t.as_py()
                 found = units_of(body)
-                try:
-                    done.append(np.frombuffer(b"".join([common[u] for u in found]), np.int32))
-                    packed.append(None)
-                    wanted.append(None)
-                except KeyError:
-                    done.append(None)
-                    packed.append(pa.compress(body.encode(), "zstd", asbytes=True))
-                    wanted.append(list({u for u in found if u not in common}))
+                lacking = {u for u in found if len(u) <= LONG and u not in common}
+                done.append(None if lacking else joined(found, common, {}, table_))
+                packed.append(pa.compress(body.encode(), "zstd", asbytes=True) if lacking else None)
+                wanted.append(list(lacking) if lacking else None)
                 sizes.append(len(body.encode()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(done, pa.list_(pa.int32())), pa.array(packed, pa.binary()), pa.array(sizes, pa.int64()), pa.array(wanted, pa.list_(pa.string()))], ["doc_id", "text_sha256", "ids", "packed", "size", "wanted"])
 
@@ -202,13 +227,13 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: T
     rare = half.where(F.col("wanted").isNotNull()).select("row", F.explode("wanted").alias("unit")).join(encoded.select("unit", "ids"), "unit").groupBy("row").agg(F.collect_list(F.struct("unit", "ids")).alias("rare"))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = _cached(shared, known)
+        common, table_ = _cached(shared, known)
         for batch in _few_rows(batches):
             done = []
             for packed, size, rare in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
                 own = {x["unit"]: np.array(x["ids"], np.uint32).tobytes() for x in rare.as_py()}
                 body = pa.decompress(packed.as_py(), size.as_py(), "zstd", asbytes=True).decode()
-                done.append(np.frombuffer(b"".join([common[u] if u in common else own[u] for u in units_of(body)]), np.int32))
+                done.append(joined(units_of(body), common, own, table_))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.list_(pa.int32()))], ["doc_id", "text_sha256", "ids"])
 
     filled = half.where(F.col("wanted").isNotNull()).join(rare, "row").select("doc_id", "text_sha256", "packed", "size", "rare").mapInArrow(second, f"doc_id {kind}, text_sha256 string, ids array<int>")

@@ -172,6 +172,40 @@ def test_encoding_matches_whole_text_viterbi_and_round_trips(spark):
         assert got[i].round_trip and got[i].n_pieces == len(got[i].ids)
 
 
+def test_long_runs_are_encoded_whole(spark):
+    import random
+
+    import sentencepiece
+
+    model, r = pieces.read_model(), random.Random(7)
+    run = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    texts = [run(chars, n) for chars in ("abcdefghijklmnopqrstuvwxyzABCDEFG", "0123456789", "=-_#*", "的一是不了人我在有他这中大来上国") for n in (47, 49, 65, 130, 5000)]
+    texts += ["internationalization" * 9, "a" + " " * 40 + "bcd" + " " * 70, "東京" * 60, " " * 100, "éü𝄞" * 50, "x " + "ab" * 100 + " y"]
+    df = table(spark, texts, "t unit ids packed row rare")
+    score = {i: v for _, i, v in model.pieces}
+    total = lambda ids: sum(score.get(i, 0) for i in ids)
+    for hot in (5, pieces.HOT):
+        got = {x.doc_id: list(x.ids) for x in pieces.encode(df, hot=hot).collect()}
+        for i, t in enumerate(texts):
+            want = brute_encode(model, t)
+            assert got[i] == want or (len([x for x in got[i] if x not in score]) == len([x for x in want if x not in score]) and abs(total(got[i]) - total(want)) < 1e-5), (hot, t[:60])
+    assert all(x.round_trip for x in pieces.encoded_documents(df).collect())
+    # Against the library's unigram encoder, given the same scores.
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(pieces.MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    for i, piece in enumerate(proto.pieces):
+        piece.score = score.get(i, 0.0)
+    library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    for i, t in enumerate(texts):
+        if "𝄞" not in t:
+            ids = library.encode(t)
+            assert ids == got[i] or abs(total(ids) - total(got[i])) < 1e-2, t[:60]
+
+
 def test_rare_units_give_the_same_result(spark):
     df = table(spark, [prose(i, 50) for i in range(20)] + [None, "", "x" * 500, "▁ under"])
     few = {r.doc_id: list(r.ids) for r in pieces.encode(df, hot=5).collect()}
