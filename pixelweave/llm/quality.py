@@ -6,9 +6,11 @@ regression, calibrated on held-out labels. Over ``ROUNDS`` rounds each view
 labels the unlabelled documents it is sure of for the other one, and both are
 fitted anew. A last regression over both calibrated log-odds gives the quality.
 
-Fitting uses a bounded sample: at most ``LABELLED`` labelled and ``POOL``
-unlabelled documents, those with the least hashes of their ids, at about 1 kB
-of features each. All documents are scored, on whole texts.
+Fitting uses at most ``LABELLED`` labelled documents, those with the least hashes
+of their ids, one row of each id, at about 1 kB of features each. Pseudo-labels
+are chosen among all unlabelled documents: tasks score them and keep the surest,
+a distributed top-k keeps the surest of all, and only the features of those
+reach the driver. All documents are scored, on whole texts.
 
 Null text, language or source count as empty, null length as 0. Without both
 labels in the sample every document gets quality 1 (or 0 if all labels are 0).
@@ -16,7 +18,7 @@ labels in the sample every document gets quality 1 (or 0 if all labels are 0).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import if_few, stored
 from .wordhash import SPACE, mix, slices, words
 
-LABELLED, POOL = 4000, 4000
+LABELLED = 4000
 ROUNDS, PER_ROUND, SURE = 4, 200, 0.95
 TEXT_BUCKETS, META_BUCKETS = 256, 64
 _CLASS = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 mark, 5 space, 6 beyond ASCII
@@ -124,7 +127,11 @@ class Model:
         return p(a), p(b), p(a * self.both[0] + b * self.both[1] + self.both[2])
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> Model:
+#: Of a view's model and calibration, by view, and how many of each label: the surest unlabelled documents, as key and label by view, and by key both views' features.
+Surest = Callable[[list[np.ndarray], list[tuple[float, float]], int], tuple[list[list[tuple[tuple, int]]], dict[tuple, tuple[np.ndarray, np.ndarray]]]]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Surest, rounds: int = ROUNDS) -> Model:
     if len(y) < 10 or (y == 1).sum() < 2 or (y == 0).sum() < 2:
         zero = np.zeros(1)
         return Model(zero, zero, (1, 0), (1, 0), zero, 0.0 if len(y) and (y == 1).sum() == 0 else 1.0)
@@ -133,59 +140,108 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
         order = np.argsort(y, kind="stable")
         held = np.zeros(len(y), bool)
         held[order[::2]] = True
-    views = [(text, pool_text), (meta, pool_meta)]
-    given: list[dict[int, int]] = [{}, {}]  # to each view: pool row and the label the other view gave it
+    views = [text, meta]
+    given: list[dict[tuple, tuple[np.ndarray, int]]] = [{}, {}]  # to each view: of a document's key, its features and the label the other view gave it
     for round_ in range(rounds + 1):
         models, scales = [], []
-        for (x, pool), labels in zip(views, given, strict=True):
-            rows = np.fromiter(labels, int, len(labels))
-            labelled = np.concatenate([y[~held], np.fromiter(labels.values(), float, len(labels))])
-            weight = _balance(labelled) * np.concatenate([np.ones((~held).sum()), np.full(len(rows), 0.5)])
-            w = logistic(np.concatenate([x[~held], pool[rows]]), labelled, weight)
+        for x, labels in zip(views, given, strict=True):
+            labelled = np.concatenate([y[~held], np.array([label for _, label in labels.values()], float)])
+            weight = _balance(labelled) * np.concatenate([np.ones((~held).sum()), np.full(len(labels), 0.5)])
+            w = logistic(np.concatenate([x[~held], *[f[None] for f, _ in labels.values()]]), labelled, weight)
             models.append(w)
             scales.append(calibrate(odds(x[held], w), y[held]))
         if round_ == rounds:
             break
-        for i, (_, pool) in enumerate(views):
-            if not len(pool):
-                continue
-            p = 1 / (1 + np.exp(-np.clip(odds(pool, models[i]) * scales[i][0] + scales[i][1], -30, 30)))
-            for label, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[: PER_ROUND * (round_ + 1)]
-                for row in best[sure[best] >= SURE].tolist():
-                    given[1 - i].setdefault(row, label)
-    z = np.stack([odds(x[held], w) * s[0] + s[1] for (x, _), w, s in zip(views, models, scales, strict=True)], 1)
+        told, features = surest(models, scales, PER_ROUND * (round_ + 1))
+        for i, best in enumerate(told):
+            for key, label in best:
+                given[1 - i].setdefault(key, (features[key][1 - i], label))
+    z = np.stack([odds(x[held], w) * s[0] + s[1] for x, w, s in zip(views, models, scales, strict=True)], 1)
     both = logistic(z, y[held].astype(float), np.ones(held.sum()), decay=1e-3)
     return Model(models[0], models[1], scales[0], scales[1], both)
 
 
-def _features(docs: DataFrame, more: str) -> DataFrame:
-    """doc_id, ``more`` columns' values, and both views' features; for the bounded sample only."""
+#: What tells documents apart: equal rows of one id are one.
+_KEY = ("doc_id", "h")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text", "lang", "source", "n_chars").alias("h"), F.col("text").cast("binary").alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Of batches whose first columns are those of ``_keyed``: parts, and both views' features."""
+    for batch in batches:
+        for a, b, texts in slices(batch.column(2)):
+            part = batch.slice(a, b - a)
+            yield part, text_features(texts), meta_features(*(part.column(k).to_pylist() for k in (3, 4, 5)))
+
+
+def _features(keyed: DataFrame) -> DataFrame:
+    """doc_id, h, and both views' features; for bounded samples only."""
+    shape = keyed.select("doc_id", "h", F.lit(b"").alias("x_text"), F.lit(b"").alias("x_meta")).schema
+    arrow = to_arrow_schema(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, texts in slices(batch.column(1)):
-                part = batch.slice(a, b - a)
-                meta = meta_features(*(part.column(k).to_pylist() for k in (2, 3, 4)))
-                yield pa.RecordBatch.from_arrays([part.column(5), pa.array([x.tobytes() for x in text_features(texts)], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], ["y", "x_text", "x_meta"])
+        for part, text, meta in _parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), part.column(1), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], schema=arrow)
 
-    return docs.select("doc_id", F.col("text").cast("binary"), "lang", "source", F.col("n_chars").cast("long"), F.col(more).cast("double").alias("y")).mapInArrow(run, "y double, x_text binary, x_meta binary")
+    return keyed.mapInArrow(run, shape)
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Co-train on the bounded sample of ``docs`` and ``labels`` (doc_id, quality)."""
+def _surest(docs: DataFrame, known: DataFrame) -> Surest:
+    """Over all rows of ``docs`` whose id is not in ``known``."""
+    keyed = _keyed(docs)
+    shape = keyed.select("doc_id", "h", F.lit(0).alias("view"), F.lit(0).alias("label"), F.lit(0.0).alias("sure")).schema
+    arrow = to_arrow_schema(shape)
+    ids = if_few(known.select("doc_id"))
+    unlabelled = docs.select("doc_id").join(ids, "doc_id", "left_anti").limit(1).count() > 0
+
+    def surest(models: list[np.ndarray], scales: list[tuple[float, float]], most: int):
+        if not unlabelled:
+            return [[], []], {}
+        shared = docs.sparkSession.sparkContext.broadcast((models, scales))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, text, meta in _parts(batches):
+                for view, (x, w, s) in enumerate(zip((text, meta), *shared.value, strict=True)):
+                    p = 1 / (1 + np.exp(-np.clip(odds(x, w) * s[0] + s[1], -30, 30)))
+                    for label, sure in ((1, p), (0, 1 - p)):
+                        at = np.flatnonzero(sure >= SURE)
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays([part.column(0).take(at).cast(arrow.field(0).type), part.column(1).take(at), pa.array(np.full(len(at), view), pa.int32()), pa.array(np.full(len(at), label), pa.int32()), pa.array(sure[at].astype(float))], schema=arrow)
+
+        # Labelled ids go after scoring, so that only keys are joined, not texts; the features of the chosen are made again.
+        scored = stored(keyed.mapInArrow(run, shape).join(ids, "doc_id", "left_anti").dropDuplicates([*_KEY, "view", "label"]), "sure")
+        told: list[list[tuple[tuple, int]]] = [[], []]
+        for view in (0, 1):
+            for label in (1, 0):
+                rows = scored.where((F.col("view") == view) & (F.col("label") == label)).orderBy(F.desc("sure"), "h", "doc_id").limit(most).select(*_KEY).collect()  # at most PER_ROUND * ROUNDS
+                told[view] += [((r["doc_id"], r["h"]), label) for r in rows]
+        keys = sorted({k for best in told for k, _ in best}, key=str)
+        if not keys:
+            return told, {}
+        wanted = docs.sparkSession.createDataFrame(keys, keyed.select(*_KEY).schema)
+        one = keyed.alias("a").join(F.broadcast(wanted.alias("b")), F.expr("a.doc_id <=> b.doc_id and a.h = b.h"), "left_semi")
+        found = _features(one).dropDuplicates([*_KEY]).collect()  # at most 4 * PER_ROUND * ROUNDS rows
+        return told, {(r["doc_id"], r["h"]): (np.frombuffer(r["x_text"], np.float32), np.frombuffer(r["x_meta"], np.float32)) for r in found}
+
+    return surest
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
+    """Co-train on a bounded sample of ``labels`` (doc_id, quality) and on all unlabelled ``docs``."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = stored(known, "labels")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    rest = docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool)
-    # Both lists are bounded by their limits, so they are broadcast; texts of repeated ids are cut to the same bounds.
-    wanted = chosen.select("doc_id", F.col("quality").cast("double").alias("label")).unionByName(rest.distinct().select("doc_id", F.lit(-1.0).alias("label")))
-    sample = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(wanted), "doc_id")
-    rows = _features(sample, "label").orderBy("y", F.xxhash64("x_text")).limit(2 * (labelled + pool)).toArrow()
+    # Of a repeated id the row of the least hash stands for it; it's found by hashes, so no text is moved. The sample's list is bounded, so it's broadcast.
+    hashes = _keyed(docs).select(*_KEY).join(F.broadcast(chosen.select("doc_id", F.col("quality").cast("double").alias("y"))), "doc_id").groupBy("doc_id").agg(F.min("h").alias("h"), F.first("y").alias("y"))
+    hashes = stored(hashes, "sample")
+    rows = _features(_keyed(docs).join(F.broadcast(hashes.select(*_KEY)), [*_KEY], "left_semi")).dropDuplicates([*_KEY]).join(F.broadcast(hashes), [*_KEY]).orderBy("y", F.xxhash64("x_text"), "doc_id").toArrow()
     y = rows["y"].to_numpy()
     text, meta = (np.stack([np.frombuffer(b.as_py(), np.float32) for b in rows[c]]) if len(y) else np.zeros((0, 1), np.float32) for c in ("x_text", "x_meta"))
-    seen = y >= 0
-    order = np.argsort(mix(np.arange(seen.sum(), dtype=np.uint64)))
-    return co_train(text[seen][order], meta[seen][order], y[seen][order], text[~seen], meta[~seen])
+    order = np.argsort(mix(np.arange(len(y), dtype=np.uint64)))
+    return co_train(text[order], meta[order], y[order], _surest(docs, known))
 
 
 def score(docs: DataFrame, model: Model, keep_columns: list[str], least: float | None = None) -> DataFrame:

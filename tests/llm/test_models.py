@@ -247,6 +247,34 @@ def test_quality_of_odd_rows(spark):
     assert quality.score(nulls, quality.fit(nulls, labels), ["doc_id"]).count() == len(ODD)
 
 
+def test_quality_with_hot_ids(spark):
+    good = [(i, f"good words of prose stand here {prose(i, 40)}", "en", "a", 200) for i in range(60)]
+    bad = [(100 + i, "!!! $$$ 999 " * 9 + prose(i, 3), "xx", "b", 20) for i in range(60)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)], "doc_id long, quality int")
+    copies = spark.range(17_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("!!! $$$ 999 copy "), "id").alias("text"), F.lit("xx").alias("lang"), F.lit("b").alias("source"), F.lit(20).cast("long").alias("n_chars"))
+    # One id of 17000 rows, labelled 0 and then not labelled at all.
+    for hot in (100, 7_000):
+        model = quality.fit(docs.union(copies.withColumn("doc_id", F.lit(hot).cast("long"))), labels)
+        assert model.always is None
+        got = {r.doc_id: r.quality for r in quality.score(docs, model, ["doc_id"]).select("doc.doc_id", "quality").collect()}
+        assert all((got[i] >= 0.5) == (i < 100) for i in got)
+
+
+def test_pseudo_labels_come_from_all_unlabelled_documents(spark):
+    texts = [f"w{i} {prose(i, 5)}" for i in range(6000)] + [None]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    find = quality._surest(docs.withColumn("doc_id", F.when(F.col("doc_id") < 6000, F.col("doc_id"))), labels.select("doc_id"))
+    text, meta = (np.concatenate([x, np.ones((1,))]) for x in (np.zeros(quality.TEXT_BUCKETS + 14), np.zeros(quality.META_BUCKETS + 24)))
+    # All are equally sure of label 1 in the text's view; none is in the other's.
+    told, features = find([text * 9, meta * 0], [(1, 0), (1, 0)], 10_000)
+    assert len(told[0]) == 5981 == len({k for k, _ in told[0]}) and not told[1] and {label for _, label in told[0]} == {1}
+    assert {k[0] for k, _ in told[0]} == {None, *range(20, 6000)} and len(features) == 5981
+    few, _ = find([text * 9, meta * 0], [(1, 0), (1, 0)], 7)
+    assert len(few[0]) == 7
+
+
 # --- licences ----------------------------------------------------------------
 
 
