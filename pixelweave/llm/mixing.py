@@ -13,8 +13,9 @@ source is split over many leaves. What stays open, one document a leaf, goes up
 a tree of fan-in ``FAN`` until one is left for a source.
 
 Null text has size 0. Null sources form one source, the last. Rows equal in
-source, id and size are one unit and take equally many copies. A source of no
-words has target 0.
+source, id and size are one unit, wanted as often as all of them together; its
+copies are whole and handed out evenly, so its rows differ by one copy at most.
+A source of no words has target 0.
 """
 
 from __future__ import annotations
@@ -115,14 +116,14 @@ def _fold(seed: int):
 
 
 _COLUMNS = ["unit", "h", "size", "bin", "block", "source_key", "whole", "fraction"]
-_SCHEMA = "unit string, h long, size long, bin int, block long, source_key string, whole int, fraction double"
+_SCHEMA = "unit string, h long, size long, bin int, block long, source_key string, whole long, fraction double"
 
 
 def dependent_copies(units: DataFrame, seed: int = 0, leaf_rows: int = 4096) -> DataFrame:
     """(unit, copies) from (unit, h, size, source_key, p): copies is whole and has expectation p; each source's sum of copies is kept but for one rounding."""
     binned = units.withColumn("bin", F.floor(F.log2(F.greatest("size", F.lit(1))) * 4).cast("int"))
     blocks = binned.groupBy("source_key", "bin").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).alias("blocks"))
-    leaves = binned.join(blocks, ["source_key", "bin"]).withColumn("block", F.pmod("h", F.col("blocks"))).withColumn("whole", F.floor("p").cast("int")).withColumn("fraction", F.col("p") - F.floor("p"))
+    leaves = binned.join(blocks, ["source_key", "bin"]).withColumn("block", F.pmod("h", F.col("blocks"))).withColumn("whole", F.floor("p")).withColumn("fraction", F.col("p") - F.floor("p"))
     deepest = blocks.agg(F.max("blocks")).first()[0] or 1
     groups = [["source_key", "bin", "block"]]
     while deepest > 1:
@@ -147,15 +148,37 @@ def dependent_copies(units: DataFrame, seed: int = 0, leaf_rows: int = 4096) ->
     return out
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 0) -> DataFrame:
-    """unit, doc_id, source, size, source_size, target, copies: one row per input row; ``unit`` is the key that ``unit_key`` gives."""
+def _totals(docs: DataFrame, weights, most: int, text: str, source: str, doc_id: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their source's size and target; and (unit, n, total): rows of each unit and the copies they take together."""
     sized = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
-    sized = sized.withColumn("unit", unit_key("source", "doc_id", "size")).withColumn("source_key", source_key("source"))
+    sized = sized.withColumn("unit", unit_key("source", "doc_id", "size")).withColumn("source_key", source_key("source")).withColumn("part", F.spark_partition_id())
     targets = source_targets(sized, weights, most).withColumn("source_key", source_key("source")).drop("source")
     near = sized.join(if_few(targets, 100_000), "source_key")
     p = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    units = near.groupBy("unit", "source_key", "size").agg(F.first(p).alias("p")).withColumn("h", F.xxhash64("unit"))
-    return near.join(dependent_copies(units, seed), "unit").select("unit", "doc_id", "source", "size", "source_size", "target", "copies")
+    units = near.groupBy("unit", "source_key", "size").agg(F.count(F.lit(1)).alias("n"), F.first(p).alias("p")).withColumn("p", F.col("n") * F.col("p")).withColumn("h", F.xxhash64("unit"))
+    total = dependent_copies(units, seed).withColumnRenamed("copies", "total")
+    return near, stored(units.select("unit", "n").join(total, "unit"), "totals")
+
+
+def _handed_out(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """``rows`` (with unit and part) with their copies: each unit's total over its n rows, the odd ones to the first by part. A hot unit is spread over its parts."""
+    joined = rows.join(totals, "unit")
+    each = F.expr("cast(total div n as int)")
+    even = joined.where("total % n = 0").withColumn("copies", each)
+    odd = stored(joined.where("total % n <> 0"), "ties")
+    tally = odd.groupBy("unit", "part").agg(F.count(F.lit(1)).alias("m"), F.first(F.expr("total % n")).alias("odd"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("unit").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    extra = tally.select("unit", "part", F.least(F.col("m"), F.col("odd") - before).alias("extra"))
+    place = F.row_number().over(Window.partitionBy("unit", "part").orderBy("unit"))  # equal rows: any order does
+    handed = odd.withColumn("place", place).join(extra, ["unit", "part"]).withColumn("copies", each + (F.col("place") <= F.col("extra")).cast("int"))
+    names = [*[c for c in rows.columns if c != "part"], "copies"]
+    return even.select(names).unionByName(handed.select(names))
+
+
+def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 0) -> DataFrame:
+    """unit, doc_id, source, size, source_size, target, copies: one row per input row; ``unit`` is the key that ``unit_key`` gives."""
+    near, totals = _totals(docs, weights, most, text, source, doc_id, seed)
+    return _handed_out(near, totals).select("unit", "doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def source_key(source: str):
@@ -166,12 +189,12 @@ def unit_key(source: str, doc_id: str, size: str):
     return F.concat_ws("\u0002", source_key(source), F.coalesce(F.col(doc_id).cast("string"), F.lit("n")), F.col(size).cast("string"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 0) -> DataFrame:
     """The mix itself: each row of ``docs`` repeated as often as it is taken, with the columns of ``docs``."""
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
-    t, s, i = (options.get(k, k) for k in ("text", "source", "doc_id"))
-    keyed = row.select("__row", F.col("__row")[s].alias("source"), F.col("__row")[i].alias("doc_id"), F.coalesce(F.regexp_count(F.col("__row")[t], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    keyed = keyed.select("__row", unit_key("source", "doc_id", "size").alias("unit"))
-    copies = mix_sources(docs, **options).groupBy("unit").agg(F.first("copies").alias("copies")).where("copies > 0")
-    return keyed.join(if_few(stored(copies, "copies")), "unit").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
+    keyed = row.select("__row", F.col("__row")[source].alias("source"), F.col("__row")[doc_id].alias("doc_id"), F.coalesce(F.regexp_count(F.col("__row")[text], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    keyed = keyed.select("__row", unit_key("source", "doc_id", "size").alias("unit"), F.spark_partition_id().alias("part"))
+    _, totals = _totals(docs, weights, most, text, source, doc_id, seed)
+    taken = _handed_out(keyed, if_few(totals.where("total > 0"))).where("copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

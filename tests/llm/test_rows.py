@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -116,3 +117,22 @@ def test_mix_handles_odd_rows(spark):
     assert mixing.mix_sources(twice).count() == 42
     mixed = mixing.mixed_documents(twice)
     assert mixed.columns == df.columns and mixed.count() > 0
+
+
+def test_mix_of_equal_rows_meets_the_target(spark):
+    rows = [(None, "ten words " * 5, "a")] * 300 + [(7, "ten words " * 50, "b")] * 500 + [(i, "w " * (i + 1), ("a", "b", "c")[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= 2 * max(r.size for r in own), source
+        p = own[0].target / own[0].source_size
+        assert all(r.copies in (math.floor(p), math.floor(p) + 1) for r in own)
+    hot = [r.copies for r in got if r.size == 100 and r.doc_id == 7]
+    assert len(set(hot)) == 2 and len(hot) == 500
+    taken = mixing.mixed_documents(docs).groupBy("doc_id", "source").count().collect()
+    want = {}
+    for r in got:
+        want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.copies
+    assert {(r.doc_id, r.source): r["count"] for r in taken} == {k: n for k, n in want.items() if n}
