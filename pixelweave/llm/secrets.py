@@ -42,7 +42,11 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
     State: the count of each of 128 characters, S = sum of c * log2(c) over the
     counts, and the least S of a full window; H = log2(window) - S / window.
     """
-    codes = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.ascii(F.substring(value, i, F.lit(1))))
+    # Computed once, not at every step.
+    return F.get(F.transform(F.array(F.transform(F.split(value, ""), F.ascii)), lambda codes: _window_entropy(codes, F.length(value), window)), F.lit(0))
+
+
+def _window_entropy(codes: Column, length: Column, window: int) -> Column:
     f = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(0.0)
 
     def step(acc: Column, i: Column) -> Column:
@@ -55,7 +59,7 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
         return F.struct(n.alias("n"), s.alias("s"), F.when(i >= window, F.least(acc["least"], s)).otherwise(acc["least"]).alias("least"))
 
     start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(1e9).alias("least"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda acc: F.lit(math.log2(window)) - acc["least"] / window)
+    return F.aggregate(F.sequence(F.lit(1), length), start, step, lambda acc: F.lit(math.log2(window)) - acc["least"] / window)
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -71,7 +75,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     candidates = []
     for order, (kind, chars, _) in enumerate(CLASSES, 3):
         run = f"[{chars}]{{{WINDOW},}}"
-        with_digit = f"(?<![{chars}])(?=[{chars}]{{0,200}}[0-9])[{chars}]{{{WINDOW},}}"
+        with_digit = f"(?<![{chars}])(?=[{chars.replace('0-9', '')}]*+[0-9])[{chars}]{{{WINDOW},}}"
         candidates.append(spans.kinded(F.filter(spans.find(t, run, t.rlike(with_digit)), lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]")), kind, order))
     found = rows.select("doc_id", base.alias("base"), F.concat(*candidates).alias("candidates"))
     least = F.create_map(*[F.lit(x) for kind, _, bits in CLASSES for x in (kind, bits)])

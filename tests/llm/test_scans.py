@@ -93,6 +93,14 @@ def test_entropy_adds_unnamed_secrets_and_suppresses_the_allowed(spark):
     assert got == {0: f"entropy_base64:5:{5 + len(key)}", 1: "", 2: "", 3: "", 4: "", 5: "entropy_hex:0:22"}
 
 
+def test_entropy_reaches_keys_behind_long_heads(spark):
+    key = "Zk3+x9Qp/7LmN2vB8rT5wY1uXc4"
+    runs = ["=" * 300 + key, "-_" * 700 + key, "wxyz" * 60 + key, "F" * 250 + "00DFACE1234ABCD9876E5"]
+    texts = [f"see {r} end" for r in runs] + ["z" * 200_000]
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.scan_secrets(table(spark, texts)), ("assign", "access", "hex")).collect()}
+    assert got == {**{i: f"entropy_{'hex' if i == 3 else 'base64'}:4:{4 + len(r)}" for i, r in enumerate(runs)}, 4: ""}
+
+
 def test_contexts_of_seeds_find_unseen_identifiers(spark):
     texts = [f"{prose(i, 20)} mailto user{i}@host{i}.example.org thanks {prose(i + 99, 20)}" for i in range(30)]
     texts += [f"{prose(500 + i, 20)} mailto user{i}@intranet{i} thanks {prose(i + 700, 5)}" for i in range(3)]
