@@ -12,13 +12,19 @@ band are candidates, and multiset overlap of the whole shingle sets decides. At
 similarity 0.8 a pair misses all bands with probability 3e-6.
 
 Equal texts are one node, whatever their number. Within a bucket each text is
-first compared with one hub, for ``STARS`` rounds of hubs of other classes. In
-buckets that then still hold several classes, texts of different classes meet in
-the first bucket they share, and a pair goes on to the full comparison unless
-its sizes or its bitmaps rule similarity out: bit i of a bitmap is the parity of
-the shingles hashed to i, so bitmaps differ in at most as many bits as the sets
-differ in shingles. No bucket is dropped or cut, and no link of a shared band is
-lost.
+first compared with one hub, for ``STARS`` rounds of hubs of other classes.
+Buckets that then still hold several classes are dealt into blocks of bounded
+size, and every two blocks of a bucket go to a task of their own:
+
+1. with bitmaps alone, to find the texts that have a possible partner there, of
+   another class. Bit i of a bitmap is the parity of the shingles hashed to i, so
+   bitmaps differ in at most as many bits as the sets differ in shingles;
+2. those texts again, with their shingles: the task compares the pairs that sizes
+   and bitmaps leave, each in the first bucket it shares, joins classes as it
+   finds links, and gives only links between classes that were still apart.
+
+So no relation holds a row per pair. No bucket is dropped or cut, and no two texts
+that share a band and are similar end in different classes.
 
 Null counts as the empty text. Texts of fewer than five words are one shingle;
 texts of no word have no near-duplicates but equal ones.
@@ -31,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +47,8 @@ from .wordhash import mix, shingles, slices, words
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
 SIMILAR, SHINGLE, STARS, BITS = 0.8, 5, 2, 512
+#: The most texts, and about the most shingles, of a block.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 18
 
 
 def weights_of(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +124,7 @@ def parities(texts: int, text: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """text_id, shingles (32-bit hashes of shingle and copy number, so that sets stand for multisets) and their ``parities`` of the texts in ``wanted``.
+    """text_id, shingles (hashes of shingle and copy number, sorted, so that sets stand for multisets) and their ``parities`` of the texts in ``wanted``.
 
     ``wanted`` (text_id) is broadcast if a count shows that its ids are few; else both sides are shuffled.
     """
@@ -125,16 +134,17 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> Data
             for a, b, texts in slices(batch.column(1)):
                 owner, h = shingles(words(texts), SHINGLE)
                 distinct_text, distinct_hash, weight, nth = weights_of(owner, h)
-                each, of = (mix(np.repeat(distinct_hash, weight) + nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32), np.repeat(distinct_text, weight)
+                each, of = mix(np.repeat(distinct_hash, weight) + nth.astype(np.uint64)).view(np.int64), np.repeat(distinct_text, weight)
+                each = each[np.lexsort((each, of))]
                 sizes = np.bincount(of, minlength=len(texts))[: len(texts)]
-                sets = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), each.view(np.int32))
+                sets = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), each)
                 bits = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * (BITS // 64), parities(len(texts), of, each).ravel())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets, bits], ["text_id", "shingles", "bits"])
 
     ids = wanted.select("text_id").distinct()
     keyed = docs.select(text_ids(F.col(text)).alias("text_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("b"))
     found = keyed.join(if_few(ids), "text_id", "left_semi")
-    return found.select("text_id", "b").mapInArrow(run, "text_id binary, shingles array<int>, bits array<long>").groupBy("text_id").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
+    return found.select("text_id", "b").mapInArrow(run, "text_id binary, shingles array<long>, bits array<long>").groupBy("text_id").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -169,21 +179,109 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def possible_pairs(now: DataFrame, distinct: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Pairs (a, b) of different labels that share a bucket of ``now`` (key, text_id, label) and may be similar, each once.
+def block_pairs(now: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of open buckets ``now`` (key, text_id, label) once for every two blocks they stand in: key, i, j (i <= j), second (whether of block j), text_id, label.
+
+    A bucket falls into as many blocks as keep to ``BLOCK_TEXTS`` and ``BLOCK_SHINGLES``; texts are dealt to them by their ids.
+    """
+    sized = now.select("key", "text_id", "label").join(sets.select("text_id", F.size("shingles").alias("n")), "text_id")
+    count = F.count(F.lit(1))
+    parts = F.greatest(F.ceil(count / BLOCK_TEXTS), F.least(count, F.ceil(F.sum("n") / BLOCK_SHINGLES))).cast("int")
+    own = F.pmod(F.xxhash64("text_id"), F.col("parts")).cast("int")
+    dealt = sized.join(sized.groupBy("key").agg(parts.alias("parts")), "key").withColumn("own", own)
+    met = dealt.select("key", "text_id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "text_id", "label")
+
+
+def _possible(second: np.ndarray, label: np.ndarray, n: np.ndarray, bits: np.ndarray, alone: bool, similar: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a pair of blocks, each text with its later partners (by size) of another class that sizes and bitmaps allow. ``alone``: a block with itself.
 
     Sets of n and m shingles are similar only if they differ in at most
     (n + m) * (1 - t) / (1 + t) shingles, and so their bitmaps in no more bits.
     """
-    longs = [f"bits{i}" for i in range(BITS // 64)]
-    facts = sets.select("text_id", F.size("shingles").alias("n"), *[F.col("bits")[i].alias(c) for i, c in enumerate(longs)]).join(distinct.select("text_id", "bands"), "text_id")
-    left = now.select("key", "text_id", "label").join(facts, "text_id")
-    right = left.select("key", *[F.col(c).alias(f"{c}_b") for c in left.columns if c != "key"])
-    n, m = F.col("n"), F.col("n_b")
-    differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in longs)
-    may = (n * similar <= m + 1e-9) & (m * similar <= n + 1e-9) & (differ <= (n + m) * ((1 - similar) / (1 + similar)) + 1e-6)
-    once = F.get(F.array_intersect("bands", "bands_b"), F.lit(0)) == F.col("key")
-    return left.join(right, "key").where((F.col("text_id") < F.col("text_id_b")) & (F.col("label") != F.col("label_b")) & may & once).select(F.col("text_id").alias("a"), F.col("text_id_b").alias("b"))
+    order = np.argsort(n, kind="stable")
+    last = np.searchsorted(n[order], n[order] / similar + 1e-6, "right")
+    for x, a in enumerate(order):
+        later = order[x + 1 : last[x]]
+        later = later[label[later] != label[a]] if alone else later[(label[later] != label[a]) & (second[later] != second[a])]
+        if len(later):
+            differ = np.bitwise_count(bits[later] ^ bits[a]).sum(axis=1, dtype=np.int64)
+            later = later[differ <= (n[later] + n[a]) * ((1 - similar) / (1 + similar)) + 1e-6]
+        if len(later):
+            yield int(a), later
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict[str, np.ndarray]]]:
+    """Of grouped block pairs (key, i, j, list of structs): the key and NumPy columns of the members; lists come flat, with their offsets under ``name_at``."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            members = batch.column(3)[r].values
+            columns = {}
+            for field in members.type:
+                x = members.field(field.name)
+                if pa.types.is_list(field.type):
+                    columns[field.name], columns[f"{field.name}_at"] = x.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                else:
+                    columns[field.name] = x.to_numpy(zero_copy_only=False)
+            columns["bits"] = columns["bits"].view(np.uint64).reshape(len(members), BITS // 64)
+            columns["label"] = np.unique(columns["label"], return_inverse=True)[1]
+            yield {name: batch.column(k)[r].as_py() for k, name in enumerate(("key", "i", "j"))}, columns
+
+
+def _with_partners(similar: float):
+    """Phase 1: the texts of a block pair that have a possible partner in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, c in _blocks(batches):
+            has = np.zeros(len(c["n"]), bool)
+            for a, later in _possible(c["second"], c["label"], c["n"], c["bits"], at["i"] == at["j"], similar):
+                has[a] = has[later] = True
+            m = int(has.sum())
+            if m:
+                yield pa.RecordBatch.from_arrays([*(pa.array([at[k]] * m, t) for k, t in (("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))), pa.array(c["second"][has]), pa.array(c["text_id"][has], pa.binary())], ["key", "i", "j", "second", "text_id"])
+
+    return run
+
+
+def _spanning(similar: float):
+    """Phase 2: links between the classes of a block pair, none between classes already joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, c in _blocks(batches):
+            root, first, second = c["label"].copy(), [], []
+            bands, sets, ends = c["bands"].reshape(len(root), -1), c["shingles"], c["shingles_at"]
+            for a, later in _possible(c["second"], c["label"], c["n"], c["bits"], at["i"] == at["j"], similar):
+                later = later[root[later] != root[a]]
+                same = bands[later] == bands[a]
+                later = later[bands[a][same.argmax(axis=1)] == at["key"]]
+                if not len(later):
+                    continue
+                own = sets[ends[a] : ends[a + 1]]
+                theirs = np.concatenate([sets[ends[b] : ends[b + 1]] for b in later])
+                place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                starts = np.cumsum(c["n"][later]) - c["n"][later]
+                both = np.add.reduceat((own[place] == theirs).astype(np.int64), starts)
+                for b in later[both / (len(own) + c["n"][later] - both) >= similar]:
+                    if root[a] != root[b]:
+                        root[root == root[b]] = root[a]
+                        first.append(c["text_id"][a])
+                        second.append(c["text_id"][b])
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def remaining_links(now: DataFrame, distinct: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Links (a, b) that join all classes of ``now`` (key, text_id, label) between which some two texts of one bucket are similar."""
+    by = ["key", "i", "j"]
+    met = stored(block_pairs(now, sets), "met")
+    light = met.join(sets.select("text_id", F.size("shingles").alias("n"), "bits"), "text_id")
+    hopeful = light.groupBy(*by).agg(F.collect_list(F.struct("text_id", "label", "second", "n", "bits")).alias("members")).where(F.size("members") > 1)
+    found = stored(hopeful.mapInArrow(_with_partners(similar), "key long, i int, j int, second boolean, text_id binary"), "partners")
+    full = found.join(met.select(*by, "text_id", "label"), [*by, "text_id"]).join(sets.select("text_id", F.size("shingles").alias("n"), "bits", "shingles"), "text_id").join(distinct.select("text_id", "bands"), "text_id")
+    grouped = full.groupBy(*by).agg(F.collect_list(F.struct("text_id", "label", "second", "n", "bits", "bands", "shingles")).alias("members"))
+    return grouped.mapInArrow(_spanning(similar), "a binary, b binary")
 
 
 def linked_classes(distinct: DataFrame, docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -204,10 +302,10 @@ def linked_classes(distinct: DataFrame, docs: DataFrame, text: str = "text", sim
             pick = F.min if star % 2 == 0 else F.max
             hubs = now.groupBy("key").agg(pick(F.struct("label", "text_id")).alias("hub"))
             pairs = now.join(hubs, "key").where(F.col("label") != F.col("hub.label")).select(F.least("text_id", "hub.text_id").alias("a"), F.greatest("text_id", "hub.text_id").alias("b")).distinct()
+            compared = stored(overlap(pairs, sets), "compared")
+            fresh = compared.where(F.col("similarity") >= similar).select("a", "b")
         else:
-            pairs = possible_pairs(now, distinct, sets, similar)
-        compared = stored(overlap(pairs, sets), "compared")
-        fresh = compared.where(F.col("similarity") >= similar).select("a", "b")
+            fresh = stored(remaining_links(now, distinct, sets, similar), "compared")
         labels = components(fresh) if labels is None else merged(labels, fresh)
     return labels
 

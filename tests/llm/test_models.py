@@ -97,6 +97,22 @@ def test_near_duplicates_of_repeated_and_empty_tables(spark):
     assert near_dedup.near_duplicates(nulls).where("kept").count() == 3
 
 
+def test_blocks_of_open_buckets_lose_no_link(spark, monkeypatch):
+    # Two hub rounds less and blocks of few texts: most links come from pairs of blocks.
+    base = prose(31, 120).split()
+    texts = [" ".join(base[: 60 + 3 * i]) for i in range(20)] + [" ".join(base[i:]) for i in range(20)] + [" ".join([*base[:i], "new", *base[i:]]) for i in range(0, 120, 5)]
+    texts += [" ".join(prose(32, 400).split()[i * 9 : i * 9 + 100]) for i in range(12)] + [" ".join(prose(33, 400).split()[i * 30 : i * 30 + 100]) for i in range(8)]
+    docs = table(spark, texts)
+    monkeypatch.setattr(near_dedup, "STARS", 1)
+    want = brute_classes(list(enumerate(texts)))
+    for most in (1, 3, 1000):
+        monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", most)
+        classes = collections.defaultdict(list)
+        for r in near_dedup.near_duplicates(docs).collect():
+            classes[r.class_id].append(r.doc_id)
+        assert sorted(sorted(v, key=str) for v in classes.values()) == want
+
+
 # --- repeated byte strings ---------------------------------------------------
 
 
