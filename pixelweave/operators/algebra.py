@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .pixels import KEY
 
-LAYERS = ("tissue", "background", "cortex", "eroded_cortex", "tubule", "cap", "vessel", "vessel_dilated", "nuclei", "tbm", "bc", "fib1", "fib2", "structural", "dark", "vessel_ring")
+LAYERS = ("tissue", "background", "cortex", "eroded_cortex", "tubule", "cap", "vessel", "vessel_dilated", "nuclei", "tbm", "bc", "fib1", "fib2", "structural", "dark", "vessel_ring", "finfib")
 _BIT = {name: i for i, name in enumerate(LAYERS)}
+_ALL_BITS = (1 << len(LAYERS)) - 1
 
 
 def stack(layers: DataFrame, more: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -24,13 +25,17 @@ def has(name: str) -> Column:
     return F.col("bits").bitwiseAND(F.lit(1 << _BIT[name])) != 0
 
 
+def _bits_of(names: str) -> int:
+    return sum(1 << _BIT[n] for n in set(names.split()))
+
+
 def _any(names: str) -> Column:
-    mask = sum(1 << _BIT[n] for n in names.split())
+    mask = _bits_of(names)
     return F.col("bits").bitwiseAND(F.lit(mask)) != 0
 
 
 def _all(names: str) -> Column:
-    mask = sum(1 << _BIT[n] for n in names.split())
+    mask = _bits_of(names)
     return F.col("bits").bitwiseAND(F.lit(mask)) == mask
 
 
@@ -41,7 +46,7 @@ def where(stacked: DataFrame, predicate: Column) -> DataFrame:
 def with_layer(stacked: DataFrame, name: str, predicate: Column) -> DataFrame:
     """The stack with one layer set from a predicate on the others: no shuffle."""
     bit = 1 << _BIT[name]
-    clear = F.col("bits").bitwiseAND(F.lit(~bit & 0xFFFF))
+    clear = F.col("bits").bitwiseAND(F.lit(~bit & _ALL_BITS))
     return stacked.withColumn("bits", F.when(predicate, clear.bitwiseOR(F.lit(bit))).otherwise(clear))
 
 
@@ -68,28 +73,46 @@ def resolve_overlaps(stacked: DataFrame) -> DataFrame:
     vessel = has("vessel") & ~_any("tubule cap")
     bits = F.col("bits")
     for name, keep in (("cap", cap), ("vessel", vessel)):
-        bits = F.when(keep, bits).otherwise(bits.bitwiseAND(F.lit(~(1 << _BIT[name]) & 0xFFFF)))
+        bits = F.when(keep, bits).otherwise(bits.bitwiseAND(F.lit(~(1 << _BIT[name]) & _ALL_BITS)))
     return stacked.withColumn("bits", bits)
 
 
-def vessel_ring(region: str = "cortex", no_background: bool = True) -> Column:
-    rest = "nuclei tubule cap tbm bc" + (" background" if no_background else "")
-    return _all(f"vessel_dilated {region}") & ~_any(rest)
+def structures(stacked: DataFrame, region: str = "cortex", no_background: bool = True) -> DataFrame:
+    """The stack with tubule, cap and vessel restricted to the region (and to what is not background) and their overlaps resolved, in one expression."""
+    keep = _all(region) & ~has("background") if no_background else _all(region)
+    tubule = has("tubule") & keep
+    cap, vessel = has("cap") & keep & ~has("tubule"), has("vessel") & keep & ~_any("tubule cap")
+    set_ = [F.when(p, F.lit(_bits_of(n))).otherwise(F.lit(0)) for n, p in (("tubule", tubule), ("cap", cap), ("vessel", vessel))]
+    rest = F.col("bits").bitwiseAND(F.lit(_ALL_BITS & ~_bits_of("tubule cap vessel")))
+    return stacked.withColumn("bits", rest.bitwiseOR(set_[0]).bitwiseOR(set_[1]).bitwiseOR(set_[2]))
+
+
+CLUSTERS = "fib1 fib2 structural"
+
+
+def vessel_ring(region: str = "cortex", no_background: bool = True, nuclei: str = "nuclei", clusters: bool = False) -> Column:
+    """The dilated vessel without what stands beside it; in the cluster form within the clusters."""
+    rest = f"{nuclei} tubule cap tbm bc" + (" background" if no_background else "")
+    ring = _all(f"vessel_dilated {region}") & ~_any(rest)
+    return ring & _any(CLUSTERS) if clusters else ring
 
 
-def fibrosis(base: str = "tissue", region: str = "cortex", subtract_bc: bool = True, no_background: bool = True, clusters: bool = False) -> Column:
-    """Residual form: the base without every structure. Cluster form: the clusters without them."""
-    out = "tubule cap vessel vessel_ring nuclei tbm" + (" bc" if subtract_bc else "") + (" background" if no_background else "")
-    inside = _any("fib1 fib2 structural") & has(region) if clusters else _all(f"{base} {region}")
+def fibrosis(base: str = "tissue", region: str = "cortex", subtract_bc: bool = True, no_background: bool = True, clusters: bool = False, nuclei: str = "nuclei") -> Column:
+    """Residual form: the base without every structure. Cluster form: the clusters without them; the dark cluster needs no taking out."""
+    out = "tubule cap vessel vessel_ring tbm" + ("" if clusters else f" {nuclei}") + (" bc" if subtract_bc else "") + (" background" if no_background else "")
+    inside = _any(CLUSTERS) & _all(region) if clusters else _all(f"{base} {region}")
     return inside & ~_any(out)
 
 
-def collagen() -> Column:
-    return _any("structural vessel_ring tbm bc") & ~_any("tubule cap vessel")
+def collagen(region: str | None = None) -> Column:
+    found = _any("structural vessel_ring tbm bc") & ~_any("tubule cap vessel")
+    return found & _all(region) if region else found
 
 
-def collagen_exclusion() -> Column:
-    return _any("vessel_ring tbm bc") & ~_any("background nuclei tubule cap vessel")
+def collagen_exclusion(region: str = "cortex", no_background: bool = True, nuclei: str | None = "nuclei") -> Column:
+    """Ring, membranes and capsules without structures; ``nuclei`` None leaves nuclei in."""
+    out = "tubule cap vessel" + (f" {nuclei}" if nuclei else "") + (" background" if no_background else "")
+    return _any("vessel_ring tbm bc") & ~_any(out) & _all(region)
 
 
 def inflammation(source: str = "nuclei", region: str = "cortex", no_background: bool = True) -> Column:
@@ -97,6 +120,7 @@ def inflammation(source: str = "nuclei", region: str = "cortex", no_background:
 
 
 def interstitium(**options) -> Column:
+    """The union of inflammation, collagen with exclusion, and fibrosis, of the final form."""
     return inflammation() | collagen_exclusion() | fibrosis(**options)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .algebra import _all, collagen_exclusion, fibrosis, has, inflammation
+from .algebra import collagen_exclusion, fibrosis, has, inflammation
 from .neighborhood import PLUS, erode_runs, from_runs, to_runs
 from .pixels import KEY
 
@@ -14,26 +14,36 @@ def blocks(block: int) -> list[Column]:
     return ["slide", F.floor(F.col("y") / block).cast("int").alias("by"), F.floor(F.col("x") / block).cast("int").alias("bx")]
 
 
+def fib_sums(tissue: Column, fib: Column) -> list[Column]:
+    return [F.count_if(fib).alias("fib"), F.count_if(tissue).alias("tissue"), F.count_if(tissue & ~has("vessel") & ~has("cap")).alias("tissue_noglomvessel")]
+
+
+def inflamm_sums(inflamm: Column, exclusion: Column, fib: Column) -> list[Column]:
+    return [F.count_if(inflamm).alias("inflamm"), F.count_if(inflamm | exclusion | fib).alias("interstitium")]
+
+
 def block_fib_counts(stacked: DataFrame, block: int, tissue: Column | None = None, **options) -> DataFrame:
-    """Per block: fibrosis, tissue, and tissue outside vessel and cap. ``tissue`` defaults to tissue in the cortex."""
-    tissue = _all("tissue cortex") if tissue is None else tissue
-    return stacked.groupBy(*blocks(block)).agg(
-        F.count_if(fibrosis(**options)).alias("fib"), F.count_if(tissue).alias("tissue"), F.count_if(tissue & ~has("vessel") & ~has("cap")).alias("tissue_noglomvessel")
-    )
+    """Per block: fibrosis, tissue, and tissue outside vessel and cap. ``tissue`` defaults to the cortex."""
+    return stacked.groupBy(*blocks(block)).agg(*fib_sums(has("cortex") if tissue is None else tissue, fibrosis(**options)))
 
 
-def block_inflamm_counts(stacked: DataFrame, block: int, **options) -> DataFrame:
-    inner = inflammation() | collagen_exclusion() | fibrosis(**options)
-    return stacked.groupBy(*blocks(block)).agg(F.count_if(inflammation()).alias("inflamm"), F.count_if(inner).alias("interstitium"))
+def block_inflamm_counts(stacked: DataFrame, block: int, inflamm: Column | None = None, exclusion: Column | None = None, **options) -> DataFrame:
+    """Per block: inflammation, and the union of inflammation, collagen with exclusion and fibrosis; the final form by default."""
+    return stacked.groupBy(*blocks(block)).agg(*inflamm_sums(inflammation() if inflamm is None else inflamm, collagen_exclusion() if exclusion is None else exclusion, fibrosis(**options)))
 
 
 def slide_scores(fib: DataFrame, inflamm: DataFrame) -> DataFrame:
-    """Five ratios in percent from summed block counts; a zero denominator gives null."""
+    """Five ratios in percent from block counts; a zero denominator gives null."""
     a = fib.groupBy("slide").agg(*[F.sum(c).alias(c) for c in ("fib", "tissue", "tissue_noglomvessel")])
     b = inflamm.groupBy("slide").agg(*[F.sum(c).alias(c) for c in ("inflamm", "interstitium")])
+    return ratios(a.join(b, "slide"))
+
+
+def ratios(sums: DataFrame) -> DataFrame:
+    """Five ratios in percent from the five sums of each slide."""
     pct = lambda n, d: F.try_divide(F.lit(100.0) * n, F.col(d))
     both = F.col("fib") + F.col("inflamm")
-    return a.join(b, "slide").select(
+    return sums.select(
         "slide", pct(F.col("fib"), "tissue_noglomvessel").alias("fib_noglomvessel"), pct(both, "tissue_noglomvessel").alias("fib_inflamm_noglomvessel"),
         pct(F.col("fib"), "tissue").alias("fib_tissue"), pct(both, "tissue").alias("fib_inflamm_tissue"), pct(F.col("inflamm"), "interstitium").alias("inflamm_interstitium"),
     )

@@ -5,39 +5,53 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import algebra, metrics
+from ..operators import algebra, metrics, objects
+from ..operators.pixels import KEY
 
 
 @dataclass(frozen=True)
 class Preset:
-    """Region and base of the fibrosis formula, and the size from which objects count (per block of 1 mm)."""
+    """Layers of the region (all of them), base of the residual formula, layer of inflammation, and the size from which fibrosis objects count (per block of 1 mm)."""
 
     region: str = "cortex"
     base: str = "tissue"
     clusters: bool = False
     no_background: bool = True
     subtract_bc: bool = True
+    nuclei: str = "nuclei"
+    plain_ring: bool = False  # the dilated vessel as it is
     drop_up_to: int = 100
 
     @property
     def formula(self) -> dict:
-        return {"region": self.region, "base": self.base, "clusters": self.clusters, "no_background": self.no_background, "subtract_bc": self.subtract_bc}
+        return {"region": self.region, "base": self.base, "clusters": self.clusters, "no_background": self.no_background, "subtract_bc": self.subtract_bc, "nuclei": self.nuclei}
+
+    def ring(self) -> Column:
+        return algebra.has("vessel_dilated") if self.plain_ring else algebra.vessel_ring(self.region, self.no_background, self.nuclei, self.clusters)
 
     def tissue(self) -> Column:
-        return algebra.has("tissue") & algebra.has(self.region)
+        """The region alone is what fibrosis is set against."""
+        return algebra._all(self.region)
+
+    def inflammation(self) -> Column:
+        return algebra.inflammation(self.nuclei, self.region, self.no_background)
+
+    def exclusion(self) -> Column:
+        return algebra.collagen_exclusion(self.region, self.no_background, None if self.clusters else self.nuclei)
 
 
 PRESETS = {
     "final": Preset(),
-    "newcortex": Preset(region="eroded_cortex", base="cortex", no_background=False),
+    "newcortex": Preset(region="eroded_cortex cortex", base="cortex", no_background=False),
     "unet_20x": Preset(region="eroded_cortex", no_background=False),
     "unet_20x_cluster": Preset(region="eroded_cortex"),
     "unet": Preset(region="eroded_cortex", no_background=False),
     "cellpose": Preset(region="eroded_cortex", no_background=False),
-    "main": Preset(region="eroded_cortex", clusters=True, no_background=False, drop_up_to=4999),
-    "omniseg": Preset(region="tissue", clusters=True, no_background=False, subtract_bc=False, drop_up_to=0),
-    "segfault": Preset(region="tissue", clusters=True, no_background=False, drop_up_to=4999),
+    "main": Preset(region="eroded_cortex", clusters=True, no_background=False, nuclei="dark", drop_up_to=4999),
+    "omniseg": Preset(region="tissue", clusters=True, no_background=False, subtract_bc=False, nuclei="dark", plain_ring=True, drop_up_to=0),
+    "segfault": Preset(region="tissue", clusters=True, no_background=False, nuclei="dark", drop_up_to=4999),
 }
 
 
@@ -47,8 +61,21 @@ def prepare(layers: DataFrame) -> DataFrame:
     return algebra.with_layer(stacked, "vessel_ring", algebra.vessel_ring())
 
 
-def slide_scores(layers: DataFrame, block: int, preset: str = "final") -> DataFrame:
+def slide_scores(layers: DataFrame, block: int, preset: str = "final", width: int = 1 << 20, drop_up_to: int | None = None) -> DataFrame:
+    """Scores of each slide from its mask layers: structures restricted to the region, overlaps resolved, the ring, fibrosis without small objects, five sums, five ratios.
+
+    ``width`` is at least that of any slide; ``drop_up_to`` overrides the preset's.
+    """
     p = PRESETS[preset]
-    stacked = prepare(layers)
-    fib = metrics.block_fib_counts(stacked, block, p.tissue(), **p.formula)
-    return metrics.slide_scores(fib, metrics.block_inflamm_counts(stacked, block, **p.formula))
+    drop = p.drop_up_to if drop_up_to is None else drop_up_to
+    stacked = algebra.structures(algebra.stack(layers), p.region, p.no_background)
+    stacked = algebra.with_layer(stacked, "vessel_ring", p.ring())
+    fib = algebra.fibrosis(**p.formula)
+    if drop:
+        kept = objects.filter_fibrosis(algebra.where(stacked, fib), drop, width, block).where("kept")
+        marked = stacked.select(*KEY, "bits").unionByName(kept.select(*KEY, F.lit(1 << algebra._BIT["finfib"]).alias("bits")))
+        stacked = marked.groupBy(*KEY).agg(F.bit_or("bits").alias("bits"))
+    else:
+        stacked = algebra.with_layer(stacked, "finfib", fib)
+    fib = algebra.has("finfib")
+    return metrics.ratios(stacked.groupBy("slide").agg(*metrics.fib_sums(p.tissue(), fib), *metrics.inflamm_sums(p.inflammation(), p.exclusion(), fib)))

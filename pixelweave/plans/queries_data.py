@@ -62,16 +62,46 @@ def _(spark, d):
     return A.normalize_resolution(table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 10).alias("res"), ext.alias("ext"))).drop("res")
 
 
-SCORES_SQL = f"""scores AS (SELECT slide, CAST(fib AS DOUBLE) AS fib, CAST(infl AS DOUBLE) AS infl, tissue, tn, inter FROM (
-  SELECT slide, sum(CASE WHEN {FIB} THEN 1 ELSE 0 END) AS fib, sum(CASE WHEN {R['tissue']} AND {R['cortex']} THEN 1 ELSE 0 END) AS tissue,
-         sum(CASE WHEN {R['tissue']} AND {R['cortex']} AND NOT {R['vessel']} AND NOT {R['cap']} THEN 1 ELSE 0 END) AS tn,
-         sum(CASE WHEN {INFLAMM} THEN 1 ELSE 0 END) AS infl, sum(CASE WHEN {INFLAMM} OR {EXCLUSION} OR {FIB} THEN 1 ELSE 0 END) AS inter FROM pix GROUP BY slide))"""
-SCORE_COLUMNS = "slide, round(100 * fib / tn, 6) AS fib_noglomvessel, round(100 * (fib + infl) / tn, 6) AS fib_inflamm_noglomvessel, round(100 * fib / tissue, 6) AS fib_tissue, round(100 * (fib + infl) / tissue, 6) AS fib_inflamm_tissue, round(100 * infl / inter, 6) AS inflamm_interstitium"
+#: Fibrosis objects up to this size are dropped here; the presets' sizes fit blocks of a thousand pixels a side.
+SMALL = 3
+
+
+def preset_ctes(name: str, block: int = 20, small: int = SMALL) -> str:
+    """Tables that end in ``scores`` (slide, fib, infl, tissue, tn, inter), step by step as each variant of the formula is published."""
+    clusters, region = name in ("main", "omniseg", "segfault"), {"final": "cortex", "newcortex": "eroded_cortex cortex", "omniseg": "tissue", "segfault": "tissue"}.get(name, "eroded_cortex").split()
+    off = "background" if name in ("final", "unet_20x_cluster") else None
+    infl = "dark" if clusters else "nuclei"
+    inside = " AND ".join(region)
+    keep = inside + (f" AND NOT {off}" if off else "")
+    none = lambda *names: " AND ".join(f"NOT {n}" for n in names if n)
+    ring = "vessel_dilated" if name == "omniseg" else f"vessel_dilated AND {inside} AND {none(off, infl, 'tub', 'cp', 'tbm', 'bc')}" + (" AND (fib1 OR fib2 OR structural)" if clusters else "")
+    base = "(fib1 OR fib2 OR structural)" if clusters else "TRUE" if name == "newcortex" else "tissue"
+    fib = f"{base} AND {inside} AND {none(off, None if clusters else infl, 've', 'ring', 'tub', 'cp', 'tbm', None if name == 'omniseg' else 'bc')}"
+    exclusion = f"(ring OR tbm OR bc) AND {none(off, None if clusters else infl, 'tub', 'cp', 've')} AND {inside}"
+    inflamm = f"{infl} AND {none(off, 've', 'tub', 'cp')} AND {inside}"
+    kept = "SELECT slide, y, x FROM fibs" if name == "omniseg" else f"SELECT slide, y, x FROM (SELECT *, count(*) OVER (PARTITION BY slide, label, y // {block}, x // {block}) AS n FROM flab) WHERE n > {small}"
+    return f"""masks AS (SELECT slide, y, x, {', '.join(f'({e}) AS {n}' for n, e in LAYERS.items())} FROM pix),
+      cut AS (SELECT *, tubule AND {keep} AS tub, cap AND {keep} AS cap0, vessel AND {keep} AS ves0 FROM masks),
+      apart AS (SELECT *, cap0 AND NOT tub AS cp, ves0 AND NOT tub AND NOT cap0 AS ve FROM cut),
+      ringed AS (SELECT *, {ring} AS ring FROM apart),
+      fibs AS (SELECT slide, y, x FROM ringed WHERE {fib}),
+      {comp_sql('fibs', 'flab', block=block)}, kept AS ({kept}),
+      told AS (SELECT r.*, k.slide IS NOT NULL AS fin FROM ringed r LEFT JOIN kept k ON r.slide = k.slide AND r.y = k.y AND r.x = k.x),
+      scores AS (SELECT slide, CAST(count(*) FILTER (fin) AS DOUBLE) AS fib, CAST(count(*) FILTER ({inflamm}) AS DOUBLE) AS infl, count(*) FILTER ({inside}) AS tissue,
+        count(*) FILTER ({inside} AND NOT ve AND NOT cp) AS tn, count(*) FILTER (fin OR ({inflamm}) OR ({exclusion})) AS inter FROM told GROUP BY slide)"""
+
+
+SCORES_SQL = preset_ctes("final")
+SCORE_COLUMNS = "slide, round(100 * fib / nullif(tn, 0), 6) AS fib_noglomvessel, round(100 * (fib + infl) / nullif(tn, 0), 6) AS fib_inflamm_noglomvessel, round(100 * fib / nullif(tissue, 0), 6) AS fib_tissue, round(100 * (fib + infl) / nullif(tissue, 0), 6) AS fib_inflamm_tissue, round(100 * infl / nullif(inter, 0), 6) AS inflamm_interstitium"
 METRICS = ("fib_noglomvessel", "fib_inflamm_noglomvessel", "fib_tissue", "fib_inflamm_tissue", "inflamm_interstitium")
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    out = presets.slide_scores(layers(pix(spark, d)), 20)
+    return preset_scores(spark, d, "final")
+
+
+def preset_scores(spark: SparkSession, d: str, name: str) -> DataFrame:
+    out = presets.slide_scores(layers(pix(spark, d)), 20, name, S, min(SMALL, presets.PRESETS[name].drop_up_to))
     return out.select("slide", *[F.round(c, 6).alias(c) for c in METRICS])
 
 
@@ -281,7 +311,7 @@ def count_sql(e: str) -> str:
 
 BY = '"by"'
 BLOCK = "slide, CAST(y // 20 AS INT) AS by, CAST(x // 20 AS INT) AS bx"
-TISSUE = f"{R['tissue']} AND {R['cortex']}"
+TISSUE = R["cortex"]
 
 
 def fib_sql(tissue: str, fib: str = FIB) -> str:
@@ -299,7 +329,7 @@ def _(spark, d):
 def _(spark, d):
     from ..operators.algebra import _all
 
-    return K.block_fib_counts(presets.prepare(layers(pix(spark, d))), 20, _all("eroded_cortex cortex"), **presets.PRESETS["main"].formula)
+    return K.block_fib_counts(presets.prepare(layers(pix(spark, d))), 20, _all("eroded_cortex cortex"), region="eroded_cortex", clusters=True, no_background=False)
 
 
 @register("k3_block_inflamm_counts", f"SELECT {BLOCK}, {count_sql(INFLAMM)} AS inflamm, {count_sql(f'{INFLAMM} OR {EXCLUSION} OR {FIB}')} AS interstitium FROM pix GROUP BY slide, y // 20, x // 20")
@@ -318,7 +348,7 @@ def _(spark, d):
     return K.ratio_score(mask(px, "dark"), mask(px, "tissue"), "abnormal").withColumn("abnormal", F.round("abnormal", 6))
 
 
-@register("k6_simple_score", "SELECT slide, round(100 * fib / tissue, 6) AS fib_tissue FROM scores", more=SCORES_SQL)
+@register("k6_simple_score", f"SELECT slide, round(100e0 * sum(fib) / sum(tissue), 6) AS fib_tissue FROM ({fib_sql(TISSUE)}) GROUP BY slide")
 def _(spark, d):
     return K.simple_score(K.block_fib_counts(presets.prepare(layers(pix(spark, d))), 20)).withColumn("fib_tissue", F.round("fib_tissue", 6))
 
@@ -553,23 +583,9 @@ def _(spark, d):
 
 
 def preset_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        out = presets.slide_scores(layers(pix(spark, d)), 20, name)
-        return out.select("slide", *[F.round(c, 6).alias(c) for c in METRICS])
-
-    return run
-
-
-def preset_sql(name: str) -> str:
-    p = presets.PRESETS[name]
-    out = "tubule cap vessel vessel_ring nuclei tbm" + (" bc" if p.subtract_bc else "") + (" background" if p.no_background else "")
-    inside = f"({R['fib1']} OR {R['fib2']} OR {R['structural']}) AND {R[p.region]}" if p.clusters else f"{R[p.base]} AND {R[p.region]}"
-    fib = f"({inside} AND {' AND '.join(f'NOT {R[n]}' for n in out.split())})"
-    tissue = f"{R['tissue']} AND {R[p.region]}"
-    inner = f"SELECT slide, CAST({count_sql(fib)} AS DOUBLE) AS fib, {count_sql(tissue)} AS tissue, {count_sql(f'{tissue} AND NOT {R['vessel']} AND NOT {R['cap']}')} AS tn, CAST({count_sql(INFLAMM)} AS DOUBLE) AS infl, {count_sql(f'{INFLAMM} OR {EXCLUSION} OR {fib}')} AS inter FROM pix GROUP BY slide"
-    return f"WITH {PIX_SQL} SELECT {SCORE_COLUMNS} FROM ({inner})"
+    return lambda spark, d: preset_scores(spark, d, name)
 
 
 for _preset in presets.PRESETS:
     QUERIES[f"preset_{_preset}"] = preset_query(_preset)
-    ORACLE_SQL[f"preset_{_preset}"] = preset_sql(_preset)
+    ORACLE_SQL[f"preset_{_preset}"] = f"WITH RECURSIVE {PIX_SQL}, {preset_ctes(_preset)} SELECT {SCORE_COLUMNS} FROM scores"

@@ -318,9 +318,9 @@ R["cap"] = f"({R['cap']} AND NOT {R['tubule']})"
 _none = lambda names: " AND ".join(f"NOT {R[n]}" for n in names.split())
 R["vessel_ring"] = f"({R['vessel_dilated']} AND {R['cortex']} AND {_none('nuclei tubule cap tbm bc background')})"
 FIB = f"({R['tissue']} AND {R['cortex']} AND {_none('tubule cap vessel vessel_ring nuclei tbm bc background')})"
-FIB_CLUSTER = f"(({R['fib1']} OR {R['fib2']} OR {R['structural']}) AND {R['eroded_cortex']} AND {_none('tubule cap vessel vessel_ring nuclei tbm bc')})"
+FIB_CLUSTER = f"(({R['fib1']} OR {R['fib2']} OR {R['structural']}) AND {R['eroded_cortex']} AND {_none('tubule cap vessel vessel_ring tbm bc')})"
 COLLAGEN = f"(({R['structural']} OR {R['vessel_ring']} OR {R['tbm']} OR {R['bc']}) AND {_none('tubule cap vessel')})"
-EXCLUSION = f"(({R['vessel_ring']} OR {R['tbm']} OR {R['bc']}) AND {_none('background nuclei tubule cap vessel')})"
+EXCLUSION = f"(({R['vessel_ring']} OR {R['tbm']} OR {R['bc']}) AND {R['cortex']} AND {_none('background nuclei tubule cap vessel')})"
 INFLAMM = f"({R['nuclei']} AND {R['cortex']} AND {_none('tubule cap vessel background')})"
 
 _BITS = " + ".join(f"CASE WHEN {LAYERS[n]} THEN {1 << i} ELSE 0 END" for i, n in enumerate(C.LAYERS) if n in LAYERS)

@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pixelweave.operators import algebra, metrics, neighborhood, objects, patches, resample, votes
 from pixelweave.operators.pixels import KEY, roi_ops
+from pixelweave.plans.presets import PRESETS, slide_scores
 from pixelweave.sources import slides
 
 H = W = 24
@@ -168,3 +170,50 @@ def test_validation_and_small_functions(spark):
     assert [tuple(r) for r in roi_ops(roi, 2, 20, 20).collect()] == [(0, 0, 7, 7)]
     v = spark.createDataFrame([(0, 1, 1, 0, 3), (0, 1, 1, 2, 3), (0, 2, 2, 5, 1)], "slide int, y int, x int, task int, n int")
     assert {(r.y, r.x): r["class"] for r in votes.argmax_class(v).collect()} == {(1, 1): 0, (2, 2): 5}
+
+
+def by_multiplication(m, name):
+    """(fibrosis, tissue, tissue without vessel and cap, inflammation, interstitium) masks of one slide, as products of 0/1 arrays; fibrosis before small objects go."""
+    no = lambda *names: np.prod([1 - m[n] for n in names], axis=0)
+    m = dict(m)
+    where = {"final": m["cortex"] * no("background"), "unet_20x_cluster": m["eroded_cortex"] * no("background"), "newcortex": m["eroded_cortex"] * m["cortex"], "omniseg": m["tissue"], "segfault": m["tissue"]}.get(name, m["eroded_cortex"])
+    region = {"final": m["cortex"], "newcortex": where, "omniseg": m["tissue"], "segfault": m["tissue"]}.get(name, m["eroded_cortex"])
+    tubule, cap, vessel = (m[n] * where for n in ("tubule", "cap", "vessel"))
+    vessel = vessel * (1 - tubule) * (1 - cap)
+    cap = cap * (1 - tubule)
+    m |= {"t": tubule, "c": cap, "v": vessel}
+    clusters = np.clip(m["fib1"] + m["fib2"] + m["structural"], 0, 1)
+    if name == "omniseg":
+        m["ring"] = m["vessel_dilated"]
+        fib = clusters * no("v", "ring", "t", "c", "tbm") * region
+    elif name in ("main", "segfault"):
+        m["ring"] = m["vessel_dilated"] * no("dark", "t", "c", "tbm", "bc") * clusters * region
+        fib = clusters * no("v", "ring", "t", "c", "tbm", "bc") * region
+    else:
+        m["ring"] = m["vessel_dilated"] * where * no("nuclei", "t", "c", "tbm", "bc")
+        fib = (1 if name == "newcortex" else m["tissue"]) * where * no("nuclei", "v", "ring", "t", "c", "tbm", "bc")
+    out = ("t", "c", "v") if name in ("main", "segfault", "omniseg") else ("t", "c", "v", "nuclei")
+    exclusion = np.clip(m["ring"] + m["tbm"] + m["bc"], 0, 1) * no(*out) * where
+    inflamm = m["dark" if name in ("main", "segfault", "omniseg") else "nuclei"] * no("t", "c", "v") * where
+    return fib, region, region * no("v", "c"), inflamm, exclusion
+
+
+@pytest.mark.parametrize("name", sorted(PRESETS))
+def test_presets_equal_products_of_masks(spark, name):
+    rng = np.random.default_rng(5)
+    masks = {n: (rng.random((8, 8)) < (0.9 if n in ("tissue", "cortex", "eroded_cortex") else 0.4 if n in ("fib1", "fib2", "dark") else 0.08)).astype(int) for n in algebra.LAYERS if n not in ("vessel_ring", "finfib")}
+    layers = spark.createDataFrame([(0, y, x, n) for n, a in masks.items() for y in range(8) for x in range(8) if a[y, x]], "slide int, y int, x int, layer string")
+    fib, tissue, bare, inflamm, exclusion = by_multiplication(masks, name)
+    drop = 0 if name == "omniseg" else 2
+    kept = set()
+    for y0 in (0, 4):
+        for x0 in (0, 4):
+            cells_ = {(y, x) for y in range(y0, y0 + 4) for x in range(x0, x0 + 4) if fib[y, x]}
+            found = brute_label(cells_, 8)
+            kept |= {p for p in cells_ if sum(v == found[p] for v in found.values()) > drop}
+    n_fib, n_inflamm = len(kept), int(inflamm.sum())
+    inter = sum((y, x) in kept or inflamm[y, x] + exclusion[y, x] > 0 for y in range(8) for x in range(8))
+    want = [100 * a / b if b else None for a, b in ((n_fib, bare.sum()), (n_fib + n_inflamm, bare.sum()), (n_fib, tissue.sum()), (n_fib + n_inflamm, tissue.sum()), (n_inflamm, inter))]
+    got = slide_scores(layers, 4, name, 8, drop).first()
+    assert [got[c] is None if w is None else abs(got[c] - w) < 1e-9 for c, w in zip(("fib_noglomvessel", "fib_inflamm_noglomvessel", "fib_tissue", "fib_inflamm_tissue", "inflamm_interstitium"), want)] == [True] * 5, (got, want)
+    assert n_fib or name == "omniseg"
