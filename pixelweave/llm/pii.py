@@ -11,6 +11,8 @@ pattern; after ``ROUNDS`` rounds candidates whose best pattern reaches
 joined, and patterns only by equi-joins, so a word beside a third of all
 values is one key with summed rows.
 
+A value found as two kinds counts as the one whose name is last in the alphabet.
+
 Null text is empty. Rows are told apart by a row number taken when the scan is
 stored, so repeated ids stay apart.
 """
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import stored
+from .common import if_few, stored
 
 # The base patterns. Possessive quantifiers and a start at the head of a run
 # (or where the last match ended) change no match; they keep long runs from being tried at every place.
@@ -32,7 +34,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
 DIGITS, ROUNDS, SURE, SUPPORT = 5, 3, 0.8, 5
-TOKEN = r"\S+"
+#: A token with an "@" or with DIGITS digits; no place but the head of a token is tried.
+TOKEN = r"(?<!\S)(?=[^\s@]*+@|[^\s0-9]*+(?:[0-9][^\s0-9]*+){%d})\S++" % DIGITS
+#: Characters beside a span in which a neighbouring word is looked for first.
+NEAR = 80
 
 
 def luhn(digits: Column) -> Column:
@@ -60,25 +65,33 @@ def _word(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
 
 
+def _first_word(few: Column, whole: Column) -> Column:
+    """The first run of other characters than spaces of ``whole``, whose first NEAR characters are ``few``."""
+    head = r"^\s*(\S+)"
+    return F.when(F.length(F.regexp_extract(few, r"^\s*\S*", 0)) < NEAR, F.regexp_extract(few, head, 1)).otherwise(F.regexp_extract(whole, head, 1))
+
+
+def left_word(t: Column, s: Column) -> Column:
+    """The word before place ``s`` of a text, of any length: the first of the reversed text before it."""
+    few = F.reverse(F.substring(t, F.greatest(s - NEAR + 1, F.lit(1)), F.least(s, F.lit(NEAR))))
+    return _word(F.reverse(_first_word(few, F.reverse(F.substring(t, F.lit(1), s)))))
+
+
+def right_word(t: Column, e: Column) -> Column:
+    """The word from place ``e`` of a text on."""
+    return _word(_first_word(F.substring(t, e + 1, F.lit(NEAR)), F.substring(t, e + 1, F.length(t) - e)))
+
+
 def scan_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS, sure: float = SURE, support: int = SUPPORT) -> DataFrame:
     """doc_id, ``base`` and ``extra`` (arrays of structs s, k, e, kind, v), one row per row of ``docs``."""
     t = F.col("t")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     based = rows.select("doc_id", "t", base_spans(t).alias("base"))
-    wanted = t.rlike(r"[0-9](?:[^\s0-9]*[0-9]){%d}" % (DIGITS - 1)) | t.contains("@")
-    candidate = F.filter(spans.find(t, TOKEN, wanted), lambda x: x["v"].contains("@") | x["v"].rlike(r"[0-9](?:[^0-9]*[0-9]){%d}" % (DIGITS - 1)))
+    candidate = spans.find(t, TOKEN, t.rlike(TOKEN))
     trimmed = F.transform(candidate, lambda x: F.struct((x["s"] + F.length(x["v"]) - F.length(F.regexp_replace(x["v"], r"^[^\p{L}\p{N}+]+", ""))).alias("s"), (x["e"] - F.length(x["v"]) + F.length(F.regexp_replace(x["v"], r"[^\p{L}\p{N}]+$", ""))).alias("e"), F.regexp_replace(x["v"], r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "").alias("v")))
     fresh = spans.kinded(F.filter(spans.apart(trimmed, F.col("base")), lambda x: F.length(x["v"]) > 0), "", 9)
     both = based.select("doc_id", "t", "base", fresh.alias("fresh"))
-    # The words beside each span, found in the 80 characters to its left and right.
-    beside = F.transform(
-        F.concat("base", "fresh"),
-        lambda x: F.struct(
-            x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["kind"].alias("kind"), x["v"].alias("v"),
-            _word(F.regexp_extract(F.substring(t, F.greatest(x["s"] - 79, F.lit(1)), F.least(x["s"], F.lit(80))), r"(\S+)\s*$", 1)).alias("left"),
-            _word(F.regexp_extract(F.substring(t, x["e"] + 1, F.lit(80)), r"^\s*(\S+)", 1)).alias("right"),
-        ),
-    )
+    beside = F.transform(F.concat("base", "fresh"), lambda x: F.struct(*[x[f].alias(f) for f in ("s", "k", "e", "kind", "v")], left_word(t, x["s"]).alias("left"), right_word(t, x["e"]).alias("right")))
     scanned = stored(both.select("doc_id", F.monotonically_increasing_id().alias("row"), "base", beside.alias("found")), "pii")
     places = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("x")).select("row", "x.*")
     edges = (
@@ -95,9 +108,10 @@ def scan_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds
         told = edges.select("pattern", "v").join(known, "v", "left")
         total = told.groupBy("pattern").agg(F.count_distinct("v").alias("values"))
         scores = told.where(F.col("score").isNotNull()).groupBy("pattern", F.col("kind").alias("p_kind")).agg(F.sum("score").alias("s"), F.sum((F.col("score") == 1).cast("int")).alias("seeds"))
-        scores = scores.join(total, "pattern").select("pattern", "p_kind", "seeds", (F.col("s") / (F.col("values") + 1)).alias("p"))
+        scores = stored(scores.where(F.col("seeds") >= support).join(total, "pattern").select("pattern", "p_kind", "seeds", (F.col("s") / (F.col("values") + 1)).alias("p")), "scores")
         best = F.max(F.struct("p", "seeds", "p_kind"))
-        guessed = edges.where(F.col("kind") == "").select("pattern", "v").join(scores.where(F.col("seeds") >= support), "pattern").groupBy("v").agg(best.alias("b"))
+        # Patterns of many seeds are few; broadcast, a pattern beside a third of all values is no hot key.
+        guessed = edges.where(F.col("kind") == "").select("pattern", "v").join(if_few(scores, 100_000), "pattern").groupBy("v").agg(best.alias("b"))
         strong = guessed.where(F.col("b.p") >= sure).select("v", F.col("b.p_kind").alias("kind"), F.col("b.p").alias("score"))
         known = edges.where(F.col("kind") != "").select("v", "kind").distinct().withColumn("score", F.lit(1.0)).unionByName(strong)
     new = places.where(F.col("kind") == "").select("row", "v", "s", "e").join(strong.select("v", "kind"), "v")

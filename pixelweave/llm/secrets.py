@@ -39,27 +39,30 @@ ALLOWED = (
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
     """The highest Shannon entropy, in bits a character, of any ``window`` neighbouring characters of an ASCII string.
 
-    State: the count of each of 128 characters, S = sum of c * log2(c) over the
-    counts, and the least S of a full window; H = log2(window) - S / window.
+    State: S = sum of c * log2(c) over the counts c of the window's characters,
+    and the least S of a full window; H = log2(window) - S / window. A step
+    changes two counts by one, that of the character that comes and that of the
+    one that goes; both are counted in the window, so a step costs the same
+    however long the string is.
     """
-    # Computed once, not at every step.
-    return F.get(F.transform(F.array(F.transform(F.split(value, ""), F.ascii)), lambda codes: _window_entropy(codes, F.length(value), window)), F.lit(0))
+    return spans.let(F.transform(F.split(value, ""), F.ascii), lambda codes: _least_sum(codes, window))
 
 
-def _window_entropy(codes: Column, length: Column, window: int) -> Column:
-    f = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(0.0)
+def _least_sum(codes: Column, window: int) -> Column:
+    # What S gains when a count rises from c to c + 1.
+    gains = F.array(*[F.lit((c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0)) for c in range(window + 1)])
+    count = lambda part, x: F.size(F.filter(part, lambda y: y == x))
 
     def step(acc: Column, i: Column) -> Column:
-        new = F.element_at(codes, i)
-        old = F.when(i > window, F.get(codes, i - window - 1)).otherwise(F.lit(-1))
-        same = new == old
-        was_in, was_out = F.get(acc["n"], new), F.when(old >= 0, F.get(acc["n"], old)).otherwise(0)
-        s = F.when(same, acc["s"]).otherwise(acc["s"] + f(was_in + 1) - f(was_in) + f(was_out - 1) - f(was_out))
-        n = F.when(same, acc["n"]).otherwise(F.transform(acc["n"], lambda c, j: c + (j == new).cast("int") - (j == old).cast("int")))
-        return F.struct(n.alias("n"), s.alias("s"), F.when(i >= window, F.least(acc["least"], s)).otherwise(acc["least"]).alias("least"))
-
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(1e9).alias("least"))
-    return F.aggregate(F.sequence(F.lit(1), length), start, step, lambda acc: F.lit(math.log2(window)) - acc["least"] / window)
+        # The window before the step holds codes i - window .. i - 1 (from one); what stays of it, the later window - 1.
+        new, old = F.get(codes, i - 1), F.get(codes, i - 1 - window)
+        stays = F.slice(codes, F.greatest(i - window + 1, F.lit(1)), F.least(i - 1, F.lit(window - 1)))
+        gone = F.when(i > window, F.get(gains, count(stays, old))).otherwise(0.0)
+        s = F.when(new == old, acc["s"]).otherwise(acc["s"] - gone + F.get(gains, count(stays, new)))
+        return spans.let(s, lambda s: F.struct(s.alias("s"), F.when(i >= window, F.least(acc["least"], s)).otherwise(acc["least"]).alias("least")))
+
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(1e9).alias("least"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step, lambda acc: F.lit(math.log2(window)) - acc["least"] / window)
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

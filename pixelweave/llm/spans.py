@@ -7,6 +7,8 @@ of the lengths of both gives every start and end, in code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,21 +19,43 @@ def none() -> Column:
     return F.array().cast(SPAN)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Sums are appended to arrays of at most so many members, so that a long text's matches aren't copied for each of them.
+BLOCK = 256
+
+
+def running_sums(values: Column) -> Column:
+    """The sum of each value and all before it: sums within blocks, and sums of the blocks before."""
+    long = "array<bigint>"
+    sums = lambda x: F.aggregate(x, F.array().cast(long), lambda acc, v: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + v))
+
+    def joined_up(blocks: Column) -> Column:
+        ends = sums(F.transform(blocks, lambda x: F.element_at(x, -1)))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("own"), F.concat(F.array(F.lit(0).cast("bigint")), ends).alias("before")), lambda x: F.transform(F.coalesce(x["own"], F.array().cast(long)), lambda v: v + x["before"])))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(BLOCK))
+    return let(F.transform(starts, lambda i: sums(F.slice(values, i, BLOCK))), joined_up)
+
+
 def find(text: Column, pattern: str, where: Column | None = None) -> Column:
     """Leftmost non-overlapping matches as structs (s, e, v), end exclusive; empty where ``where`` is false.
 
     ``where`` is a cheaper or stricter test; rows that fail it skip the work.
+    The work is linear in the text and in the number of matches.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
+    pairs = F.filter(F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("v"))), lambda x: x["v"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["v"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v"))).alias("out"))
+    def placed(found: Column) -> Column:
+        ends = running_sums(F.transform(found, lambda x: (x["gap"] + F.length(x["v"])).cast("bigint")))
+        return F.zip_with(found, ends, lambda x, e: F.struct((e - F.length(x["v"])).cast("int").alias("s"), e.cast("int").alias("e"), x["v"].alias("v")))
 
-    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("v")))
-    found = F.aggregate(F.filter(pairs, lambda x: x["v"].isNotNull()), F.struct(F.lit(0).alias("at"), none().alias("out")), step, lambda acc: acc["out"])
+    found = let(pairs, lambda x: F.when(F.size(x) > 0, placed(x)).otherwise(none()))
     return found if where is None else F.when(where, found).otherwise(none())
 
 
