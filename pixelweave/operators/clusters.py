@@ -48,10 +48,10 @@ def split_classes(assigned: DataFrame, width: int, min_size: int = 50) -> DataFr
     return out
 
 
-def background_cluster(px: DataFrame, centers: DataFrame, height: int, width: int, equalise: bool = True, max_size: int = 100) -> DataFrame:
+def background_cluster(px: DataFrame, centers: DataFrame, height: int, width: int, equalise: bool = True, max_size: int = 100, grid: int = 256) -> DataFrame:
     """The brightest class of the (equalised) gray image, without objects of ``max_size`` pixels or fewer."""
     v = gray(px)
-    v = clahe(v, height, width) if equalise else v
+    v = clahe(v, height, width, grid=grid) if equalise else v
     return remove_small(assign(v, centers).where(F.col("class") == 0).select(*KEY), max_size + 1, width)
 
 

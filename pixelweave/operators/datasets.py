@@ -5,29 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The five kinds of image and mask names, tried in order.
-IMAGE_KINDS = (("image", r"^im_(\d+)$"), ("patch", r"^(.+)_5x_patch(\d+)$"), ("low", r"^(.+)_5x$"), ("region", r"^(.+)_region$"), ("random", r"^(.+)_rand_roi$"))
-MASK_KINDS = (("image", r"^mask_(\d+)$"), ("patch", r"^(.+)_5x_mask_patch(\d+)$"), ("low", r"^(.+)_5x_mask$"), ("region", r"^(.+)_region_mask$"), ("random", r"^(.+)_rand_roi_mask$"))
-
-
-def _classify(name: Column, kinds: tuple) -> tuple[Column, Column]:
-    kind = base = None
-    for k, pattern in kinds:
+# The five kinds of image and mask names, tried in order, and the base that both sides share.
+EXTENSIONS = ("tif", "tiff")
+IMAGE_KINDS = (
+    ("omniseg", r"^(im_\d+)$", "1"),
+    ("uuid_patch", r"^(im_.+_5x_patch\d+)$", "1"),
+    ("uuid", r"^(im_.+)_5x$", "1"),
+    ("region", r"^(?!.*_region_mask)(.*?)_region", "1"),
+    ("rand_roi", r"^(?!.*_rand_roi_mask)(.*?)_rand_roi", "1"),
+)
+MASK_KINDS = (
+    ("omniseg", r"^(im_\d+)_mask", "1"),
+    ("uuid_patch", r"^(im_.+_5x)_mask(_patch\d+)", "12"),
+    ("uuid", r"^(im_.+)_5x_mask", "1"),
+    ("region", r"^(.*?)_region_mask", "1"),
+    ("rand_roi", r"^(.*?)_rand_roi_mask", "1"),
+)
+
+
+def _classify(files: DataFrame, kinds: tuple, typed: tuple[str, ...] = ()) -> DataFrame:
+    """``files`` with kind and base; kinds in ``typed`` need one of EXTENSIONS where ``files`` has a column ``ext``."""
+    name, kind, base = F.col("stem"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, pattern, groups in reversed(kinds):
         hit = name.rlike(pattern)
-        value = F.concat_ws("#", F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)) if k == "patch" else F.regexp_extract(name, pattern, 1)
-        kind = F.when(hit, k) if kind is None else kind.when(hit, k)
-        base = F.when(hit, value) if base is None else base.when(hit, value)
-    return kind, base
+        if k in typed and "ext" in files.columns:
+            hit = hit & F.col("ext").isin(*EXTENSIONS)
+        kind = F.when(hit, k).otherwise(kind)
+        base = F.when(hit, F.concat(*[F.regexp_extract(name, pattern, int(g)) for g in groups])).otherwise(base)
+    return files.withColumns({"kind": kind, "base": base})
 
 
 def classify_image(files: DataFrame) -> DataFrame:
-    kind, base = _classify(F.col("stem"), IMAGE_KINDS)
-    return files.withColumns({"kind": kind, "base": base})
+    return _classify(files, IMAGE_KINDS, ("omniseg", "uuid_patch", "uuid"))
 
 
 def classify_mask(files: DataFrame) -> DataFrame:
-    kind, base = _classify(F.col("stem"), MASK_KINDS)
-    return files.withColumns({"kind": kind, "base": base})
+    return _classify(files, MASK_KINDS)
 
 
 def pair(images: DataFrame, masks: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def gauss(v: DataFrame, sigma: float, height: int, width: int, truncate: float =
 
 def gauss_threshold(m: DataFrame, sigma: float, t: float, height: int, width: int, truncate: float = 4.0) -> DataFrame:
     """Cells of the blurred mask above t. Separable: 2 * reach + 1 rows a cell and axis."""
-    return gauss(m.select(*KEY, F.lit(1.0).alias("v")), sigma, height, width, truncate).where(F.col("v") > t).select(*KEY)
+    return gauss(m.select(*KEY, F.lit(1.0).alias("v")), sigma, height, width, truncate).where(F.round("v", 9) > t).select(*KEY)
 
 
 def gauss_threshold_runs(m: DataFrame, sigma: float, t: float, height: int, width: int, truncate: float = 4.0) -> DataFrame:
@@ -172,7 +172,7 @@ def gauss_threshold_runs(m: DataFrame, sigma: float, t: float, height: int, widt
     kind = m.schema["slide"].dataType.simpleString()
     schema = f"slide {kind}, y int, x int, v double"
     rows = m.select(*KEY, F.lit(1.0).alias("v")).groupBy("slide", "y").applyInPandas(blur(width, "x", "y"), schema)
-    return rows.groupBy("slide", "x").applyInPandas(blur(height, "y", "x"), schema).where(F.col("v") > t).select(*KEY)
+    return rows.groupBy("slide", "x").applyInPandas(blur(height, "y", "x"), schema).where(F.round("v", 9) > t).select(*KEY)
 
 
 def window_pixels(v: DataFrame, k: int, height: int, width: int) -> DataFrame:
@@ -191,24 +191,52 @@ def median_blur(v: DataFrame, k: int, height: int, width: int) -> DataFrame:
 
 
 def median_mask(m: DataFrame, k: int, height: int, width: int) -> DataFrame:
-    """Median of a mask: more than half of the k x k window set; cells outside count as unset."""
-    return window_pixels(m.select(*KEY, F.lit(1).alias("v")), k, height, width).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 2 > k * k).select(*KEY)
+    """Median of a mask: more than half of the k x k window set; cells outside count as unset.
+
+    Whole image rows, then whole columns, are summed by running sums in Arrow
+    batches, so the work doesn't grow with k.
+    """
+    import numpy as np
+    import pandas as pd
+
+    reach = k // 2
+
+    def sums(size: int, along: str, across: str):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            line = np.zeros(size + 1, np.int64)
+            line[pdf[along].to_numpy() + 1] = pdf["n"].to_numpy()
+            upto = np.cumsum(line)
+            at = np.arange(size)
+            n = upto[np.minimum(at + reach + 1, size)] - upto[np.maximum(at - reach, 0)]
+            at = np.flatnonzero(n)
+            return pd.DataFrame({"slide": pdf["slide"].iloc[0], along: at, across: pdf[across].iloc[0], "n": n[at]})[["slide", "y", "x", "n"]]
+
+        return run
+
+    schema = f"slide {m.schema['slide'].dataType.simpleString()}, y int, x int, n long"
+    rows = m.select(*KEY, F.lit(1).cast("long").alias("n")).groupBy("slide", "y").applyInPandas(sums(width, "x", "y"), schema)
+    return rows.groupBy("slide", "x").applyInPandas(sums(height, "y", "x"), schema).where(F.col("n") * 2 > k * k).select(*KEY)
 
 
-def shell(m: DataFrame, nuclei: DataFrame, inner: int, outer: int, height: int, width: int, nested: bool = False) -> DataFrame:
-    """Dilated minus eroded mask, without nuclei, before the blur. ``nested`` dilates the eroded mask instead of the mask."""
+def shell(m: DataFrame, nuclei: DataFrame | None, inner: int, outer: int, height: int, width: int, nested: bool = False, within: DataFrame | None = None, sigma: float | None = 2.0) -> DataFrame:
+    """Dilated minus eroded mask, without nuclei, within a mask, smoothed. ``nested`` dilates the eroded mask instead of the mask; without ``sigma`` it isn't smoothed."""
     runs = to_runs(m)
     core = erode_runs(runs, disk(inner), m, height, width)
     grown = dilate_runs(core if nested else runs, disk(outer), height, width)
-    return minus(minus(from_runs(grown), from_runs(core)), nuclei)
+    ring = minus(from_runs(grown), from_runs(core))
+    ring = ring if nuclei is None else minus(ring, nuclei)
+    ring = ring if within is None else ring.join(within.select(*KEY), KEY, "left_semi")
+    return ring if sigma is None else gauss_threshold(ring, sigma, 0.5, height, width)
 
 
-def tubule_shell(tubule: DataFrame, nuclei: DataFrame, height: int, width: int, inner: int = 2, outer: int = 7) -> DataFrame:
-    return shell(tubule, nuclei, inner, outer, height, width, nested=True)
+def tubule_shell(tubule: DataFrame, nuclei: DataFrame | None, height: int, width: int, inner: int = 2, outer: int = 7, within: DataFrame | None = None) -> DataFrame:
+    """Membrane around tubules. Cluster form: no nuclei, ``within`` the clusters, outer radius 15; by region: ``within`` the region."""
+    return shell(tubule, nuclei, inner, outer, height, width, nested=True, within=within)
 
 
-def capsule_shell(cap: DataFrame, nuclei: DataFrame, height: int, width: int, inner: int = 8, outer: int = 25) -> DataFrame:
-    return shell(cap, nuclei, inner, outer, height, width)
+def capsule_shell(cap: DataFrame, nuclei: DataFrame | None, height: int, width: int, inner: int = 8, outer: int = 25, within: DataFrame | None = None) -> DataFrame:
+    """Capsule around tufts. Cluster form: no nuclei, ``within`` the clusters, radii 14 and 51; by region: ``within`` the region."""
+    return shell(cap, nuclei, inner, outer, height, width, within=within)
 
 
 def unsharp(v: DataFrame, sigma: float, amount: float, height: int, width: int) -> DataFrame:

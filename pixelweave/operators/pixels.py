@@ -6,8 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["slide", "y", "x"]
-# The legend's colours in order, as hexadecimal RGB.
-COLOURS = ("ff0000", "00ff00", "0000ff", "ffff00", "ff00ff", "00ffff", "ffa500", "800080", "008080", "808080")
+# The legend's colours in order, with their red, green and blue.
+COLOURS = {
+    "purple": (82, 22, 180),
+    "magenta": (255, 0, 255),
+    "yellow": (255, 211, 25),
+    "cyan": (60, 214, 230),
+    "blue": (21, 52, 80),
+    "brown": (81, 62, 62),
+    "red": (237, 0, 38),
+    "maroon": (111, 0, 61),
+    "orange": (255, 97, 25),
+    "white": (255, 255, 255),
+}
 
 
 def rounded(c: Column) -> Column:
@@ -102,13 +113,13 @@ def overlay(px: DataFrame, classes: DataFrame, colours: DataFrame, other: str =
 
 
 def class_legend(classes: DataFrame) -> DataFrame:
-    """Classes in order, each with the next of the fixed colours; classes beyond them are left out."""
+    """Classes in order, each with the name of the next of the fixed colours; classes beyond them are left out."""
     table = classes.sparkSession.createDataFrame([(i, c) for i, c in enumerate(COLOURS)], "i int, colour string")
     numbered = classes.select("class").distinct().withColumn("i", F.row_number().over(Window.orderBy("class")) - 1)
     return numbered.join(F.broadcast(table), "i").select("class", "colour")
 
 
-def clahe(px: DataFrame, height: int, width: int, clip: float = 2.0, grid: int = 8) -> DataFrame:
+def clahe(px: DataFrame, height: int, width: int, clip: float = 2.0, grid: int = 256) -> DataFrame:
     """Contrast-limited equalisation of ``v``: clipped histograms of grid x grid tiles, blended bilinearly.
 
     Histograms are sums per (slide, tile, value); each pixel meets the four

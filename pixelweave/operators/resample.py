@@ -57,7 +57,7 @@ def resize_area(px: DataFrame, height: int, width: int, to_height: int, to_width
 
     rows = px.select("*", F.explode(spans("y", height, to_height)).alias("down")).select("*", F.explode(spans("x", width, to_width)).alias("across"))
     w = F.col("down.w") * F.col("across.w") * (to_height * to_width)
-    mean = lambda c: F.floor(F.sum(w * (F.col(c) - 255)) + 255 + 0.5).cast("int").alias(c)
+    mean = lambda c: F.floor(F.round(F.sum(w * (F.col(c) - 255)), 6) + 255 + 0.5).cast("int").alias(c)
     return rows.groupBy("slide", F.col("down.t").alias("y"), F.col("across.t").alias("x")).agg(*[mean(c) for c in channels])
 
 
@@ -71,8 +71,21 @@ def limit_dim(px: DataFrame, height: int, width: int, most: int = 2048) -> tuple
 
 
 def restore_mask(m: DataFrame, height: int, width: int, to_height: int, to_width: int) -> DataFrame:
-    """A mask of a limited image back at full size, by nearest cells."""
-    return resize_nearest(m, height, width, to_height, to_width)
+    """A mask of a limited image back at full size: opacity ``v`` of 1..255 by bilinear weights of the cells around."""
+    spark = m.sparkSession
+
+    def axis(name: str, n: int, to: int) -> DataFrame:
+        # Two rows a target row or column: bounded by the image's side.
+        at = (F.col("id") + 0.5) * n / to - 0.5
+        low, part = F.floor(at), at - F.floor(at)
+        ends = F.array(F.struct(low.alias("c"), (1 - part).alias("w")), F.struct((low + 1).alias("c"), part.alias("w")))
+        rows = spark.range(to).select(F.col("id").cast("int").alias(f"to_{name}"), F.explode(ends).alias("k"))
+        held = F.least(F.greatest(F.col("k.c"), F.lit(0)), F.lit(n - 1)).cast("int")
+        return F.broadcast(rows.select(f"to_{name}", held.alias(name), F.col("k.w").alias(f"w_{name}")))
+
+    near = m.select(*KEY).join(axis("y", height, to_height), "y").join(axis("x", width, to_width), "x")
+    v = F.floor(F.round(255 * F.sum(F.col("w_y") * F.col("w_x")), 6) + 0.5).cast("int")
+    return near.groupBy("slide", F.col("to_y").alias("y"), F.col("to_x").alias("x")).agg(v.alias("v")).where("v > 0")
 
 
 def build_pyramid(px: DataFrame, height: int, width: int, n: int = 4) -> DataFrame:

@@ -171,10 +171,9 @@ def _(spark, d):
     return H.assign(B.gray(pix(spark, d)), centers(spark))
 
 
-@register("h3_split_classes", f"SELECT slide, 'fib1' AS layer, y, x FROM {sized('n >= 3', 'one')} UNION ALL SELECT slide, 'fib2', y, x FROM {sized('n >= 3', 'two')} UNION ALL SELECT slide, CASE class WHEN 3 THEN 'structural' ELSE 'dark' END, y, x FROM cls WHERE class IN (3, 4)", more=CLASS_SQL + ", " + comp_sql("(SELECT slide, y, x FROM cls WHERE class = 1)", "one") + ", " + comp_sql("(SELECT slide, y, x FROM cls WHERE class = 2 AND y % 5 != 0)", "two"))
+@register("h3_split_classes", f"SELECT slide, 'fib1' AS layer, y, x FROM {sized('n >= 3', 'one')} UNION ALL SELECT slide, 'fib2', y, x FROM {sized('n >= 3', 'two')} UNION ALL SELECT slide, CASE class WHEN 3 THEN 'structural' ELSE 'dark' END, y, x FROM cls WHERE class IN (3, 4)", more=CLASS_SQL + ", " + comp_sql("(SELECT slide, y, x FROM cls WHERE class = 1)", "one") + ", " + comp_sql("(SELECT slide, y, x FROM cls WHERE class = 2)", "two"))
 def _(spark, d):
-    assigned = H.assign(B.gray(pix(spark, d)), centers(spark)).where("not (class = 2 and y % 5 = 0)")
-    return H.split_classes(assigned, S, 3)
+    return H.split_classes(H.assign(B.gray(pix(spark, d)), centers(spark)), S, 3)
 
 
 @register("h4_background_cluster", f"SELECT slide, y, x FROM {sized('n > 2')}", more=CLASS_SQL + ", " + comp_sql("(SELECT slide, y, x FROM cls WHERE class = 0)"))
@@ -184,7 +183,7 @@ def _(spark, d):
 
 @register("h4_background_cluster_equalised")
 def _(spark, d):
-    return H.background_cluster(pix(spark, d), centers(spark), S, S, max_size=2)
+    return H.background_cluster(pix(spark, d), centers(spark), S, S, max_size=2, grid=8)
 
 
 TRIPLES = ((200.0, 180.0, 160.0), (90.0, 60.0, 120.0), (150.0, 20.0, 40.0), (30.0, 25.0, 90.0))
@@ -465,9 +464,8 @@ def _(spark, d):
 
 # --- data sets: file names from documents ------------------------------------
 
-STEMS = ("im_{i}", "s{i}_5x_patch{j}", "s{i}_5x", "s{i}_region", "s{i}_rand_roi", "note{i}")
-MASKS = ("mask_{i}", "s{i}_5x_mask_patch{j}", "s{i}_5x_mask", "s{i}_region_mask", "s{i}_rand_roi_mask", "junk{i}")
-KINDS = ("image", "patch", "low", "region", "random")
+STEMS = ("im_{i}", "im_u{i}_a_5x_patch{j}", "im_u{i}_a_5x", "s{i}_region_{j}", "s{i}_rand_roi{j}", "note{i}")
+MASKS = ("im_{i}_mask", "im_u{i}_a_5x_mask_patch{j}", "im_u{i}_a_5x_mask", "s{i}_region_mask", "s{i}_rand_roi_mask_x", "junk{i}")
 
 
 def _name(parts: tuple[str, ...], spark_: bool):
@@ -481,8 +479,8 @@ def _name(parts: tuple[str, ...], spark_: bool):
 
 
 FOLDER = "CASE WHEN doc_id % 50 = 7 THEN 'dataset' ELSE source END"
-BASE_SQL = "CASE WHEN doc_id % 6 = 5 THEN NULL WHEN doc_id % 6 = 0 THEN CAST(doc_id // 6 AS VARCHAR) WHEN doc_id % 6 = 1 THEN 's' || CAST(doc_id // 6 AS VARCHAR) || '#' || CAST(doc_id % 5 AS VARCHAR) ELSE 's' || CAST(doc_id // 6 AS VARCHAR) END"
-KIND_SQL = "(['image', 'patch', 'low', 'region', 'random', NULL])[doc_id % 6 + 1]"
+BASE_SQL = "CASE doc_id % 6 WHEN 0 THEN 'im_' || CAST(doc_id // 6 AS VARCHAR) WHEN 1 THEN 'im_u' || CAST(doc_id // 6 AS VARCHAR) || '_a_5x_patch' || CAST(doc_id % 5 AS VARCHAR) WHEN 2 THEN 'im_u' || CAST(doc_id // 6 AS VARCHAR) || '_a' WHEN 5 THEN NULL ELSE 's' || CAST(doc_id // 6 AS VARCHAR) END"
+KIND_SQL = "(['omniseg', 'uuid_patch', 'uuid', 'region', 'rand_roi', NULL])[doc_id % 6 + 1]"
 NAMES_SQL = f"im AS (SELECT {FOLDER} AS folder, {_name(STEMS, False)} AS stem, {KIND_SQL} AS kind, {BASE_SQL} AS base FROM documents WHERE doc_id % 11 != 0), ma AS (SELECT {FOLDER} AS folder, {_name(MASKS, False)} AS stem, {KIND_SQL} AS kind, {BASE_SQL} AS base FROM documents WHERE doc_id % 13 != 0)"
 PAIRS_SQL = NAMES_SQL + ", pairs AS (SELECT im.folder, im.kind, im.base, im.stem AS image, ma.stem AS mask FROM im JOIN ma USING (folder, kind, base) WHERE folder != 'dataset')"
 

@@ -272,7 +272,7 @@ def _(px):
     return B.black_to_white(px.select(*KEY, *[F.when(low, 0).otherwise(F.col(c)).alias(c) for c in "rgb"]))
 
 
-COLOUR_ROWS = [(i, int(c[:2], 16), int(c[2:4], 16), int(c[4:], 16)) for i, c in enumerate(B.COLOURS)]
+COLOUR_ROWS = [(i, *c) for i, c in enumerate(B.COLOURS.values())]
 CLASS_OF = "CASE WHEN r + g > 330 THEN 0 WHEN b < 40 THEN 1 WHEN g < 40 THEN 2 END"
 
 
@@ -293,7 +293,7 @@ def _(px):
 
 @on_pix("b16_clahe")
 def _(px):
-    return B.clahe(B.gray(px), S, S)
+    return B.clahe(B.gray(px), S, S, grid=8)
 
 
 @on_pix("b17_world_to_voxel", "SELECT slide, level, (y0 * 1000) // v AS begin_y, (x0 * 1000) // v AS begin_x, (y1 * 1000) // v AS end_y, (x1 * 1000) // v AS end_x, (y0 * 1000) % v = 0 AND (x0 * 1000) % v = 0 AND (y1 * 1000) % v = 0 AND (x1 * 1000) % v = 0 AS exact FROM (SELECT slide, CAST(i AS INT) AS level, CAST(250 * 2 ** i AS BIGINT) AS v, CAST(min(y) AS BIGINT) AS y0, CAST(min(x) AS BIGINT) AS x0, CAST(max(y) AS BIGINT) AS y1, CAST(max(x) AS BIGINT) AS x1 FROM pix, range(5) t(i) GROUP BY ALL)")
@@ -403,12 +403,29 @@ def _(px):
     return D.resize_nearest(px.select(*KEY, "r"), S, S, 75, 150)
 
 
-@on_pix("d4_resize_area")
+def area_sql(name: str, n: int, to: int) -> str:
+    """Shares of source cells c in target cells t along one axis."""
+    return f"{name} AS (SELECT c.i AS c, t.i AS t, {to} * (least((c.i + 1e0) / {n}, (t.i + 1e0) / {to}) - greatest((c.i + 0e0) / {n}, (t.i + 0e0) / {to})) AS w FROM range({n}) c(i), range({to}) t(i) WHERE t.i >= floor(c.i * {to} / {n}e0) AND t.i <= ceil((c.i + 1) * {to} / {n}e0) - 1)"
+
+
+def area_rows(a: str, b: str) -> str:
+    cols = ", ".join(f"CAST(floor(round(sum(v.w * h.w * (p.{c} - 255)), 6) + 255 + 0.5e0) AS INT) AS {c}" for c in "rgb")
+    return f"SELECT p.slide, CAST(v.t AS INT) AS y, CAST(h.t AS INT) AS x, {cols} FROM pix p JOIN {a} v ON p.y = v.c JOIN {b} h ON p.x = h.c GROUP BY p.slide, v.t, h.t"
+
+
+@on_pix("d4_resize_area", area_rows("ar", "ar"), area_sql("ar", S, 75))
 def _(px):
     return D.resize_area(px, S, S, 75, 75)
 
 
-@on_pix("d5_limit_dim")
+_LINEAR = f"li AS (SELECT to_, greatest(0, least(63, c)) AS c, w FROM (SELECT t.i AS to_, floor((t.i + 0.5e0) * 64 / {S} - 0.5e0) AS c, 1 - (((t.i + 0.5e0) * 64 / {S} - 0.5e0) - floor((t.i + 0.5e0) * 64 / {S} - 0.5e0)) AS w FROM range({S}) t(i) UNION ALL SELECT t.i, floor((t.i + 0.5e0) * 64 / {S} - 0.5e0) + 1, ((t.i + 0.5e0) * 64 / {S} - 0.5e0) - floor((t.i + 0.5e0) * 64 / {S} - 0.5e0) FROM range({S}) t(i)))"
+
+
+@on_pix(
+    "d5_limit_dim",
+    "SELECT * FROM (SELECT m.slide, CAST(v.to_ AS INT) AS y, CAST(h.to_ AS INT) AS x, CAST(floor(round(255 * sum(v.w * h.w), 6) + 0.5e0) AS INT) AS v FROM fg m JOIN li v ON m.y = v.c JOIN li h ON m.x = h.c GROUP BY m.slide, v.to_, h.to_) WHERE v > 0",
+    f"{area_sql('ar', S, 64)}, small AS ({area_rows('ar', 'ar')}), fg AS (SELECT slide, y, x FROM small WHERE NOT (r > 205 AND g > 205 AND b > 205)), {_LINEAR}",
+)
 def _(px):
     small, h, w = D.limit_dim(px, S, S, 64)
     return D.restore_mask(B.foreground(small), h, w, S, S)
@@ -453,9 +470,9 @@ def _(px):
     return E.min_positive(mask(px, "tubule"), S, S, 24, 0.55, 0.22)
 
 
-@on_pix("e5_padded_overlap_patches", f"SELECT DISTINCT slide, CAST(a.i * 12 AS INT) AS y0, CAST(b.i * 12 AS INT) AS x0 FROM (SELECT * FROM {m_sql('cap')} WHERE y < 40) m, range(9) a(i), range(9) b(i) WHERE y + 12 >= a.i * 12 AND y + 12 < a.i * 12 + 24 AND x + 12 >= b.i * 12 AND x + 12 < b.i * 12 + 24")
+@on_pix("e5_padded_overlap_patches", f"SELECT DISTINCT slide, CAST(a.i * 12 AS INT) AS y0, CAST(b.i * 12 AS INT) AS x0 FROM {m_sql('cap')} m, range(9) a(i), range(9) b(i) WHERE y + 12 >= a.i * 12 AND y + 12 < a.i * 12 + 24 AND x + 12 >= b.i * 12 AND x + 12 < b.i * 12 + 24")
 def _(px):
-    return E.padded_overlap_patches(mask(px, "cap").where("y < 40"), S, S, 24, 12)
+    return E.padded_overlap_patches(mask(px, "cap"), S, S, 24, 12)
 
 
 @on_pix("e6_halo_tiles", "SELECT slide, y, x, CAST(a.i AS INT) AS ty, CAST(b.i AS INT) AS tx, y // 25 = a.i AND x // 25 = b.i AS inner FROM pix, range(4) a(i), range(4) b(i) WHERE y >= a.i * 25 - 3 AND y < a.i * 25 + 28 AND x >= b.i * 25 - 3 AND x < b.i * 25 + 28".replace(" AS inner", ' AS "inner"'))
@@ -489,9 +506,9 @@ def _(px):
     return E.patch_offsets(E.patch_counts(E.integral_image(mask(px, "tubule"), A.grid(px, S, S)), 20, 16, 0.2), 4, 5, 2000, 2000)
 
 
-@on_pix("e11_roi_coverage", f"SELECT slide, CAST(y + a.i AS INT) AS y, CAST(x + b.i AS INT) AS x, count(*) AS n FROM {m_sql('cap')} m, range(6) a(i), range(8) b(i) WHERE y % 5 = 0 GROUP BY 1, y + a.i, x + b.i")
+@on_pix("e11_roi_coverage", f"SELECT slide, CAST(y + a.i AS INT) AS y, CAST(x + b.i AS INT) AS x, count(*) AS n FROM {m_sql('cap')} m, range(6) a(i), range(8) b(i) GROUP BY 1, y + a.i, x + b.i")
 def _(px):
-    return E.roi_coverage(mask(px, "cap").where("y % 5 = 0"), 6, 8, count=True)
+    return E.roi_coverage(mask(px, "cap"), 6, 8, count=True)
 
 
 @on_pix("e12_mosaic", f"SELECT g.slide, g.y AS row, g.x AS col, coalesce(p.r % 4 + 1, 0) AS class FROM grid g LEFT JOIN pix p ON g.slide = p.slide AND g.y = p.y AND g.x = p.x", GRID_SQL)
@@ -559,7 +576,24 @@ def _(px):
     return named(N.open_(blocky, N.ELLIPSE_5, 1, S, S), "open").union(named(N.close_(mask(px, "cap"), N.SQUARE_4, 1, S, S), "close"))
 
 
-@on_pix("f5_gauss_threshold")
+def gauss_sql(name: str, source: str, sigma: float, n: int = S) -> str:
+    """Tables that end in ``name`` (slide, y, x, v): (slide, y, x, v) of ``source`` blurred, edges mirrored as often as need be."""
+    values = ", ".join(f"({o}, {w!r})" for o, w in N.kernel(sigma))
+    return (
+        f"{name}_a AS (SELECT c, CASE WHEN q < {n} THEN q ELSE {2 * n - 1} - q END AS m, sum(w) AS w FROM (SELECT c.i AS c, ((c.i + k.o) % {2 * n} + {2 * n}) % {2 * n} AS q, CAST(k.w AS DOUBLE) AS w FROM range({n}) c(i), (VALUES {values}) k(o, w)) GROUP BY ALL), "
+        f"{name}_r AS (SELECT s.slide, CAST(a.c AS INT) AS y, s.x, sum(s.v * a.w) AS v FROM {source} s JOIN {name}_a a ON s.y = a.m GROUP BY s.slide, a.c, s.x), "
+        f"{name} AS (SELECT r.slide, r.y, CAST(a.c AS INT) AS x, sum(r.v * a.w) AS v FROM {name}_r r JOIN {name}_a a ON r.x = a.m GROUP BY r.slide, r.y, a.c)"
+    )
+
+
+def ones(source: str) -> str:
+    return f"(SELECT slide, y, x, 1e0 AS v FROM {source})"
+
+
+@on_pix(
+    "f5_gauss_threshold", "SELECT slide, y, x, 2 AS sigma FROM near WHERE round(v, 9) > 0.5e0 UNION ALL SELECT slide, y, x, 41 FROM far WHERE round(v, 9) > 0.01e0",
+    f"{gauss_sql('near', ones(m_sql('tubule')), 2)}, {gauss_sql('far', ones(m_sql('tubule')), 41)}",
+)
 def _(px):
     m = mask(px, "tubule")
     return N.gauss_threshold(m, 2, 0.5, S, S).withColumn("sigma", F.lit(2)).union(N.gauss_threshold_runs(m, 41, 0.01, S, S).withColumn("sigma", F.lit(41)))
@@ -575,20 +609,39 @@ def _(px):
     return N.median_blur(px.select(*KEY, F.col("r").alias("v")), 3, S, S)
 
 
-@on_pix("f7_tubule_shell", f"SELECT * FROM {spread_sql('core', disk_sql(5))} EXCEPT SELECT * FROM core EXCEPT SELECT * FROM {m_sql('nuclei')}", f"{GRID_SQL}, m AS (SELECT * FROM {m_sql('tubule')} UNION SELECT slide, y, x FROM pix WHERE y % 30 < 15 AND x % 30 < 15), core AS (SELECT * FROM {erode_sql('m', disk_sql(1))})")
-def _(px):
-    return N.tubule_shell(C.or_(mask(px, "tubule"), px.where("y % 30 < 15 and x % 30 < 15")), mask(px, "nuclei"), S, S, 1, 5)
+_SMOOTH = "SELECT slide, y, x FROM soft WHERE round(v, 9) > 0.5e0"
+_WITHIN = {"cluster": f"({LAYERS['fib1']} OR {LAYERS['fib2']} OR {LAYERS['structural']})", "region": f"({LAYERS['cortex']} AND {LAYERS['eroded_cortex']})"}
 
 
-@on_pix("f8_capsule_shell", f"SELECT * FROM {spread_sql('m', disk_sql(4))} EXCEPT SELECT * FROM {erode_sql('m', disk_sql(1))} EXCEPT SELECT * FROM {m_sql('nuclei')}", f"{GRID_SQL}, m AS (SELECT * FROM {m_sql('cap')} UNION SELECT slide, y, x FROM pix WHERE y % 30 < 15 AND x % 30 < 15)")
-def _(px):
-    return N.capsule_shell(C.or_(mask(px, "cap"), px.where("y % 30 < 15 and x % 30 < 15")), mask(px, "nuclei"), S, S, 1, 4)
+def shell_query(name: str, layer: str, make, outer: int, nested: bool, form: str | None = None) -> None:
+    """A shell of inner radius 1: without nuclei, or (cluster form) within the clusters, or both without nuclei and within the region."""
+    grown = spread_sql("core" if nested else "m", disk_sql(outer))
+    ring = f"SELECT * FROM {grown} EXCEPT SELECT * FROM core" + ("" if form == "cluster" else f" EXCEPT SELECT * FROM {m_sql('nuclei')}")
+    ring = f"({ring})" + (f" INTERSECT SELECT slide, y, x FROM pix WHERE {_WITHIN[form]}" if form else "")
+    more = f"{GRID_SQL}, m AS (SELECT * FROM {m_sql(layer)} UNION SELECT slide, y, x FROM pix WHERE y % 30 < 15 AND x % 30 < 15), core AS (SELECT * FROM {erode_sql('m', disk_sql(1))}), ring AS ({ring}), {gauss_sql('soft', ones('ring'), 2.0)}"
+
+    def run(px: DataFrame) -> DataFrame:
+        within = px.where(_WITHIN[form]).select(*KEY) if form else None
+        return make(C.or_(mask(px, layer), px.where("y % 30 < 15 and x % 30 < 15")), None if form == "cluster" else mask(px, "nuclei"), S, S, 1, outer, within)
 
+    on_pix(name, _SMOOTH, more)(run)
 
-@on_pix("f9_unsharp_smooth")
+
+shell_query("f7_tubule_shell", "tubule", N.tubule_shell, 5, True)
+shell_query("f7_tubule_shell_cluster", "tubule", N.tubule_shell, 7, True, "cluster")
+shell_query("f8_capsule_shell", "cap", N.capsule_shell, 4, False)
+shell_query("f8_capsule_shell_region", "cap", N.capsule_shell, 5, False, "region")
+
+
+@on_pix(
+    "f9_unsharp_smooth",
+    "SELECT g.slide, g.y, g.x, round(least(255e0, greatest(0e0, g.v + 5 * (g.v - s.v))), 6) AS v, 'sharp' AS kind FROM gr g JOIN two s ON g.slide = s.slide AND g.y = s.y AND g.x = s.x UNION ALL SELECT slide, y, x, round(v, 6), 'smooth' FROM one",
+    f"gr AS (SELECT slide, y, x, CAST({GRAY} AS DOUBLE) AS v FROM pix), {gauss_sql('two', 'gr', 2)}, {gauss_sql('one', 'gr', 1)}",
+)
 def _(px):
     v = B.gray(px)
-    return N.unsharp(v, 2, 5, S, S).withColumn("kind", F.lit("sharp")).union(N.gauss(v.withColumn("v", F.col("v").cast("double")), 1, S, S).select(*KEY, "v").withColumn("kind", F.lit("smooth")))
+    both = N.unsharp(v, 2, 5, S, S).withColumn("kind", F.lit("sharp")).union(N.gauss(v.withColumn("v", F.col("v").cast("double")), 1, S, S).select(*KEY, "v").withColumn("kind", F.lit("smooth")))
+    return both.withColumn("v", F.round("v", 6))
 
 
 @on_pix("f10_orientation")
@@ -671,10 +724,10 @@ def _(px):
 @on_pix(
     "g4_scaled_dilation",
     f"SELECT DISTINCT slide, CAST(y + dy AS INT) AS y, CAST(x + dx AS INT) AS x FROM z, o WHERE dy * dy + dx * dx <= rad * rad AND y + dy BETWEEN 0 AND {S - 1} AND x + dx BETWEEN 0 AND {S - 1} EXCEPT SELECT slide, y, x FROM lab",
-    comp_sql("(SELECT slide, y, x FROM pix WHERE g < 15 AND y % 9 < 3)", conn=4) + ", z AS (SELECT slide, y, x, 1 + CAST(floor(ln(1 + 2500.0 * count(*) OVER (PARTITION BY slide, label))) AS INT) AS rad FROM lab), o AS (SELECT a.i - 20 AS dy, b.i - 20 AS dx FROM range(41) a(i), range(41) b(i))",
+    comp_sql("(SELECT slide, y, x FROM pix WHERE g < 15)", conn=4) + ", z AS (SELECT slide, y, x, 1 + CAST(floor(ln(1 + 2500.0 * count(*) OVER (PARTITION BY slide, label))) AS INT) AS rad FROM lab), o AS (SELECT a.i - 20 AS dy, b.i - 20 AS dx FROM range(41) a(i), range(41) b(i))",
 )
 def _(px):
-    return G.scaled_dilation(px.where("g < 15 and y % 9 < 3").select(*KEY), S, S, base=1)
+    return G.scaled_dilation(px.where("g < 15").select(*KEY), S, S, base=1)
 
 
 @on_pix("g5_filter_fibrosis", "SELECT slide, y, x, count(*) OVER (PARTITION BY slide, label, y // 20, x // 20) > 6 AS kept FROM lab", comp_sql(m_sql("tubule"), block=20))
@@ -682,9 +735,14 @@ def _(px):
     return G.filter_fibrosis(mask(px, "tubule"), 6, S, block=20)
 
 
-@on_pix("g6_abnormal_tissue")
+@on_pix(
+    "g6_abnormal_tissue",
+    f"SELECT slide, y, x FROM soft WHERE round(v, 9) > 0.01e0 INTERSECT SELECT slide, CAST(y // 2 AS INT), CAST(x // 2 AS INT) FROM {m_sql('eroded_cortex')}",
+    f"{GRID_SQL}, fib AS (SELECT * FROM {m_sql('tissue')} UNION SELECT slide, y, x FROM grid WHERE y BETWEEN 30 AND 60 AND x BETWEEN 30 AND 60), low AS (SELECT slide, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x FROM fib GROUP BY slide, y // 2, x // 2 HAVING count(*) = 4), "
+    + comp_sql("low") + f", {gauss_sql('soft', ones(sized('n >= 6')), 3.0, S // 2)}",
+)
 def _(px):
-    fib = C.or_(mask(px, "tissue"), px.where("y between 30 and 60 and x between 30 and 60"))
+    fib = C.or_(mask(px, "tissue"), A.grid(px, S, S).where("y between 30 and 60 and x between 30 and 60"))
     return G.abnormal_tissue(fib, mask(px, "eroded_cortex"), S, S, 2, 6, 3.0)
 
 
