@@ -142,6 +142,25 @@ def test_repeats_match_brute_force(spark):
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
+def brute_passages(texts):
+    """Words of each text in runs of 50 words that stand twice."""
+    split = [(t or "").encode().split() for t in texts]
+    n = collections.Counter(tuple(w[i : i + 50]) for w in split for i in range(len(w) - 49))
+    return [len({j for i in range(len(w) - 49) if n[tuple(w[i : i + 50])] > 1 for j in range(i, i + 50)}) for w in split]
+
+
+def test_passages_match_brute_force(spark):
+    p, q = prose(51, 60).split(), prose(52, 300).split()
+    texts = [None, "", "a b", " ".join(p), prose(53, 30) + " " + " ".join(p) + "\n" + prose(54, 40), " ".join(p[:49]), " ".join(q[10:59]) + " end", "\t".join(q), " ".join(q[200:260]) + " " + " ".join(p[5:]), "la " * 120, prose(55, 80)]
+    texts += [prose(60 + i, 20) + " " + " ".join(q[i * 7 : i * 7 + 48 + i]) for i in range(12)]
+    got = {r.doc_id: r.n_passage_words for r in repeats.remove_repeats(table(spark, texts, "k1 k2 p low high gram hull open spans")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_passages(texts)
+    real = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.n_passage_words for r in repeats.remove_repeats(real).collect()}
+    rows = real.collect()
+    assert [got[r.doc_id] for r in rows] == brute_passages([r.text for r in rows]) and any(got.values())
+
+
 def test_repeats_of_whole_table(spark):
     rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in entry.QUERIES["op4_remove_repeats"](spark, SMALL).collect()}
@@ -238,6 +257,18 @@ def test_units_join_to_the_text_and_hold_no_piece_across():
     pieces.read_model()  # raises if a piece crosses the edge of a unit
 
 
+def test_units_of_many_texts_are_cut_as_one_by_one():
+    texts = [None, *(t.replace("▁", " ") for t in ["", " ", "a b", "  x", "abc123,;²_", "東京 ٣٤ é𝄞\n\t tab ", "x" * 200, "\n\n a ", "\u00a0\u2028 ﬁ"]), prose(4, 300)]
+    u = pieces.Units.of(texts)
+    cut = [u.body[a : a + n] for a, n in zip(u.start.tolist(), u.size.tolist(), strict=True)]
+    assert [(i, x) for i, t in enumerate(texts) for x in pieces.units_of(t or "")] == list(zip(u.text.tolist(), cut, strict=True))
+    assert u.strings(np.arange(len(cut))).to_pylist() == cut
+    assert len(set(u.hash.tolist())) == len(set(cut))
+    some = np.unique(u.hash[::2])
+    found = pieces.Dictionary.of(some, pieces.pa.array([[1]] * len(some))).find(u.hash)
+    assert [(x >= 0) for x in found] == [x in set(cut[::2]) for x in cut]
+
+
 # --- quality -----------------------------------------------------------------
 
 
@@ -359,3 +390,32 @@ def test_pipeline_stages(spark):
     assert mixed.columns == docs.columns and all(taken[i] == n for i, n in want.items())
     out = p.encode(spark, mixed, SMALL).collect()
     assert len(out) == sum(taken.values()) and all(r.round_trip for r in out)
+
+
+# --- merged Burrows-Wheeler transforms ---------------------------------------
+
+
+def test_merged_transforms_find_repeated_places(spark):
+    from pixelweave.llm import bwt
+
+    p = prose(71, 12)
+    texts = [None, "", "a", p, prose(72, 5) + p, p[:30] + "x" + p[31:], "ab" * 40, "ab" * 30 + "c", "é" + p[3:40], prose(73, 20), prose(73, 20), p[-9:]]
+    for length in (1, 10, 25):
+        n = collections.Counter(b[i : i + length] for b in ((t or "").encode() for t in texts) for i in range(len(b) - length + 1))
+        want = {(k, i) for k, t in enumerate(texts) for b in [(t or "").encode()] for i in range(len(b) - length + 1) if n[b[i : i + length]] > 1}
+        for shards in (1, 5):
+            rows = bwt.repeated_places(table(spark, texts), length, shards).collect()
+            assert len(rows) == len(want) and {(r.doc_id, r.place) for r in rows} == want
+    assert bwt.repeated_places(table(spark, texts).limit(0), 5, 3).count() == 0
+
+
+def test_merged_transforms_agree_with_the_query_on_long_repeats(spark):
+    from pixelweave.llm import bwt
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", F.substring("text", 1, 3000).alias("text")).where("doc_id % 4 = 0")
+    starts = collections.defaultdict(set)
+    for r in bwt.repeated_places(docs, 400, 3).collect():
+        starts[r.doc_id].add(r.place)
+    for r in repeats.remove_repeats(docs).collect():
+        gone = {j for i in starts[r.doc_id] for j in range(i, i + 400)}
+        assert len(gone) == r.n_removed
