@@ -49,7 +49,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.audio_features(documents(spark, sf_dir), full=False).drop("segments", "windows", "media")
+    return audio.audio_features(documents(spark, sf_dir))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

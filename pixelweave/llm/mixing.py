@@ -122,8 +122,9 @@ _SCHEMA = "unit string, h long, size long, bin int, block long, source_key strin
 def dependent_copies(units: DataFrame, seed: int = 0, leaf_rows: int = 4096) -> DataFrame:
     """(unit, copies) from (unit, h, size, source_key, p): copies is whole and has expectation p; each source's sum of copies is kept but for one rounding."""
     binned = units.withColumn("bin", F.floor(F.log2(F.greatest("size", F.lit(1))) * 4).cast("int"))
-    blocks = binned.groupBy("source_key", "bin").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).alias("blocks"))
-    leaves = binned.join(blocks, ["source_key", "bin"]).withColumn("block", F.pmod("h", F.col("blocks"))).withColumn("whole", F.floor("p")).withColumn("fraction", F.col("p") - F.floor("p"))
+    # One row for each source and size bin, broadcast if a count shows they are few: a hot source's bin is then no hot key.
+    blocks = stored(binned.groupBy("source_key", "bin").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).alias("blocks")), "blocks")
+    leaves = binned.join(if_few(blocks, 100_000), ["source_key", "bin"]).withColumn("block", F.pmod("h", F.col("blocks"))).withColumn("whole", F.floor("p")).withColumn("fraction", F.col("p") - F.floor("p"))
     deepest = blocks.agg(F.max("blocks")).first()[0] or 1
     groups = [["source_key", "bin", "block"]]
     while deepest > 1:

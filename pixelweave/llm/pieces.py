@@ -14,8 +14,8 @@ they stand, with the nodes of the last ``longest`` places, by the same rule.
 3. edges grouped by unit are folded by Viterbi with ``aggregate``; of equal
    scores the earliest start wins; characters without a piece fall back to bytes;
 4. units of many texts (at most ``HOT``, by a count threshold) are broadcast to
-   the tasks that encode the texts; the rest reach the texts that hold them by
-   joins on unit and row.
+   the tasks that encode the texts; the others leave holes in the ids, which joins
+   on unit and text fill. Units are told apart by 64-bit hashes there.
 
 The scores of a BPE model are ranks of merges, not log-probabilities; they are
 read as Zipf log-probabilities, -ln(rank + 1) - ln(ln(size)). A unigram model's
@@ -27,6 +27,8 @@ character U+2581 itself, which comes back as a space, as with the library.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -34,16 +36,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import remove, shared_dir, store
+from .wordhash import mix, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE, LONG, HOT = "▁", 64, 150_000
+SPACE, LONG, HOT = "▁", 64, 500_000
 #: One unit: spaces with a run of letters, digits or other characters.
 UNIT = re.compile(rf"[ {SPACE}]*+(?:[^\W\d_²]++|\d++|(?:[^\w {SPACE}]|[_²])++)|[ {SPACE}]++")
-UNIT_GROUPS = 10_000
+UNIT_GROUPS = 10_000  # about as many units are grouped by a task
 
 
 @dataclass
@@ -98,146 +102,380 @@ def best_ids(unit: str, known: dict[str, tuple[int, float]], longest: int, unkno
     return np.array([i for x in reversed(out) for i in x], np.int32)
 
 
-def distinct_units(docs: DataFrame, text: str = "text", most: int = 60_000) -> DataFrame:
-    """(unit, n) of at most ``LONG`` characters, with spaces escaped; tasks add up what they have seen before the shuffle, at most ``most`` units at a time."""
+@functools.cache
+def _classes() -> np.ndarray:
+    """By code point: 0 space, 1 letter, 2 digit, 3 other, as in ``UNIT``."""
+    every = np.concatenate([np.arange(0xD800, dtype=np.uint32), np.arange(0xE000, 0x110000, dtype=np.uint32)]).tobytes().decode("utf-32-le")
+    out = np.full(0x110000, 3, np.int8)
+    for kind, chars in enumerate((f"[ {SPACE}]+", r"[^\W\d_²]+", r"\d+")):
+        for m in re.finditer(chars, every):
+            out[ord(every[m.start()]) : ord(every[m.end() - 1]) + 1] = kind
+    out[0xD800:0xE000] = 3  # no characters
+    return out
+
+
+_CODE = mix(np.arange(0x3000, dtype=np.uint64)) | np.uint64(1)
+
+
+def _code_hashes(code: np.ndarray) -> np.ndarray:
+    out = _CODE[np.minimum(code, len(_CODE) - 1)]
+    beyond = code >= len(_CODE)
+    if beyond.any():
+        out[beyond] = mix(code[beyond].astype(np.uint64)) | np.uint64(1)
+    return out
+
+
+def run_hashes(code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of runs of code points, wherever they stand."""
+    power, inverse = powers(len(code) + 1)
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(_code_hashes(code) * power[: len(code)], out=sums[1:])
+    return mix((sums[start + size] - sums[start]) * inverse[start] + size.astype(np.uint64))
+
+
+def hashes(units: list[str]) -> np.ndarray:
+    """The hashes that ``Units`` gives to whole units."""
+    size = np.array([len(u) for u in units], np.int64)
+    return run_hashes(np.frombuffer("".join(units).encode("utf-32-le"), np.uint32), np.cumsum(size) - size, size)
+
+
+@dataclass
+class Units:
+    """The units of some texts, cut at once by the rule of ``UNIT``."""
+
+    body: str  # the texts, each with a space in front
+    start: np.ndarray  # of each unit in body
+    size: np.ndarray
+    text: np.ndarray  # the text of each unit
+    hash: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Units:
+        body = "".join(f" {t}" for t in texts if t)
+        code = np.frombuffer(body.encode("utf-32-le"), np.uint32)
+        lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        ends = np.cumsum(lengths)
+        kind = _classes()[code]
+        head = np.zeros(len(code), bool)
+        head[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
+        head[(ends - lengths)[lengths > 0]] = True
+        start = np.flatnonzero(head)
+        size = np.diff(start, append=len(code))
+        return cls(body, start, size, np.searchsorted(ends, start, "right"), run_hashes(code, start, size))
+
+    def strings(self, which: np.ndarray) -> pa.Array:
+        """Those units, cut from the UTF-8 bytes of the body."""
+        data = np.frombuffer(self.body.encode(), np.uint8)
+        at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of each character
+        start = at[self.start[which]]
+        size = at[self.start[which] + self.size[which]] - start
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(which), pa.py_buffer(ends), pa.py_buffer(data[ranges(start, size)]))
+
+
+def _text_slices(column: pa.Array, chars: int = 1 << 19) -> Iterator[tuple[int, int, list[str]]]:
+    """Runs of rows with about ``chars`` characters, so that memory follows the longest text and not the batch."""
+    first, size, held = 0, 0, []
+    for i, t in enumerate(column):
+        held.append((t.as_py() or "").replace(SPACE, " "))  # one character to the model
+        size += len(held[-1])
+        if size >= chars:
+            yield first, i + 1, held
+            first, size, held = i + 1, 0, []
+    if held:
+        yield first, len(column), held
+
+
+def distinct_units(docs: DataFrame, text: str = "text", merge: int = 200_000, most: int = 600_000) -> DataFrame:
+    """(unit, n) of at most ``LONG`` characters. A task adds up what it has seen, every ``merge`` rows, and gives up to about ``most`` units at a time, so a unit may come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+        whole: tuple | None = None
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
 
-        seen: Counter = Counter()
+        def added() -> tuple[np.ndarray, np.ndarray, pa.Array]:
+            rows = [*([whole] if whole else []), *held]
+            held.clear()
+            h, first, which = np.unique(np.concatenate([x[0] for x in rows]), return_index=True, return_inverse=True)
+            n = np.bincount(which, weights=np.concatenate([x[1] for x in rows])).astype(np.int64)
+            return h, n, pa.concat_arrays([x[2] for x in rows]).take(pa.array(first))
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
+        def out(x: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([x[2], pa.array(x[1])], ["unit", "n"])
 
         for batch in batches:
-            for t in batch.column(0):
-                seen.update(u for u in units_of(t.as_py() or "") if len(u) <= LONG)
-                if len(seen) > most:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+            for _, _, texts in _text_slices(batch.column(0)):
+                u = Units.of(texts)
+                short = np.flatnonzero(u.size <= LONG)
+                h, first, n = np.unique(u.hash[short], return_index=True, return_counts=True)
+                held.append((h, n, u.strings(short[first])))
+                if sum(len(x[0]) for x in held) > merge:
+                    whole = added()
+                    if len(whole[0]) > most:
+                        yield out(whole)
+                        whole = None
+        if held or whole:
+            yield out(added())
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "unit string, n long")
 
 
-def viterbi(edges: Column, length: Column) -> Column:
-    """Ids of the best path. ``edges``: structs (end, start, id, score) sorted by end and start, some edge ending at each place."""
-    node = "struct<score:double,start:int,id:int>"
-    start = F.struct(F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id"))).cast(f"array<{node}>").alias("nodes"), F.lit(0).alias("end"), F.lit(None).cast(node).alias("best"))
+def counted_units(found: DataFrame) -> DataFrame:
+    """(unit, h, n) of all tasks together, with 64-bit hashes."""
 
-    def let(value: Column, use) -> Column:
-        """``use(value)`` with the value computed once."""
-        return F.get(F.transform(F.array(value), use), F.lit(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes(batch.column(0).to_pylist()).view(np.int64)), batch.column(1)], ["unit", "h", "n"])
+
+    return found.groupBy("unit").agg(F.sum("n").alias("n")).mapInArrow(run, "unit string, h long, n long")
 
-    def step(acc: Column, e: Column) -> Column:
-        same = e["end"] == acc["end"]
 
-        def chosen(nodes: Column) -> Column:
-            def better(score: Column) -> Column:
-                keep = same & (score <= acc["best"]["score"])
-                best = F.when(keep, acc["best"]).otherwise(F.struct(score.alias("score"), e["start"].alias("start"), e["id"].alias("id")))
-                return F.struct(nodes.alias("nodes"), e["end"].alias("end"), best.alias("best"))
+def viterbi(edges: Column) -> Column:
+    """Ids of the best path. ``edges``: structs (end, start, id, score) sorted by end and start, some edge ending at each place.
 
-            return let(F.get(nodes, e["start"])["score"] + e["score"], better)
+    State: for each place before ``end`` its best score and the ids that lead
+    there; of the best edge into ``end`` so far its score, start and id.
+    """
 
-        return let(F.when(same | acc["best"].isNull(), acc["nodes"]).otherwise(F.array_append(acc["nodes"], acc["best"])), chosen)
+    def settled(acc: Column) -> Column:
+        """The nodes with that of ``end``."""
+        return F.array_append(acc["nodes"], F.struct(acc["score"].alias("score"), F.array_append(F.get(acc["nodes"], acc["start"])["ids"], acc["id"]).alias("ids")))
+
+    def step(acc: Column, e: Column) -> Column:
+        same = e["end"] == acc["end"]
+        score = e["score"] + F.when(e["start"] == acc["end"], acc["score"]).otherwise(F.get(acc["nodes"], e["start"])["score"])
 
-    nodes = F.aggregate(edges, start, step, lambda acc: F.array_append(acc["nodes"], acc["best"]))
+        def let(score: Column) -> Column:
+            # Edges into one end come by start: of equal scores the earliest start stays.
+            worse = same & (score <= acc["score"])
+            nodes = F.when(same | (acc["end"] == 0), acc["nodes"]).otherwise(settled(acc))
+            return F.when(worse, acc).otherwise(F.struct(nodes.alias("nodes"), e["end"].alias("end"), score.alias("score"), e["start"].alias("start"), e["id"].alias("id")))
 
-    def back(acc: Column, i: Column) -> Column:
-        at = F.get(acc["nodes"], i)
-        on = acc["at"] == i
-        return F.struct(acc["nodes"].alias("nodes"), F.when(on, at["start"]).otherwise(acc["at"]).alias("at"), F.when(on, F.array_append(acc["ids"], at["id"])).otherwise(acc["ids"]).alias("ids"))
+        return let(score)
 
-    first = F.struct(nodes.alias("nodes"), length.alias("at"), F.array().cast("array<int>").alias("ids"))
-    return F.aggregate(F.sequence(length, F.lit(1), F.lit(-1)), first, back, lambda acc: F.reverse(acc["ids"]))
+    empty = F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids"))
+    start = F.struct(F.array(empty).alias("nodes"), F.lit(0).alias("end"), F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id"))
+    return F.aggregate(edges, start, step, lambda acc: F.element_at(settled(acc), -1)["ids"])
 
 
 def encode_units(units: DataFrame, table: Table) -> DataFrame:
-    """(unit, n, ids) from (unit, n): the relational lattice of each unit, folded."""
+    """(unit, h, n, ids) from (unit, h, n): the relational lattice of each unit, folded."""
     spark = units.sparkSession
-    pieces = spark.createDataFrame(table.pieces, "piece string, id int, score double")
+    pieces = spark.createDataFrame([(p.replace(SPACE, " "), i, score) for p, i, score in table.pieces], "piece string, id int, score double")
     parts = -(-max(1, units.count()) // UNIT_GROUPS)
-    length = F.length("unit")
-    spread = units.withColumn("unit", F.translate("unit", " ", SPACE)).repartition(max(parts, 8), "unit")
-    cuts = F.flatten(F.transform(F.sequence(F.lit(0), length - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(length - s, F.lit(table.longest))), lambda k: F.struct(s.alias("start"), (s + k).alias("end"), F.substring(F.col("unit"), s + 1, k).alias("piece")))))
-    edges = spread.select("unit", "n", F.inline(cuts)).join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
+    spread = units.repartition(max(parts, 8), "unit")
+    # Two explodes and a substring stay inside generated code; a nested transform would not.
+    ends = spread.select("unit", "h", "n", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("end"))
+    cuts = ends.select("unit", "h", "n", "end", F.explode(F.sequence(F.greatest(F.col("end") - table.longest, F.lit(0)), F.col("end") - 1)).alias("start"))
+    edges = cuts.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("end") - F.col("start"))).join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
     # An edge without a piece keeps its place as a negative id until its bytes are put in.
     edge = F.struct("end", "start", F.coalesce("id", -F.col("end")).alias("id"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
-    grouped = edges.groupBy("unit", "n").agg(F.collect_list(edge).alias("edges"))
-    best = grouped.select("unit", "n", viterbi(F.array_sort("edges"), length).alias("ids"))
+    grouped = edges.groupBy("unit", "h", "n").agg(F.collect_list(edge).alias("edges"))
+    best = grouped.select("unit", "h", "n", viterbi(F.sort_array("edges")).alias("ids"))
 
     def as_bytes(place: Column) -> Column:
-        code = F.hex(F.encode(F.substring(F.col("unit"), -place, F.lit(1)), "UTF-8"))
+        code = F.hex(F.encode(F.translate(F.substring(F.col("unit"), -place, F.lit(1)), " ", SPACE), "UTF-8"))
         return F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda i: F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + table.bytes0)
 
     ids = F.when(F.exists("ids", lambda x: x < 0), F.flatten(F.transform("ids", lambda x: F.when(x < 0, as_bytes(x)).otherwise(F.array(x))))).otherwise(F.col("ids"))
-    return best.select(F.translate("unit", SPACE, " ").alias("unit"), "n", ids.alias("ids"))
+    return best.select("unit", "h", "n", ids.alias("ids"))
+
+
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session whose tasks group their units by hash (about UNIT_GROUPS; by default all edges would be sorted) and whose shuffle files go when a table is written; the user's settings stay."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 4 * UNIT_GROUPS)
+    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
+    return own
 
 
-def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: Table | None = None, hot: int = HOT) -> DataFrame:
-    """doc_id, text_sha256, ids: one row per row of ``docs``."""
+@dataclass
+class Dictionary:
+    """Units and their ids, found by 64-bit hashes: keys in order, and where those of each leading bits begin."""
+
+    key: np.ndarray
+    begin: np.ndarray
+    shift: int
+    at: np.ndarray  # of each key's ids in flat; one more for the end
+    flat: np.ndarray
+
+    @classmethod
+    def of(cls, h: np.ndarray, ids: pa.ListArray) -> Dictionary:
+        order = np.argsort(h)
+        size = pc.list_value_length(ids).to_numpy(zero_copy_only=False)[order]
+        bits = max(1, len(h).bit_length())
+        begin = np.searchsorted(h[order], np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+        at = np.concatenate([[0], np.cumsum(size)])
+        return cls(h[order], np.append(begin, len(h)).astype(np.int32), 64 - bits, at, ids.take(pa.array(order)).flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where there is none."""
+        out = np.full(len(h), -1)
+        if not len(self.key):
+            return out
+        top = (h >> np.uint64(self.shift)).astype(np.int64)
+        place, end = self.begin[top], self.begin[top + 1]
+        left = np.flatnonzero(place < end)
+        while len(left):
+            hit = self.key[place[left]] == h[left]
+            out[left[hit]] = place[left[hit]]
+            left = left[~hit]
+            place[left] += 1
+            left = left[place[left] < end[left]]
+        return out
+
+
+def ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers at .. at + size - 1 of each pair, one after the other."""
+    return np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def lacking(u: Units, common: Dictionary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of each unit in the dictionary (-1: it lacks, -2: too long for it); of the lacking ones, by text and hash, their numbers, and whether each is the first of its kind in its text."""
+    place = common.find(u.hash)
+    place[u.size > LONG] = -2
+    lack = np.flatnonzero(place == -1)
+    order = lack[np.lexsort((u.hash[lack].view(np.int64), u.text[lack]))]
+    t, h = u.text[order], u.hash[order]
+    new = (np.diff(t, prepend=-1) != 0) | (np.diff(h, prepend=h[:1]) != 0)
+    return place, order, new
+
+
+def coded(texts: list[str], common: Dictionary, long_ids) -> tuple[list[np.ndarray], np.ndarray]:
+    """The ids of each text, and whether it lacks any unit: one that isn't common leaves a hole, -1 - k for the k-th, by hash, of those its text lacks."""
+    u = Units.of(texts)
+    place, order, new = lacking(u, common)
+    flat, at, size = common.flat, common.at[np.maximum(place, 0)], np.where(place >= 0, np.diff(common.at)[np.maximum(place, 0)] if len(common.key) else 0, 1)
+    more, end = [flat], len(flat)
+    lacks = np.zeros(len(texts), bool)
+    if len(order):
+        t = u.text[order]
+        other = np.diff(t, prepend=-1) != 0
+        k = np.cumsum(new) - 1  # number of each distinct (text, unit)
+        more.append((-1 - (k - np.repeat(k[other], np.diff(np.append(np.flatnonzero(other), len(t)))))).astype(np.int32))
+        at[order], size[order] = end + np.arange(len(order)), 1
+        end += len(order)
+        lacks[t] = True
+    for x in np.flatnonzero(place == -2).tolist():
+        ids = long_ids(u.body[u.start[x] : u.start[x] + u.size[x]])
+        more.append(ids)
+        at[x], size[x] = end, len(ids)
+        end += len(ids)
+    pool = np.concatenate(more) if len(more) > 1 else flat
+    body = pool[ranges(at, size)].astype(np.int32) if len(at) else np.zeros(0, np.int32)
+    ends = np.cumsum(np.bincount(u.text, weights=size, minlength=len(texts)).astype(np.int64))
+    return [body[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], lacks
+
+
+def packed(ids: np.ndarray) -> bytes:
+    """The number of ids, and their bytes by significance, compressed."""
+    return len(ids).to_bytes(8, "little") + pa.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(x: memoryview) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    return np.frombuffer(pa.decompress(pa.py_buffer(x[8:]), 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view(np.int32).ravel()
+
+
+def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: Table | None = None, hot: int = HOT, checked: bool = False) -> DataFrame:
+    """doc_id, text_sha256, ids: one row per row of ``docs``; if ``checked`` also ``round_trip``, whether decoding gives the text back."""
     spark = docs.sparkSession
     table = table or read_model()
-    # U+2581 and the space are one character to the model.
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.translate(F.coalesce(F.col(text), F.lit("")), SPACE, " ").alias("t"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text_sha256"))
-    units = stored(distinct_units(plain, "t"), "units")
-    setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, 2 * UNIT_GROUPS)  # a task groups about UNIT_GROUPS units; by default it would sort all edges
-    try:
-        encoded = stored(encode_units(units, table), "encoded")
-    finally:
-        spark.conf.set(setting, before)
+    body = F.coalesce(F.col(text), F.lit(""))
+    own, folder = own_session(spark), shared_dir(spark)
+
+    paths: dict[str, str] = {}
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        """``df`` stored, as a table of the own session."""
+        paths[tag] = store(df, tag, folder)
+        return own.read.schema(df.schema).parquet(paths[tag])
+
+    units = kept(counted_units(kept(distinct_units(docs.select(body.alias("t")), "t"), "seen")), "units")
+    remove(own, paths.pop("seen"))
+    encoded = kept(encode_units(units, table), "encoded")
     least = threshold(units, hot)
-    common = encoded.where(F.col("n") >= least).select("unit", "ids").toArrow()  # at most ``hot`` rows
-    ids = common["ids"].combine_chunks()
-    shared = spark.sparkContext.broadcast((common["unit"].to_pylist(), np.diff(ids.offsets.to_numpy()), ids.values.to_numpy().astype(np.uint32)))
-    del common, ids
+    found = encoded.where(F.col("n") >= least).select("h", "ids").toArrow().combine_chunks()  # at most ``hot`` rows
+    one = lambda c: c.chunk(0) if c.num_chunks else pa.array([], c.type)
+    shared = spark.sparkContext.broadcast(Dictionary.of(one(found["h"]).to_numpy(zero_copy_only=False).view(np.uint64), one(found["ids"])))
+    del found
     pieces = spark.sparkContext.broadcast([(p.replace(SPACE, " "), i, score) for p, i, score in table.pieces])
     rest = (table.longest, table.unknown, table.bytes0)
+    # Texts are known by their SHA-256, so that both passes over them agree however often they run.
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("key"), body.alias("t"))
 
-    def known() -> tuple[dict[str, bytes], dict[str, tuple[int, float]]]:
-        units, sizes, values = shared.value
-        ends = np.cumsum(sizes) * 4
-        body = values.tobytes()
-        return {u: body[a:b] for u, a, b in zip(units, (ends - sizes * 4).tolist(), ends.tolist(), strict=True)}, {p: (i, score) for p, i, score in pieces.value}
-
-    def joined(found: list[str], common: dict, own: dict, table_: dict) -> np.ndarray:
-        return np.frombuffer(b"".join([best_ids(u, table_, *rest).tobytes() if len(u) > LONG else common[u] if u in common else own[u] for u in found]), np.int32)
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in _text_slices(batch.column(1)):
+                u = Units.of(texts)
+                _, order, new = lacking(u, shared.value)
+                if len(order):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(u.text[order[new]])), pa.array(u.hash[order[new]].view(np.int64))], ["key", "h"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts of common units come out encoded; others with their text, packed, and the units that are still wanted."""
-        common, table_ = _cached(shared, known)
-        for batch in _few_rows(batches):
-            done, packed, sizes, wanted = [], [], [], []
-            for t in batch.column(1):
-                body = t.as_py()
-                found = units_of(body)
-                lacking = {u for u in found if len(u) <= LONG and u not in common}
-                done.append(None if lacking else joined(found, common, {}, table_))
-                packed.append(pa.compress(body.encode(), "zstd", asbytes=True) if lacking else None)
-                wanted.append(list(lacking) if lacking else None)
-                sizes.append(len(body.encode()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(done, pa.list_(pa.int32())), pa.array(packed, pa.binary()), pa.array(sizes, pa.int64()), pa.array(wanted, pa.list_(pa.string()))], ["doc_id", "text_sha256", "ids", "packed", "size", "wanted"])
-
+        table_, whole = _cached(pieces, lambda: {p: (i, score) for p, i, score in pieces.value}), 0
+        for batch in batches:
+            for a, b, texts in _text_slices(batch.column(2)):
+                ids, lacks = coded(texts, shared.value, lambda u: best_ids(u, table_, *rest))
+                keys = batch.column(1).slice(a, b - a)
+                # A text that lacks nothing meets no row; numbers in place of keys spread the copies of a hot one.
+                meet = [k if lack else (whole + i).to_bytes(8, "little") for i, (k, lack) in enumerate(zip(keys.to_pylist(), lacks.tolist(), strict=True))]
+                whole += len(meet)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), keys, pa.array(meet, pa.binary()), pa.array([packed(x) for x in ids], pa.binary())], ["doc_id", "key", "meet", "coded"])
+
+    missing = kept(keyed.select("key", "t").mapInArrow(wanted, "key binary, h long"), "wanted")
+    met = missing.join(encoded.where(F.col("n") < least).select("h", F.col("ids").alias("own")), "h").groupBy(F.col("key").alias("meet"))
+    found = F.sort_array(F.collect_set(F.struct("h", "own")))  # copies of a text want the same
+    path = store(met.agg(F.transform(found, lambda x: x["own"]).alias("rare")), "rare", folder)
+    for used in paths.values():  # all that is left to do reads the texts and ``rare``
+        remove(own, used)
+    rare = spark.read.schema("meet binary, rare array<array<int>>").parquet(path)
     kind = docs.schema[doc_id].dataType.simpleString()
-    half = stored(plain.select("doc_id", "t", "text_sha256").mapInArrow(first, f"doc_id {kind}, text_sha256 string, ids array<int>, packed binary, size long, wanted array<string>").withColumn("row", F.monotonically_increasing_id()), "half")
-    rare = half.where(F.col("wanted").isNotNull()).select("row", F.explode("wanted").alias("unit")).join(encoded.select("unit", "ids"), "unit").groupBy("row").agg(F.collect_list(F.struct("unit", "ids")).alias("rare"))
+    half = keyed.mapInArrow(first, f"doc_id {kind}, key binary, meet binary, coded binary")
+    surfaces = surface_bytes(table) if checked else None
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, table_ = _cached(shared, known)
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few_rows(batches):
-            done = []
-            for packed, size, rare in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
-                own = {x["unit"]: np.array(x["ids"], np.uint32).tobytes() for x in rare.as_py()}
-                body = pa.decompress(packed.as_py(), size.as_py(), "zstd", asbytes=True).decode()
-                done.append(joined(units_of(body), common, own, table_))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.list_(pa.int32()))], ["doc_id", "text_sha256", "ids"])
+            done = [filled(unpacked(memoryview(x.as_buffer())), r) for x, r in zip(batch.column(2), batch.column(3), strict=True)]
+            size = np.array([len(x) for x in done], np.int64)
+            ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), np.concatenate(done))
+            same = [hashlib.sha256(x[1:] if x[:1] == b" " else x).digest() == h for x, h in zip(decoded(ids.values, size, surfaces), batch.column(1).to_pylist(), strict=True)] if checked else None
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.hex() for x in batch.column(1).to_pylist()]), ids, *([pa.array(same)] if checked else [])], ["doc_id", "text_sha256", "ids", *["round_trip"] * checked])
+
+    whole = half.join(rare, "meet", "left").select("doc_id", "key", "coded", "rare")
+    return whole.mapInArrow(last, f"doc_id {kind}, text_sha256 string, ids array<int>" + ", round_trip boolean" * checked)
+
+
+def filled(ids: np.ndarray, rare: pa.Scalar) -> np.ndarray:
+    """``ids`` with each hole -1 - k replaced by the k-th ids of ``rare``."""
+    if not rare.is_valid:
+        return ids
+    values, size = rare.values.flatten().to_numpy(), pc.list_value_length(rare.values).to_numpy()
+    at, hole = np.cumsum(size) - size, ids < 0
+    k = -1 - ids[hole]
+    wide = np.ones(len(ids), np.int64)
+    wide[hole] = size[k]
+    place = np.cumsum(wide) - wide
+    out = np.empty(int(wide.sum()), np.int32)
+    out[place[~hole]] = ids[~hole]
+    out[ranges(place[hole], size[k])] = values[ranges(at[k], size[k])]
+    return out
+
+
+def surface_bytes(table: Table) -> list[bytes]:
+    """The bytes of each id, spaces plain."""
+    surfaces = [s.replace(SPACE, " ").encode() for s in table.surfaces]
+    surfaces[table.bytes0 : table.bytes0 + 256] = [bytes([b]) for b in range(256)]
+    return surfaces
 
-    filled = half.where(F.col("wanted").isNotNull()).join(rare, "row").select("doc_id", "text_sha256", "packed", "size", "rare").mapInArrow(second, f"doc_id {kind}, text_sha256 string, ids array<int>")
-    return half.where(F.col("wanted").isNull()).select("doc_id", "text_sha256", "ids").unionByName(filled)
+
+def decoded(flat: pa.Array, size: np.ndarray, surfaces: list[bytes]) -> Iterator[bytes]:
+    """The bytes of each run of ``size`` ids."""
+    bodies = pa.array(surfaces, pa.binary()).take(flat)
+    places = np.frombuffer(bodies.buffers()[1], np.int32)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+    data, ends = memoryview(bodies.buffers()[2] or b""), np.cumsum(size)
+    return (bytes(data[a:b]) for a, b in zip(places[ends - size].tolist(), places[ends].tolist(), strict=True))
 
 
 def _few_rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -272,9 +510,7 @@ def threshold(units: DataFrame, hot: int) -> int:
 
 def decode(encoded: DataFrame, table: Table | None = None, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``: the text of its ids; null ids give null."""
-    table = table or read_model()
-    surfaces = [s.replace(SPACE, " ").encode() for s in table.surfaces]
-    surfaces[table.bytes0 : table.bytes0 + 256] = [bytes([b]) for b in range(256)]
+    surfaces = surface_bytes(table or read_model())
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -284,20 +520,15 @@ def decode(encoded: DataFrame, table: Table | None = None, ids: str = "ids") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few_rows(batches):
-            texts = []
-            for x in batch.column(at):
-                if not x.is_valid:
-                    texts.append(None)
-                    continue
-                body = b"".join([surfaces[i] for i in x.values.to_pylist()]).decode("utf-8", "replace")
-                texts.append(body[1:] if body[:1] == " " else body)
+            column = batch.column(at)
+            size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            texts = [(str(x[1:] if x[:1] == b" " else x, "utf-8", "replace") if there else None) for there, x in zip(column.is_valid().to_pylist(), decoded(column.flatten(), size, surfaces), strict=True)]
             columns = [c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], schema=arrow)
 
     return encoded.mapInArrow(run, schema)
 
 
-def encoded_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def encoded_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: Table | None = None) -> DataFrame:
     """doc_id, n_pieces, ids, and whether decoding gives the text back."""
-    out = decode(encode(docs, text, doc_id))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+    return encode(docs, text, doc_id, table, checked=True).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")

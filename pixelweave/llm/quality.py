@@ -14,10 +14,13 @@ reach the driver. All documents are scored, on whole texts.
 
 Null text, language or source count as empty, null length as 0. Without both
 labels in the sample every document gets quality 1 (or 0 if all labels are 0).
+A quality of ``least`` itself is kept; equal rows get equal qualities.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,7 +36,7 @@ from .wordhash import SPACE, mix, slices, words
 
 LABELLED = 4000
 ROUNDS, PER_ROUND, SURE = 4, 200, 0.95
-TEXT_BUCKETS, META_BUCKETS = 256, 64
+TEXT_BUCKETS, META_BUCKETS = 256, 256
 _CLASS = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 mark, 5 space, 6 beyond ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 6
 _CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 4
@@ -68,13 +71,17 @@ def text_features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(4096)
+def _bucket(kind: str, value: str) -> int:
+    """The bucket of a whole value."""
+    return int.from_bytes(hashlib.blake2b(f"{kind}{value}".encode(), digest_size=8).digest(), "little") % META_BUCKETS
+
+
 def meta_features(lang: list, source: list, n_chars: list) -> np.ndarray:
     """One row a document: hashed language and source, and its recorded length by powers of two."""
     out = np.zeros((len(lang), META_BUCKETS + 24), np.float32)
     for i, (a, b, c) in enumerate(zip(lang, source, n_chars, strict=True)):
-        for kind, value in (("l", a), ("s", b)):
-            h = int(mix(np.frombuffer(f"{kind}{value}".encode().ljust(8, b"_")[-8:], np.uint64))[0])
-            out[i, h % META_BUCKETS] = 1
+        out[i, [_bucket("l", a or ""), _bucket("s", b or "")]] = 1
         out[i, META_BUCKETS + min(23, max(0, int(c or 0)).bit_length())] = 1
     return out
 

@@ -32,7 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` powers of an odd base, and those of its inverse."""
     if len(_powers[0]) < n:
         for i, b in enumerate((_BASE, _UNBASE)):
             p = np.full(max(n, SLICE * 2), b)
@@ -61,7 +62,7 @@ def words(texts: list[bytes]) -> Words:
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if len(end) > len(start):
         end = end[-len(start) :] if len(start) else end[:0]
-    power, inverse = _power(len(data))
+    power, inverse = powers(len(data))
     h = np.add.reduceat(_BYTE[data] * power, start) * inverse[start] if len(start) else np.zeros(0, np.uint64)
     text = np.searchsorted(at, start, "right") - 1
     counts = np.bincount(text, minlength=len(texts))[: len(texts)]
