@@ -11,8 +11,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", tempfile.mkdtemp(prefix="spark-shared-"))
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder on a local master, and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _own.setdefault("dir", tempfile.mkdtemp(prefix="spark-shared-"))
     return found.rstrip("/")
 
 
