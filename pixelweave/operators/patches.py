@@ -154,6 +154,19 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 12, "0")).otherwise(p)), "")
 
 
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``rows`` with their number from 1 in the given order: sorted by ranges, numbered within each, the sizes of the ranges before added. No task holds all rows."""
+    from ..sources.tables import stored
+
+    keys = [f"__key{i}" for i in range(len(order))]
+    sorted_ = rows.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)]).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
+    placed = stored(sorted_.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__id", 33)  # its lower 33 bits count the rows of a partition
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # one row a partition
+    return placed.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__id") - F.shiftleft("__part", 33) + 1).select(*rows.columns, name)
+
+
 def tile_manifest(paths: DataFrame) -> DataFrame:
     """One row per patch file that is no mask, numbered in natural order, with a flat name."""
     kept = paths.where(~F.col("path").contains("mask"))

@@ -19,7 +19,8 @@ from ..operators.pixels import KEY
 from ..sources import slides as A
 from ..sources.tables import shared_dir
 from . import presets
-from .queries_raster import EXCLUSION, FIB, FIB_CLUSTER, GRAY, INFLAMM, R, comp_sql, erode_sql, hash_sql, m_sql, offsets_table, sized
+from ..operators.resample import downsample_mask
+from .queries_raster import ABNORMAL_SQL, EXCLUSION, FIB, FIB_CLUSTER, GRAY, INFLAMM, R, comp_sql, erode_sql, abnormal, hash_sql, m_sql, offsets_table, sized
 from .raster import GRID_SQL, LAYERS, PIX_SQL, SIDE, layers, mask, pix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,7 +113,11 @@ def _(spark, d):
 
 @register("a14_write_report", f"SELECT slide, metric, value FROM (SELECT {SCORE_COLUMNS} FROM scores) UNPIVOT (value FOR metric IN ({', '.join(METRICS)}))", more=SCORES_SQL)
 def _(spark, d):
-    return A.write_report(scores(spark, d))
+    import uuid
+
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    A.write_report(scores(spark, d), path)
+    return A.read_report(spark, path)
 
 
 @register("a16_skip_done", "SELECT 'img' || CAST(doc_id AS VARCHAR) AS name FROM documents WHERE doc_id % 3 != 0", False)
@@ -127,10 +132,8 @@ def _(spark, d):
 
 @register("e15_natural_order", "SELECT name, row_number() OVER (ORDER BY regexp_extract(name, '^[a-z]+', 0), CAST(regexp_extract(name, '([0-9]+)_', 1) AS INT), CAST(regexp_extract(name, '_([0-9]+)', 1) AS INT)) AS place FROM (SELECT lang || CAST(doc_id % 300 AS VARCHAR) || '_' || CAST(doc_id AS VARCHAR) || '.png' AS name FROM documents)", False)
 def _(spark, d):
-    from pyspark.sql import Window
-
     names = table(spark, d, "documents").select(F.concat("lang", (F.col("doc_id") % 300).cast("string"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".png")).alias("name"))
-    return names.select("name", F.row_number().over(Window.orderBy(E.natural_key(F.col("name")))).cast("long").alias("place"))
+    return E.numbered(names, "place", E.natural_key(F.col("name")))
 
 
 @register("e16_tile_manifest", "SELECT folder, path, CAST(row_number() OVER (PARTITION BY folder ORDER BY k) - 1 AS INT) AS id, replace(path, '/', '-') AS name FROM (SELECT source AS folder, doc_id AS k, source || '/p' || CAST(doc_id AS VARCHAR) || '.png' AS path FROM documents WHERE doc_id % 4 != 1)", False)
@@ -341,10 +344,10 @@ def _(spark, d):
     return K.rollup_counts(K.block_fib_counts(presets.prepare(layers(pix(spark, d))), 20), ["fib", "tissue"])
 
 
-@register("k5_abnormal_score", f"SELECT slide, round(100e0 * {count_sql(R['dark'])} / {count_sql(LAYERS['tissue'])}, 6) AS abnormal FROM pix GROUP BY slide")
+@register("k5_abnormal_score", f"SELECT slide, round(100e0 * coalesce(a.n, 0) / b.n, 6) AS abnormal FROM (SELECT slide, count(*) AS n FROM (SELECT DISTINCT slide, y // 2, x // 2 FROM pix WHERE {LAYERS['eroded_cortex']}) GROUP BY slide) b LEFT JOIN (SELECT slide, count(*) AS n FROM ({ABNORMAL_SQL}) GROUP BY slide) a USING (slide)")
 def _(spark, d):
     px = pix(spark, d)
-    return K.ratio_score(mask(px, "dark"), mask(px, "tissue"), "abnormal").withColumn("abnormal", F.round("abnormal", 6))
+    return K.ratio_score(abnormal(px), downsample_mask(mask(px, "eroded_cortex"), 2, "any"), "abnormal").withColumn("abnormal", F.round("abnormal", 6))
 
 
 @register("k6_simple_score", f"SELECT slide, round(100e0 * sum(fib) / sum(tissue), 6) AS fib_tissue FROM ({fib_sql(TISSUE)}) GROUP BY slide")
@@ -435,10 +438,6 @@ def surface_sql(source: str) -> str:
     return f"(SELECT slide, y, x FROM {source} EXCEPT SELECT slide, y, x FROM {erode_sql(source, 'pl')} WHERE y > 0 AND y < {S - 1} AND x > 0 AND x < {S - 1})"
 
 
-def blob(c: str) -> str:
-    return f"{c} AND y BETWEEN 20 AND 50 AND x BETWEEN 20 + slide AND 55"
-
-
 def _plus() -> str:
     from ..operators.neighborhood import PLUS
 
@@ -448,11 +447,11 @@ def _plus() -> str:
 @register(
     "k16_surface_distance",
     "SELECT slide, round(max(d), 6) AS hausdorff, round(avg(d), 6) AS mean FROM (SELECT a.slide, a.y, a.x, 0 AS k, min(sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))) AS d FROM sa a JOIN sb b USING (slide) GROUP BY ALL UNION ALL SELECT a.slide, a.y, a.x, 1, min(sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))) FROM sb a JOIN sa b USING (slide) GROUP BY ALL) GROUP BY slide",
-    more=f"{GRID_SQL}, {_plus()}, ma AS (SELECT slide, y, x FROM pix WHERE {blob('r > 100')}), mb AS (SELECT slide, y, x FROM pix WHERE {blob('g < 150')} AND y > 30), sa AS (SELECT * FROM {surface_sql('ma')}), sb AS (SELECT * FROM {surface_sql('mb')})",
+    more=f"{GRID_SQL}, {_plus()}, ma AS (SELECT slide, y, x FROM pix WHERE r > 100), mb AS (SELECT slide, y, x FROM pix WHERE g < 150), sa AS (SELECT * FROM {surface_sql('ma')}), sb AS (SELECT * FROM {surface_sql('mb')})",
 )
 def _(spark, d):
     px = pix(spark, d)
-    return r6(K.surface_distance(px.where(blob("r > 100")).select(*KEY), px.where(blob("g < 150") + " and y > 30").select(*KEY), S, S), "hausdorff", "mean")
+    return r6(K.surface_distance(px.where("r > 100").select(*KEY), px.where("g < 150").select(*KEY), S, S), "hausdorff", "mean")
 
 
 @register("k17_crop_eval", "SELECT round(avg(d), 6) AS dice, count(*) AS images FROM (SELECT image, 2e0 * sum(p * l) / (sum(p) + sum(l) + 1) AS d FROM ev WHERE y >= 10 + image % 10 AND y < 80 AND x >= 5 AND x < 90 - image % 7 GROUP BY image)", more=EVAL_SQL)

@@ -741,11 +741,14 @@ def _(px):
     f"{GRID_SQL}, fib AS (SELECT * FROM {m_sql('tissue')} UNION SELECT slide, y, x FROM grid WHERE y BETWEEN 30 AND 60 AND x BETWEEN 30 AND 60), low AS (SELECT slide, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x FROM fib GROUP BY slide, y // 2, x // 2 HAVING count(*) = 4), "
     + comp_sql("low") + f", {gauss_sql('soft', ones(sized('n >= 6')), 3.0, S // 2)}",
 )
-def _(px):
+def abnormal(px):
     fib = C.or_(mask(px, "tissue"), A.grid(px, S, S).where("y between 30 and 60 and x between 30 and 60"))
     return G.abnormal_tissue(fib, mask(px, "eroded_cortex"), S, S, 2, 6, 3.0)
 
 
+ABNORMAL_SQL = ORACLE_SQL["g6_abnormal_tissue"]
+
+
 def g7(px: DataFrame) -> tuple[DataFrame, DataFrame]:
     return G.tissue_objects(px.where("y % 14 < 9 and x % 14 < 9 and r > 60").select(*KEY), S, S, 20, 2, 8)
 

@@ -1,7 +1,8 @@
 """Rasters derived from the business tables, for queries and checks.
 
-Four slides of 100 x 100 cells: part and order keys give the place, quantities
-and discounts the colour. A cell without a line item is white and has no row.
+Slides of 100 x 100 cells, one for every ``SUPPLIERS`` suppliers, so the raster
+grows with the tables: part and order keys give the place, quantities and
+discounts the colour. A cell without a line item is white and has no row.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.pixels import KEY
 
-SIDE = 100
+SIDE, SUPPLIERS = 100, 25
 
 #: Layer name and predicate over r, g, b, y, x, valid in Spark and in other SQL.
 LAYERS = {
@@ -32,8 +33,8 @@ LAYERS = {
     "dark": "r < 60",
 }
 
-PIX_SQL = """pix AS (
-  SELECT CAST(l_suppkey % 4 AS INT) AS slide, CAST(l_orderkey % 100 AS INT) AS y, CAST(l_partkey % 100 AS INT) AS x,
+PIX_SQL = f"""pix AS (
+  SELECT CAST(l_suppkey // {SUPPLIERS} AS INT) AS slide, CAST(l_orderkey % 100 AS INT) AS y, CAST(l_partkey % 100 AS INT) AS x,
          CAST(round(max(l_quantity * 5)) AS INT) AS r, CAST(round(min(l_quantity * 5)) AS INT) AS g, CAST(round(max(l_discount * 2000)) AS INT) AS b
   FROM lineitem GROUP BY 1, 2, 3)"""
 GRID_SQL = f"grid AS (SELECT slide, CAST(a.i AS INT) AS y, CAST(b.i AS INT) AS x FROM (SELECT DISTINCT slide FROM pix), range({SIDE}) a(i), range({SIDE}) b(i))"
@@ -41,7 +42,7 @@ GRID_SQL = f"grid AS (SELECT slide, CAST(a.i AS INT) AS y, CAST(b.i AS INT) AS x
 
 def pix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    place = [(F.col(c) % n).cast("int").alias(a) for c, n, a in (("l_suppkey", 4, "slide"), ("l_orderkey", SIDE, "y"), ("l_partkey", SIDE, "x"))]
+    place = [F.floor(F.col("l_suppkey") / SUPPLIERS).cast("int").alias("slide"), *[(F.col(c) % SIDE).cast("int").alias(a) for c, a in (("l_orderkey", "y"), ("l_partkey", "x"))]]
     value = lambda c: F.round(c).cast("int")
     return rows.groupBy(*place).agg(value(F.max(F.col("l_quantity") * 5)).alias("r"), value(F.min(F.col("l_quantity") * 5)).alias("g"), value(F.max(F.col("l_discount") * 2000)).alias("b"))
 

@@ -145,11 +145,21 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("comment", "#").schema("n bigint").csv(path).agg(F.sum("n").alias("n"))
 
 
-def write_report(scores: DataFrame) -> DataFrame:
+def report_rows(scores: DataFrame) -> DataFrame:
     """(slide, metric, value) of a wide score table."""
     return scores.unpivot("slide", [c for c in scores.columns if c != "slide"], "metric", "value")
 
 
+def write_report(scores: DataFrame, path: str) -> None:
+    """The report files of a wide score table: one folder a slide, a line for each metric and its value."""
+    report_rows(scores).repartition("slide").sortWithinPartitions("slide", "metric").write.mode("overwrite").partitionBy("slide").option("header", True).csv(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """(slide, metric, value) of written reports."""
+    return spark.read.option("header", True).schema("metric string, value double, slide int").csv(path).select("slide", "metric", "value")
+
+
 def skip_done(inputs: DataFrame, outputs: DataFrame, suffix: str = "_out") -> DataFrame:
     """Inputs (name) without an output name + suffix, and that are no outputs themselves."""
     return inputs.where(~F.col("name").endswith(suffix)).join(outputs.select(F.regexp_replace("name", f"{suffix}$", "").alias("name")), "name", "left_anti")
