@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_few, stored
+from .common import if_few, remove, store, stored
 from .wordhash import mix, words
 
 
@@ -185,10 +185,14 @@ def settle(nodes: DataFrame) -> DataFrame:
 
 def shared_anchors(long: DataFrame, scale: Scale) -> DataFrame:
     """The first round over texts (k1, k2, t): settled and open nodes of the anchors that stand twice."""
-    rows = stored(long.select("k1", "k2", "t").mapInArrow(_first_round(scale), "k1 long, k2 long, p int, low int, high int, gram long, hull long"), "anchors")
+    found = long.select("k1", "k2", "t").mapInArrow(_first_round(scale), "k1 long, k2 long, p int, low int, high int, gram long, hull long")
+    path = store(found, "anchors")
+    rows = long.sparkSession.read.schema(found.schema).parquet(path)
     twice = rows.groupBy("gram").count().where("count > 1").select("gram")
     nodes = rows.join(if_few(stored(twice, "grams")), "gram", "left_semi").withColumn("a0", F.lit(0)).withColumn("core", F.col("gram"))
-    return stored(settle(nodes), "settled")
+    now = stored(settle(nodes), "settled")
+    remove(long.sparkSession, path)
+    return now
 
 
 def repeated_spans(now: DataFrame, texts: DataFrame, scale: Scale) -> DataFrame:
@@ -200,7 +204,9 @@ def repeated_spans(now: DataFrame, texts: DataFrame, scale: Scale) -> DataFrame:
         # Copies of a row give the same nodes; the set keeps one list for both, and each row below makes its own nodes.
         still = now.where("open").groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "low", "high", "gram")).alias("open"))
         below = texts.join(still, ["k1", "k2"]).select("k1", "k2", "t", "open").mapInArrow(_next_round(width, scale), NODE)
-        now = stored(settle(stored(below, "nodes")), "settled")
+        path = store(below, "nodes")
+        now = stored(settle(texts.sparkSession.read.schema(below.schema).parquet(path)), "settled")
+        remove(texts.sparkSession, path)
         done = done.unionByName(now.where("settled").select("k1", "k2", "p", "low", "high"))
     return done.groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("p") - F.col("high")).alias("start"), (F.col("p") - F.col("low") + scale.length).alias("end"))).alias("spans"))
 
