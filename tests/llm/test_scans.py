@@ -147,3 +147,19 @@ def test_registered_scans_return_every_document(spark):
     for name in ("op1_secret_scan", "op3_pii", "op9_audio_features"):
         got = entry.QUERIES[name](spark, SMALL).toPandas()
         assert isinstance(got, pd.DataFrame) and got.doc_id.nunique() == len(got) == 200
+
+
+def test_long_runs_and_many_tokens_take_linear_time(spark):
+    import random
+    import time
+
+    r = random.Random(3)
+    # A mark in every eight characters keeps shorter patterns from matching inside.
+    run = "".join("".join(r.choice("ABCDEFGHabcdefgh0123456789+/xyzXYZ") for _ in range(7)) + "Z" for _ in range(40_000))
+    hexes = "".join("".join(r.choice("0123456789ABCDEF") for _ in range(7)) + "A" for _ in range(12_500))
+    many = " ".join(f"w{i % 1000}" if i % 400 else f"user{i}@host{i}.example.org" for i in range(200_000))
+    began = time.time()
+    got = {x.doc_id: x.spans for x in secrets.digest(secrets.scan_secrets(table(spark, [f"a {run} b", hexes])), ("assign", "access", "hex")).collect()}
+    assert got == {0: f"entropy_base64:2:{2 + len(run)}", 1: f"entropy_hex:0:{len(hexes)}"}
+    check(secrets.digest(pii.scan_pii(table(spark, [many])), pii.KINDS).collect(), [many], pii_spans, pii.KINDS)
+    assert time.time() - began < 240
