@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, exact_dedup, licences, mixing, near_dedup, pieces, pii, quality, repeats, secrets
+from . import audio, decontaminate, exact_dedup, licences, mixing, near_dedup, pieces, pii, quality, repeats, secrets, spelling
 from .common import documents
 
 
@@ -60,6 +60,10 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("items")
 
 
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality": op2_quality,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_audio_features": op9_audio_features,
     "op10_near_dedup": op10_near_dedup,
     "op12_decontaminate": op12_decontaminate,
+    "op13_spelling_groups": op13_spelling_groups,
 }
 
 ORACLE_SQL: dict[str, str] = {
