@@ -79,6 +79,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_spelling_groups": op13_spelling_groups,
 }
 
+#: The CRC-32 table of the sixteen half bytes.
+_CRC = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, half byte by half byte."""
+    halves = f"list_transform(range(2 * strlen({text})), lambda k: CAST(strpos('0123456789ABCDEF', substr(hex({text}), CAST(k // 2 * 2 + 2 - k % 2 AS BIGINT), 1)) - 1 AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {halves}), lambda c, b: xor(c >> 4, {_CRC}[(xor(c, b) & 15) + 1])))"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -101,4 +111,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op13_spelling_groups": rf"""
+        WITH RECURSIVE runs AS (
+          SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents),
+        per AS (SELECT id || ':' || w AS key, w, count(*) AS n FROM runs GROUP BY ALL),
+        h AS (SELECT w, n, {_crc32_sql("key")} AS h FROM per),
+        cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n FROM h),
+        v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+        holes AS (SELECT DISTINCT word, n, substr(word, 1, i) || '*' || substr(word, i + 2) AS mask, substr(word, 1, i) || substr(word, i + 2) AS short FROM (SELECT *, unnest(range(length(word))) AS i FROM v)),
+        near AS (
+          SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM holes a JOIN holes b USING (mask) WHERE a.word <> b.word
+          UNION SELECT a.word, a.n, b.word, b.n FROM holes a JOIN v b ON a.short = b.word
+          UNION SELECT b.word, b.n, a.word, a.n FROM holes a JOIN v b ON a.short = b.word),
+        ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS nth FROM near),
+        told AS (
+          SELECT v.word, v.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.m >= 2 * v.n THEN r.other END AS form, CASE WHEN r.m >= 2 * v.n THEN r.m END AS form_n
+          FROM v LEFT JOIN (SELECT * FROM ranked WHERE nth = 1) r USING (word)),
+        chain AS (SELECT word, word AS at, form AS next FROM told UNION ALL SELECT chain.word, told.word, told.form FROM chain JOIN told ON chain.next = told.word)
+        SELECT told.word, told.form, chain.at AS root, told.n, CAST(n_near AS BIGINT) AS n_near, form_n FROM told JOIN chain ON told.word = chain.word AND chain.next IS NULL""",
 }
