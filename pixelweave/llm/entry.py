@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, exact_dedup, licences, mixing, near_dedup, pieces, pii, quality, repeats, secrets, spelling
+from . import audio, decontaminate, exact_dedup, licences, mixing, near_dedup, pieces, pii, prefix_trie, quality, repeats, secrets, spelling
 from .common import documents
 
 
@@ -56,6 +56,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).drop("text_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("items")
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_audio_features": op9_audio_features,
     "op10_near_dedup": op10_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_decontaminate": op12_decontaminate,
     "op13_spelling_groups": op13_spelling_groups,
 }
@@ -95,6 +100,20 @@ ORACLE_SQL: dict[str, str] = {
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_prefix_trie": f"""
+        WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+        s AS (SELECT c, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, r, x) AS own, {_crc32_sql("CAST(c AS VARCHAR)")} % 9 AS h FROM t GROUP BY c),
+        whole AS (SELECT a.c, list_concat(coalesce(b.own[1:a.h], []), a.own[a.h + 1:]) AS seq FROM s a LEFT JOIN s b ON b.c = a.c - a.c % 5),
+        pre AS (SELECT c, d, len(seq) = d AS ends, seq[1:d] AS pre FROM (SELECT *, unnest(range(len(seq) + 1)) AS d FROM whole)),
+        node AS (
+          SELECT d, pre, min(c) AS conv_id, count(*) AS n, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ends,
+                 (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(any_value(pre)[d].x) END AS saved FROM pre GROUP BY d, pre),
+        child AS (SELECT d - 1 AS d, pre[1:d - 1] AS pre, count(*) AS k FROM node WHERE d > 0 GROUP BY ALL),
+        told AS (SELECT node.*, coalesce(k, 0) AS k FROM node LEFT JOIN child ON node.d = child.d AND node.pre = child.pre),
+        up AS (SELECT pre[1:a] AS pre, a AS d, saved, k FROM (SELECT *, unnest(range(d + 1)) AS a FROM told)),
+        below AS (SELECT d, pre, sum(saved) AS saved, count(*) FILTER (k = 0) AS leaves FROM up GROUP BY ALL)
+        SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, n.k AS n_children, b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM told n JOIN below b ON n.d = b.d AND n.pre = b.pre LEFT JOIN node p ON p.d = n.d - 1 AND p.pre = n.pre[1:n.d - 1]""",
     "op12_decontaminate": r"""
         WITH d AS (
           SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
