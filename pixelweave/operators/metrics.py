@@ -2,34 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from .algebra import collagen_exclusion, fibrosis, has, inflammation
-from .neighborhood import PLUS, erode_runs, from_runs, to_runs
+from . import words
+from .algebra import LAYERS, _any, collagen_exclusion, fibrosis, has, inflammation
+from .distance import squared_distances
 from .pixels import KEY
+from .words import Bits
 
 
 def blocks(block: int) -> list[Column]:
     return ["slide", F.floor(F.col("y") / block).cast("int").alias("by"), F.floor(F.col("x") / block).cast("int").alias("bx")]
 
 
-def fib_sums(tissue: Column, fib: Column) -> list[Column]:
-    return [F.count_if(fib).alias("fib"), F.count_if(tissue).alias("tissue"), F.count_if(tissue & ~has("vessel") & ~has("cap")).alias("tissue_noglomvessel")]
+def fib_sums(tissue: Bits, fib: Bits) -> list[Column]:
+    return [fib.count().alias("fib"), tissue.count().alias("tissue"), (tissue & ~has("vessel") & ~has("cap")).count().alias("tissue_noglomvessel")]
 
 
-def inflamm_sums(inflamm: Column, exclusion: Column, fib: Column) -> list[Column]:
-    return [F.count_if(inflamm).alias("inflamm"), F.count_if(inflamm | exclusion | fib).alias("interstitium")]
+def inflamm_sums(inflamm: Bits, exclusion: Bits, fib: Bits) -> list[Column]:
+    return [inflamm.count().alias("inflamm"), (inflamm | exclusion | fib).count().alias("interstitium")]
 
 
-def block_fib_counts(stacked: DataFrame, block: int, tissue: Column | None = None, **options) -> DataFrame:
+def in_blocks(stacked: DataFrame, block: int) -> GroupedData:
+    """The stack's words cut at block edges, grouped by blocks that hold a cell of any layer."""
+    return words.cut(stacked, block, list(LAYERS)).where(_any(" ".join(LAYERS)).column != 0).groupBy("slide", "by", "bx")
+
+
+def block_fib_counts(stacked: DataFrame, block: int, tissue: Bits | None = None, **options) -> DataFrame:
     """Per block: fibrosis, tissue, and tissue outside vessel and cap. ``tissue`` defaults to the cortex."""
-    return stacked.groupBy(*blocks(block)).agg(*fib_sums(has("cortex") if tissue is None else tissue, fibrosis(**options)))
+    return in_blocks(stacked, block).agg(*fib_sums(has("cortex") if tissue is None else tissue, fibrosis(**options)))
 
 
-def block_inflamm_counts(stacked: DataFrame, block: int, inflamm: Column | None = None, exclusion: Column | None = None, **options) -> DataFrame:
+def block_inflamm_counts(stacked: DataFrame, block: int, inflamm: Bits | None = None, exclusion: Bits | None = None, **options) -> DataFrame:
     """Per block: inflammation, and the union of inflammation, collagen with exclusion and fibrosis; the final form by default."""
-    return stacked.groupBy(*blocks(block)).agg(*inflamm_sums(inflammation() if inflamm is None else inflamm, collagen_exclusion() if exclusion is None else exclusion, fibrosis(**options)))
+    return in_blocks(stacked, block).agg(*inflamm_sums(inflammation() if inflamm is None else inflamm, collagen_exclusion() if exclusion is None else exclusion, fibrosis(**options)))
 
 
 def slide_scores(fib: DataFrame, inflamm: DataFrame) -> DataFrame:
@@ -142,46 +149,20 @@ def f1_macro(pixels: DataFrame) -> DataFrame:
 
 def surface(m: DataFrame, height: int, width: int) -> DataFrame:
     """Pixels of the mask that its 4-connected erosion takes away; the border counts as outside."""
-    inner = from_runs(erode_runs(to_runs(m), PLUS, m, height, width)).where((F.col("y") > 0) & (F.col("y") < height - 1) & (F.col("x") > 0) & (F.col("x") < width - 1))
-    return m.select(*KEY).join(inner, KEY, "left_anti")
-
+    return words.to_pixels(words.surface(words.from_pixels(m), height, width))
 
-def directed_distance(a: DataFrame, b: DataFrame, height: int, width: int, cell: int = 8) -> DataFrame:
-    """(slide, y, x, d): distance from each pixel of ``a`` to the nearest of ``b`` on its slide; slides without ``b`` are left out.
-
-    Pixels meet candidates in the 3 x 3 cells around theirs; those whose nearest
-    isn't certain (none, or farther than a cell) try cells twice as wide, until
-    one cell holds the slide. So a pixel meets few candidates, and no pair is missed.
-    """
-    from ..sources.tables import stored
 
-    rest = a.join(b.select("slide").distinct(), "slide", "left_semi").select(*KEY)
-    b = stored(b.select(*KEY), "surface")
-    out = None
-    while True:
-        side = cell
-        key = lambda c, side=side: F.floor(F.col(c) / side)
-        target = b.select("slide", key("y").alias("cy"), key("x").alias("cx"), F.col("y").alias("ty"), F.col("x").alias("tx"))
-        around = rest.select(*KEY, F.explode(F.sequence(key("y") - 1, key("y") + 1)).alias("cy")).select(*KEY, "cy", F.explode(F.sequence(key("x") - 1, key("x") + 1)).alias("cx"))
-        d2 = (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")) + (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx"))
-        best = stored(around.join(target, ["slide", "cy", "cx"], "left").groupBy(*KEY).agg(F.min(d2).alias("d2")), "nearest")
-        last = side > max(height, width)
-        sure = best.where(F.lit(True) if last else F.col("d2") <= side * side).select(*KEY, F.sqrt("d2").alias("d"))
-        out = sure if out is None else out.unionByName(sure)
-        if last:
-            return out
-        rest = best.where(F.col("d2").isNull() | (F.col("d2") > side * side)).select(*KEY)
-        if rest.isEmpty():
-            return out
-        cell *= 2
+def directed_distance(a: DataFrame, b: DataFrame, height: int, width: int) -> DataFrame:
+    """(slide, y, x, d): distance from each pixel of ``a`` to the nearest of ``b`` on its slide; slides without ``b`` are left out."""
+    return squared_distances(words.from_pixels(a), words.from_pixels(b), height).select(*KEY, F.sqrt("d2").alias("d"))
 
 
 def surface_distance(pred: DataFrame, label: DataFrame, height: int, width: int) -> DataFrame:
     """Per slide the Hausdorff and mean distance of both surfaces; 0 where one is missing."""
     from ..sources.tables import stored
 
-    a, b = stored(surface(pred, height, width), "a"), stored(surface(label, height, width), "b")
-    both = directed_distance(a, b, height, width).select("slide", "d").unionByName(directed_distance(b, a, height, width).select("slide", "d"))
+    a, b = (stored(words.surface(words.from_pixels(m), height, width), "surface") for m in (pred, label))
+    both = squared_distances(a, b, height).unionByName(squared_distances(b, a, height)).select("slide", F.sqrt("d2").alias("d"))
     per = both.groupBy("slide").agg(F.max("d").alias("hausdorff"), F.avg("d").alias("mean"))
     every = pred.select("slide").union(label.select("slide")).distinct()
     return every.join(per, "slide", "left").select("slide", F.coalesce("hausdorff", F.lit(0.0)).alias("hausdorff"), F.coalesce("mean", F.lit(0.0)).alias("mean"))

@@ -1,10 +1,4 @@
-"""Connected components of masks and what is done with them.
-
-Nodes are row runs, not pixels; runs of neighbouring rows that touch are
-linked by an equi-join on the row. Labels spread by rounds of neighbours' least
-labels and one pointer jump, each written to the shared folder, until none
-changes. A component's label is its least pixel y * width + x.
-"""
+"""Connected components of masks and what is done with them. Labels come from :mod:`.components`."""
 
 from __future__ import annotations
 
@@ -12,45 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
+from . import words
 from .algebra import minus
+from .components import label_words
 from .neighborhood import SQUARE_4, close_, complement_runs, from_runs, gauss_threshold_runs, spread_by, to_runs
 from .patches import hashed
 from .pixels import KEY
 from .resample import downsample_mask
 
-NODE = ["slide", "node"]
-
-
-def label_runs(m: DataFrame, width: int, conn: int = 8, block: int | None = None) -> DataFrame:
-    """(slide, y, x0, x1, label); with ``block``, components end at the edges of block x block squares."""
-    if block:
-        cut = m.select(*KEY, F.floor(F.col("x") / block).alias("bx"))
-        place = F.row_number().over(Window.partitionBy("slide", "y", "bx").orderBy("x"))
-        runs = cut.withColumn("g", F.col("x") - place).groupBy("slide", "y", "bx", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).select("slide", "y", "x0", "x1")
-    else:
-        runs = to_runs(m)
-    nodes = stored(runs.withColumn("node", F.col("y").cast("long") * width + F.col("x0")), "runs")
-    touch = 1 if conn == 8 else 0
-    a = nodes.select("slide", (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("node").alias("other"))
-    near = nodes.join(a, ["slide", "y"]).where((F.col("a0") <= F.col("x1") + touch) & (F.col("a1") >= F.col("x0") - touch))
-    if block:
-        near = near.where((F.floor(F.col("y") / block) == F.floor((F.col("y") - 1) / block)) & (F.floor(F.col("x0") / block) == F.floor(F.col("a0") / block)))
-    links = near.select("slide", "node", "other")
-    both = stored(links.unionByName(links.select("slide", F.col("other").alias("node"), F.col("node").alias("other"))), "links")
-    labels = nodes.select("slide", "node", F.col("node").alias("label"))
-    while True:
-        reach = both.join(labels.select("slide", F.col("node").alias("other"), "label"), ["slide", "other"]).groupBy(*NODE).agg(F.min("label").alias("near"))
-        least = stored(labels.join(reach, NODE, "left").select("slide", "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")), "labels")
-        jump = least.select("slide", F.col("node").alias("label"), F.col("label").alias("further"))
-        new = stored(least.join(jump, ["slide", "label"], "left").select("slide", "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        if new.where("old != label").isEmpty():
-            return nodes.join(new.select("slide", "node", "label"), NODE).select("slide", "y", "x0", "x1", "label")
-        labels = new.select("slide", "node", "label")
-
-
-def label(m: DataFrame, width: int, conn: int = 8, block: int | None = None) -> DataFrame:
+
+def label_runs(m: DataFrame, width: int, conn: int = 8, block: int | None = None, tile: int | None = None) -> DataFrame:
+    """(slide, y, x0, x1, label) of the runs of a mask, cut at tiles; with ``block``, components end at the edges of block x block squares."""
+    return label_words(words.from_pixels(m), width, conn, block, tile)
+
+
+def label(m: DataFrame, width: int, conn: int = 8, block: int | None = None, tile: int | None = None) -> DataFrame:
     """(slide, y, x, label)."""
-    return label_runs(m, width, conn, block).select("slide", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")
+    return label_runs(m, width, conn, block, tile).select("slide", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")
 
 
 def sizes(runs: DataFrame) -> DataFrame:

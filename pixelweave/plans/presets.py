@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..operators import algebra, metrics, objects
-from ..operators.pixels import KEY
+from ..operators import algebra, components, metrics, words
+from ..operators.words import Bits
 
 
 @dataclass(frozen=True)
@@ -28,17 +27,17 @@ class Preset:
     def formula(self) -> dict:
         return {"region": self.region, "base": self.base, "clusters": self.clusters, "no_background": self.no_background, "subtract_bc": self.subtract_bc, "nuclei": self.nuclei}
 
-    def ring(self) -> Column:
+    def ring(self) -> Bits:
         return algebra.has("vessel_dilated") if self.plain_ring else algebra.vessel_ring(self.region, self.no_background, self.nuclei, self.clusters)
 
-    def tissue(self) -> Column:
+    def tissue(self) -> Bits:
         """The region alone is what fibrosis is set against."""
         return algebra._all(self.region)
 
-    def inflammation(self) -> Column:
+    def inflammation(self) -> Bits:
         return algebra.inflammation(self.nuclei, self.region, self.no_background)
 
-    def exclusion(self) -> Column:
+    def exclusion(self) -> Bits:
         return algebra.collagen_exclusion(self.region, self.no_background, None if self.clusters else self.nuclei)
 
 
@@ -61,21 +60,22 @@ def prepare(layers: DataFrame) -> DataFrame:
     return algebra.with_layer(stacked, "vessel_ring", algebra.vessel_ring())
 
 
-def slide_scores(layers: DataFrame, block: int, preset: str = "final", width: int = 1 << 20, drop_up_to: int | None = None) -> DataFrame:
+def slide_scores(layers: DataFrame, block: int, preset: str = "final", width: int | None = None, drop_up_to: int | None = None) -> DataFrame:
     """Scores of each slide from its mask layers: structures restricted to the region, overlaps resolved, the ring, fibrosis without small objects, five sums, five ratios.
 
-    ``width`` is at least that of any slide; ``drop_up_to`` overrides the preset's.
+    The masks that the five sums count follow from the stack, as words. One shuffle
+    by tiles of whole blocks lets a task drop small objects from fibrosis there; the sums follow from what it gives.
+    ``drop_up_to`` overrides the preset's size; ``width`` isn't needed any more.
     """
     p = PRESETS[preset]
     drop = p.drop_up_to if drop_up_to is None else drop_up_to
     stacked = algebra.structures(algebra.stack(layers), p.region, p.no_background)
     stacked = algebra.with_layer(stacked, "vessel_ring", p.ring())
-    fib = algebra.fibrosis(**p.formula)
+    outside = ~algebra._any("vessel cap")
+    terms = {"finfib": algebra.fibrosis(**p.formula), "tissue": p.tissue(), "bare": p.tissue() & outside, "inflamm": p.inflammation(), "rest": p.inflammation() | p.exclusion()}
+    rows = stacked.select(*words.PLACE, *[f.column.alias(n) for n, f in terms.items()])
     if drop:
-        kept = objects.filter_fibrosis(algebra.where(stacked, fib), drop, width, block).where("kept")
-        marked = stacked.select(*KEY, "bits").unionByName(kept.select(*KEY, F.lit(1 << algebra._BIT["finfib"]).alias("bits")))
-        stacked = marked.groupBy(*KEY).agg(F.bit_or("bits").alias("bits"))
-    else:
-        stacked = algebra.with_layer(stacked, "finfib", fib)
-    fib = algebra.has("finfib")
-    return metrics.ratios(stacked.groupBy("slide").agg(*metrics.fib_sums(p.tissue(), fib), *metrics.inflamm_sums(p.inflammation(), p.exclusion(), fib)))
+        rows = components.drop_small(rows, "finfib", drop, block, list(terms))
+    fib, tissue, bare, inflamm, rest = map(algebra.has, terms)
+    sums = {"fib": fib, "tissue": tissue, "tissue_noglomvessel": bare, "inflamm": inflamm, "interstitium": rest | fib}
+    return metrics.ratios(rows.groupBy("slide").agg(*[f.count().alias(n) for n, f in sums.items()]))

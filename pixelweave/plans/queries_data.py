@@ -102,7 +102,7 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def preset_scores(spark: SparkSession, d: str, name: str) -> DataFrame:
-    out = presets.slide_scores(layers(pix(spark, d)), 20, name, S, min(SMALL, presets.PRESETS[name].drop_up_to))
+    out = presets.slide_scores(layers(pix(spark, d)), 20, name, drop_up_to=min(SMALL, presets.PRESETS[name].drop_up_to))
     return out.select("slide", *[F.round(c, 6).alias(c) for c in METRICS])
 
 

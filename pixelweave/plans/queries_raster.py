@@ -328,7 +328,7 @@ _BITS = " + ".join(f"CASE WHEN {LAYERS[n]} THEN {1 << i} ELSE 0 END" for i, n in
 
 @on_pix("c1_stack", f"SELECT * FROM (SELECT slide, y, x, CAST({_BITS} AS INT) AS bits FROM pix) WHERE bits > 0")
 def _(px):
-    return C.stack(layers(px))
+    return C.pixel_bits(C.stack(layers(px)))
 
 
 @on_pix("c2_set_operations", f"SELECT slide, y, x, 'and' AS kind FROM pix WHERE {LAYERS['tubule']} AND {LAYERS['nuclei']} UNION ALL SELECT slide, y, x, 'or' FROM pix WHERE {LAYERS['tubule']} OR {LAYERS['nuclei']} UNION ALL SELECT slide, y, x, 'minus' FROM pix WHERE {LAYERS['tubule']} AND NOT {LAYERS['nuclei']}")
