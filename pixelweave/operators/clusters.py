@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -60,3 +61,37 @@ def fit_centers(values: DataFrame, k: int, columns: tuple[str, ...] = ("v",), se
     rows = VectorAssembler(inputCols=list(columns), outputCol="features").transform(values)
     model = KMeans(k=k, seed=seed, initMode="k-means||").fit(rows)
     return values.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "k int, c array<double>")
+
+
+def fit_intensities(values: DataFrame, k: int, column: str = "v", levels: int = 256) -> DataFrame:
+    """(k, c): the k centres of least total squared distance to whole intensities 0 .. ``levels`` - 1, in rising order; fewer if there are fewer intensities.
+
+    Exact and the same at every run: one aggregation gives the histogram, and the best
+    split of its levels into k stretches follows by dynamic programming. Values
+    outside the levels count as the nearest one; nulls don't count.
+    """
+    level = F.least(F.greatest(F.col(column), F.lit(0)), F.lit(levels - 1)).cast("int")
+    counts = {r.level: r.n for r in values.where(F.col(column).isNotNull()).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``levels`` rows
+    v = sorted(counts)
+    n = np.array([counts[x] for x in v], np.float64)
+    x = np.array(v, np.float64)
+    total, first, second = (np.concatenate([[0.0], np.cumsum(n * x**p)]) for p in (0, 1, 2))
+
+    def cost(end: int) -> np.ndarray:
+        """Of the stretches from each level i <= end to ``end``."""
+        i = np.arange(end + 1)
+        return second[end + 1] - second[i] - (first[end + 1] - first[i]) ** 2 / (total[end + 1] - total[i])
+
+    k = min(k, len(v))
+    best, starts = np.array([cost(e)[0] for e in range(len(v))]), []
+    for _ in range(1, k):
+        tried = [np.concatenate([[np.inf], best[:e]]) + cost(e) for e in range(len(v))]
+        starts.append(np.array([int(t.argmin()) for t in tried]))
+        best = np.array([t.min() for t in tried])
+    edges, end = [], len(v) - 1
+    for s in reversed(starts):
+        edges.append((s[end], end))
+        end = s[end] - 1
+    edges = [(0, end), *reversed(edges)] if v else []
+    centers = [float((first[b + 1] - first[a]) / (total[b + 1] - total[a])) for a, b in edges]
+    return values.sparkSession.createDataFrame([(i, [c]) for i, c in enumerate(centers)], "k int, c array<double>")

@@ -9,6 +9,7 @@ from . import words
 from .algebra import LAYERS, _any, collagen_exclusion, fibrosis, has, inflammation
 from .distance import squared_distances
 from .pixels import KEY
+from .quantiles import grouped_quantiles
 from .words import Bits
 
 
@@ -92,11 +93,14 @@ def grade(c: Column) -> Column:
 
 
 def score_by_grade(scores: DataFrame) -> DataFrame:
-    """Box statistics of the score per grade, in grade order with null last: quartiles, whiskers at 1.5 IQR, outliers."""
-    rows = scores.select(F.col("fib_score").try_cast("double").alias("score"), grade(F.col("pathologist_score")).alias("grade")).where("score is not null")
-    q = rows.groupBy(F.col("grade").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.percentile("score", F.lit(0.25)).alias("q1"), F.percentile("score", F.lit(0.5)).alias("median"), F.percentile("score", F.lit(0.75)).alias("q3"))
+    """Box statistics of the score per grade, in grade order with null last: quartiles, whiskers at 1.5 IQR, outliers. What is no finite number is left out."""
+    from ..sources.tables import stored
+
+    rows = stored(scores.select(grade(F.col("pathologist_score")).alias("grp"), F.col("fib_score").try_cast("double").alias("v")).where("abs(v) < double('infinity')"), "scores")
+    told = [(g, n, *map(float, q)) for g, (n, q) in grouped_quantiles(rows, (0.25, 0.5, 0.75)).items()]
     # Four grades and null: a broadcast of five rows.
-    each = rows.join(F.broadcast(q), F.col("grade").eqNullSafe(F.col("of"))).select("grade", "n", "q1", "median", "q3", "score")
+    q = rows.sparkSession.createDataFrame(told, "of int, n long, q1 double, median double, q3 double")
+    each = rows.join(F.broadcast(q), F.col("grp").eqNullSafe(F.col("of"))).select(F.col("of").alias("grade"), "n", "q1", "median", "q3", F.col("v").alias("score"))
     inside = F.col("score").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     return each.groupBy("grade", "n", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("score"))).alias("low"), F.max(F.when(inside, F.col("score"))).alias("high"), F.count_if(~inside).alias("outliers"))
 

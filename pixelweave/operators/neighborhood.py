@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import filters, words
 from .algebra import minus
 from .pixels import KEY
 
@@ -126,53 +128,23 @@ def kernel(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]]:
     return [(i - reach, x / sum(w)) for i, x in enumerate(w)]
 
 
-def weighted(v: DataFrame, axis: str, weights: list[tuple[int, float]], size: int, value: str = "v") -> DataFrame:
-    """Sum of w * v over offsets of one axis, with the edge mirrored; absent pixels are 0."""
-    each = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(float(w)).alias("w")) for o, w in weights])
-    spread = v.select(*KEY, value, F.explode(each).alias("k"))
-    # A cell near the edge also gives its mirrored share: its images lie at -1 - c and 2 * size - 1 - c.
-    images = F.array(F.col(axis), -1 - F.col(axis), 2 * size - 1 - F.col(axis))
-    other = [c for c in KEY if c != axis]
-    moved = spread.select(*other, value, "k", F.explode(images).alias("at")).select(*other, (F.col("at") - F.col("k.o")).cast("int").alias(axis), (F.col(value) * F.col("k.w")).alias(value))
-    return moved.where((F.col(axis) >= 0) & (F.col(axis) < size)).groupBy(*KEY).agg(F.sum(value).alias(value))
+def weights(sigma: float, truncate: float = 4.0) -> np.ndarray:
+    return np.array([w for _, w in kernel(sigma, truncate)])
 
 
 def gauss(v: DataFrame, sigma: float, height: int, width: int, truncate: float = 4.0) -> DataFrame:
-    w = kernel(sigma, truncate)
-    return weighted(weighted(v, "y", w, height), "x", w, width)
+    """Blurred values, edges mirrored, absent pixels 0; a row for each cell within reach of a present pixel."""
+    w = weights(sigma, truncate)
+    return filters.separable(v, w, w, height, width)
 
 
 def gauss_threshold(m: DataFrame, sigma: float, t: float, height: int, width: int, truncate: float = 4.0) -> DataFrame:
-    """Cells of the blurred mask above t. Separable: 2 * reach + 1 rows a cell and axis."""
-    return gauss(m.select(*KEY, F.lit(1.0).alias("v")), sigma, height, width, truncate).where(F.round("v", 9) > t).select(*KEY)
+    """Cells of the blurred mask above t; the mask moves as words."""
+    w = weights(sigma, truncate)
+    return filters.map_masks(words.from_pixels(m), ["bits"], len(w) // 2, height, width, lambda a, touch: filters.correlate(a[0], w, w, touch).round(9) > t)
 
 
-def gauss_threshold_runs(m: DataFrame, sigma: float, t: float, height: int, width: int, truncate: float = 4.0) -> DataFrame:
-    """The same for wide kernels: whole image rows, then whole columns, are blurred in Arrow batches.
-
-    A group is one row or column of one slide, so its size is the image's side.
-    """
-    import numpy as np
-    import pandas as pd
-
-    w = np.array([x for _, x in kernel(sigma, truncate)])
-    reach = len(w) // 2
-
-    def blur(size: int, along: str, across: str):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            line = np.zeros(size)
-            line[pdf[along].to_numpy()] = pdf["v"].to_numpy()
-            padded = np.pad(line, reach, mode="symmetric")
-            out = np.convolve(padded, w, mode="valid")
-            at = np.flatnonzero(out > 1e-12)
-            return pd.DataFrame({"slide": pdf["slide"].iloc[0], along: at, across: pdf[across].iloc[0], "v": out[at]})[["slide", "y", "x", "v"]]
-
-        return run
-
-    kind = m.schema["slide"].dataType.simpleString()
-    schema = f"slide {kind}, y int, x int, v double"
-    rows = m.select(*KEY, F.lit(1.0).alias("v")).groupBy("slide", "y").applyInPandas(blur(width, "x", "y"), schema)
-    return rows.groupBy("slide", "x").applyInPandas(blur(height, "y", "x"), schema).where(F.round("v", 9) > t).select(*KEY)
+gauss_threshold_runs = gauss_threshold
 
 
 def window_pixels(v: DataFrame, k: int, height: int, width: int) -> DataFrame:
@@ -183,11 +155,8 @@ def window_pixels(v: DataFrame, k: int, height: int, width: int) -> DataFrame:
 
 
 def median_blur(v: DataFrame, k: int, height: int, width: int) -> DataFrame:
-    """Lower median of the present values in the k x k window; for small k."""
-    found = window_pixels(v, k, height, width).groupBy(*KEY, "v").agg(F.count(F.lit(1)).alias("n"))
-    row = Window.partitionBy(*KEY)
-    upto = F.sum("n").over(row.orderBy("v"))
-    return found.withColumn("upto", upto).withColumn("all", F.sum("n").over(row)).where(F.col("upto") * 2 >= F.col("all")).groupBy(*KEY).agg(F.min("v").alias("v"))
+    """Lower median of the present values in the k x k window."""
+    return filters.medians(v, k, height, width)
 
 
 def median_mask(m: DataFrame, k: int, height: int, width: int) -> DataFrame:
@@ -219,14 +188,29 @@ def median_mask(m: DataFrame, k: int, height: int, width: int) -> DataFrame:
 
 
 def shell(m: DataFrame, nuclei: DataFrame | None, inner: int, outer: int, height: int, width: int, nested: bool = False, within: DataFrame | None = None, sigma: float | None = 2.0) -> DataFrame:
-    """Dilated minus eroded mask, without nuclei, within a mask, smoothed. ``nested`` dilates the eroded mask instead of the mask; without ``sigma`` it isn't smoothed."""
-    runs = to_runs(m)
-    core = erode_runs(runs, disk(inner), m, height, width)
-    grown = dilate_runs(core if nested else runs, disk(outer), height, width)
-    ring = minus(from_runs(grown), from_runs(core))
-    ring = ring if nuclei is None else minus(ring, nuclei)
-    ring = ring if within is None else ring.join(within.select(*KEY), KEY, "left_semi")
-    return ring if sigma is None else gauss_threshold(ring, sigma, 0.5, height, width)
+    """Dilated minus eroded mask, without nuclei, within a mask, smoothed. ``nested`` dilates the eroded mask instead of the mask; without ``sigma`` it isn't smoothed.
+
+    All steps run over one tile and its margin; the masks move as words, once.
+    """
+    masks = {"m": m, "nuclei": nuclei, "within": within}
+    parts = {n: words.from_pixels(x) for n, x in masks.items() if x is not None}
+    names, small, large = list(parts), disk(inner), disk(outer)
+    w = np.ones(1) if sigma is None else weights(sigma)
+    reach = inner + outer + len(w) // 2
+
+    def ring(arrays: list[np.ndarray], touch) -> np.ndarray:
+        given = dict(zip(names, arrays))
+        core = filters.eroded(given["m"], small, touch)
+        grown = filters.dilated(core if nested else filters.inner(given["m"], inner, touch), large, touch)
+        out = grown & ~filters.inner(core, outer, touch)
+        if "nuclei" in given:
+            out &= ~filters.inner(given["nuclei"], inner + outer, touch)
+        if "within" in given:
+            out &= filters.inner(given["within"], inner + outer, touch)
+        return out if sigma is None else filters.correlate(out, w, w, touch).round(9) > 0.5
+
+    # A tile without the mask has no shell.
+    return filters.map_masks(words.joined(parts), names, reach, height, width, ring)
 
 
 def tubule_shell(tubule: DataFrame, nuclei: DataFrame | None, height: int, width: int, inner: int = 2, outer: int = 7, within: DataFrame | None = None) -> DataFrame:
@@ -241,40 +225,53 @@ def capsule_shell(cap: DataFrame, nuclei: DataFrame | None, height: int, width:
 
 def unsharp(v: DataFrame, sigma: float, amount: float, height: int, width: int) -> DataFrame:
     """v + amount * (v - blurred), clamped to 0..255."""
-    soft = gauss(v.select(*KEY, F.col("v").cast("double").alias("v")), sigma, height, width).withColumnRenamed("v", "soft")
-    return v.join(soft, KEY).select(*KEY, F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col("v") + amount * (F.col("v") - F.col("soft")))).alias("v"))
+    w = weights(sigma)
+
+    def f(value, present, touch):
+        own = filters.inner(value, len(w) // 2, touch)
+        return {"v": np.clip(own + amount * (own - filters.correlate(value, w, w, touch)), 0, 255)}, filters.inner(present, len(w) // 2, touch)
+
+    return filters.map_values(v.select(*KEY, F.col("v").cast("double").alias("v")), len(w) // 2, height, width, f, {"v": "double"})
 
 
 # Smoothing and difference parts of the 3 x 3 Sobel operator, scaled by 1/4 and 1/2.
-SOBEL_SMOOTH = [(-1, 0.25), (0, 0.5), (1, 0.25)]
-SOBEL_STEP = [(-1, -0.5), (1, 0.5)]
+SOBEL_SMOOTH, SOBEL_STEP = np.array([0.25, 0.5, 0.25]), np.array([-0.5, 0.0, 0.5])
 
 
 def sobel(v: DataFrame, axis: str, height: int, width: int) -> DataFrame:
     """Gradient along ``axis``."""
-    size = {"y": height, "x": width}
-    other = "x" if axis == "y" else "y"
-    return weighted(weighted(v, other, SOBEL_SMOOTH, size[other]), axis, SOBEL_STEP, size[axis])
+    return filters.separable(v, *((SOBEL_STEP, SOBEL_SMOOTH) if axis == "y" else (SOBEL_SMOOTH, SOBEL_STEP)), height, width)
+
+
+def _gradients(value: np.ndarray, present: np.ndarray, touch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients along y and x, and where both have a present pixel among their cells."""
+    both = [(SOBEL_STEP, SOBEL_SMOOTH), (SOBEL_SMOOTH, SOBEL_STEP)]
+    gy, gx = (filters.correlate(value, a, b, touch) for a, b in both)
+    known = [filters.correlate(present, a != 0, b != 0, touch) > 0 for a, b in both]
+    return gy, gx, known[0] & known[1]
 
 
 def orientation(v: DataFrame, sigma: float, height: int, width: int) -> DataFrame:
     """Angle of the structure tensor, 0.5 * atan2(2 Axy, Axx - Ayy)."""
-    d = v.select(*KEY, F.col("v").cast("double").alias("v"))
-    gy, gx = (sobel(d, a, height, width).withColumnRenamed("v", f"g{a}") for a in "yx")
-    both = gy.join(gx, KEY)
-    parts = {"yy": F.col("gy") * F.col("gy"), "xx": F.col("gx") * F.col("gx"), "xy": F.col("gx") * F.col("gy")}
-    out = None
-    for name, product in parts.items():
-        part = gauss(both.select(*KEY, product.alias("v")), sigma, height, width).withColumnRenamed("v", name)
-        out = part if out is None else out.join(part, KEY)
-    return out.select(*KEY, (0.5 * F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy"))).alias("theta"))
+    w = weights(sigma)
+
+    def f(value, present, touch):
+        gy, gx, known = _gradients(value, present, touch)
+        gy, gx = gy * known, gx * known
+        yy, xx, xy = (filters.correlate(p, w, w, touch) for p in (gy * gy, gx * gx, gx * gy))
+        return {"theta": 0.5 * np.arctan2(2 * xy, xx - yy)}, filters.correlate(known, w != 0, w != 0, touch) > 0
+
+    return filters.map_values(v.select(*KEY, F.col("v").cast("double").alias("v")), 1 + len(w) // 2, height, width, f, {"theta": "double"})
 
 
 def orientation_gradient(theta: DataFrame, height: int, width: int) -> DataFrame:
     """Length of the gradient of the angle."""
-    d = theta.select(*KEY, F.col("theta").alias("v"))
-    gy, gx = (sobel(d, a, height, width).withColumnRenamed("v", f"g{a}") for a in "yx")
-    return gy.join(gx, KEY).select(*KEY, F.hypot("gy", "gx").alias("change"))
+
+    def f(value, present, touch):
+        gy, gx, known = _gradients(value, present, touch)
+        return {"change": np.hypot(gy, gx)}, known
+
+    return filters.map_values(theta.select(*KEY, F.col("theta").alias("v")), 1, height, width, f, {"change": "double"})
 
 
 def sample_field(theta: DataFrame, step: int = 20) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import words
+from .components import unpacked
 from .pixels import KEY
 
 
@@ -93,16 +97,47 @@ def patch_counts(integral: DataFrame, h: int, w: int, allowance: float, aligned:
 
     As the image has no zero border, the rectangle of origin (y, x) covers rows
     y + 1 .. y + h and the last origins are missing; ``aligned`` counts from the
-    origin itself.
+    origin itself. Each cell goes to the four origins whose corner it is, by one shuffle.
     """
     shift = 1 if aligned else 0
-    corner = lambda dy, dx, name: integral.select("slide", (F.col("y") - dy + shift).alias("y"), (F.col("x") - dx + shift).alias("x"), F.col("s").alias(name))
-    a, b, c, d = corner(0, 0, "a"), corner(h, 0, "b"), corner(0, w, "c"), corner(h, w, "d")
-    how = "left" if aligned else "inner"
+    corners = F.array(*[F.struct((F.col("y") - dy + shift).alias("y"), (F.col("x") - dx + shift).alias("x"), F.lit(sign).alias("sign"), F.lit(int(dy == h and dx == w)).alias("last")) for dy, dx, sign in ((0, 0, 1), (h, 0, -1), (0, w, -1), (h, w, 1))])
+    met = integral.select("slide", "s", F.explode(corners).alias("c")).select("slide", "c.y", "c.x", "s", "c.sign", "c.last").where("y >= 0 and x >= 0")
+    counts = met.groupBy(*KEY).agg(F.sum(F.col("s") * F.col("sign")).alias("n"), F.count(F.lit(1)).alias("corners"), F.max("last").alias("whole"))
     # With a border of zeros, only the lower right corner must exist.
-    out = d.join(b, KEY, how).join(c, KEY, how).join(a, KEY, how)
-    n = F.col("d") - F.coalesce("b", F.lit(0)) - F.coalesce("c", F.lit(0)) + F.coalesce("a", F.lit(0))
-    return out.where("y >= 0 and x >= 0").select(*KEY, n.alias("n")).where(F.col("n") >= h * w * allowance)
+    return counts.where("whole = 1" if aligned else "corners = 4").select(*KEY, "n").where(F.col("n") >= h * w * allowance)
+
+
+def count_patches(m: DataFrame, height: int, width: int, h: int, w: int, allowance: float, aligned: bool = False, tile: int = 1024) -> DataFrame:
+    """What ``patch_counts`` gives for the integral image of a mask, without one: a task sums one tile of words and its margin below and to the right, and only the origins that pass leave it."""
+    if allowance <= 0:
+        raise ValueError("allowance must be above 0: origins of empty rectangles have no row")
+    k, side = 0 if aligned else 1, max(tile, h, w)
+    kind = m.schema["slide"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        ty, tx = (table.column(c)[0].as_py() for c in ("ty", "tx"))
+        y0, x0 = ty * side + k, tx * side + k
+        # Origins of this tile whose rectangle lies in the image.
+        rows, cols = min(side, height - h - k + 1 - ty * side), min(side, width - w - k + 1 - tx * side)
+        grid, gy, gx = unpacked(*(table.column(c).to_numpy() for c in ("y", "w", "bits")))
+        area = np.zeros((rows + h, cols + w), np.int64)
+        top, left = max(gy, y0), max(gx, x0)
+        part = grid[top - gy :, left - gx :][: max(0, y0 + rows + h - 1 - top), : max(0, x0 + cols + w - 1 - left)]
+        area[top - y0 + 1 : top - y0 + 1 + part.shape[0], left - x0 + 1 : left - x0 + 1 + part.shape[1]] = part
+        area = area.cumsum(axis=0).cumsum(axis=1)
+        n = area[h:, w:] - area[:-h, w:] - area[h:, :-w] + area[:-h, :-w]
+        y, x = np.nonzero(n >= h * w * allowance)
+        return pa.table({"slide": pa.array([table.column("slide")[0].as_py()] * len(y), table.schema.field("slide").type), "y": pa.array((y + ty * side).astype(np.int32)), "x": pa.array((x + tx * side).astype(np.int32)), "n": pa.array(n[y, x])})
+
+    origin = lambda c, reach, last: F.sequence(F.greatest(F.lit(0), F.floor((c - reach) / side).cast("int")), F.least(F.lit(last // side), F.floor(c / side).cast("int")))
+    if h + k > height or w + k > width:
+        return m.sparkSession.createDataFrame([], f"slide {kind}, y int, x int, n long")
+    tiled = words.from_pixels(m).withColumn("ty", F.explode(origin(F.col("y"), h + k - 1, height - h - k)))
+    # A word reaches from its first cell, less the rectangle, to its last.
+    first = F.col("w") * words.WORD
+    low, high = F.greatest(F.lit(0), F.floor((first - (w + k - 1)) / side).cast("int")), F.least(F.lit((width - w - k) // side), F.floor((first + words.WORD - 1) / side).cast("int"))
+    tiled = tiled.where(low <= high).withColumn("tx", F.explode(F.sequence(low, high)))
+    return tiled.groupBy("slide", "ty", "tx").applyInArrow(run, f"slide {kind}, y int, x int, n long")
 
 
 def grid_points(px: DataFrame, sy: int, sx: int) -> DataFrame:
@@ -115,11 +150,26 @@ def patch_offsets(counted: DataFrame, sy: int, sx: int, vy: int, vx: int) -> Dat
     return grid_points(counted, sy, sx).select("slide", (F.col("y") * vy).cast("long").alias("oy"), (F.col("x") * vx).cast("long").alias("ox"))
 
 
+def coverage_runs(offsets: DataFrame, height: int, width: int) -> DataFrame:
+    """(slide, y, x0, x1, n): stretches of image rows that n of the rectangles at (y, x) cover, n > 0; neighbouring stretches differ in n.
+
+    A difference array: four signed corners a rectangle. Summed down each column
+    they give what begins and ends there in each row; summed along each row, the number.
+    """
+    corners = F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(sign).alias("d")) for dy, dx, sign in ((0, 0, 1), (0, width, -1), (height, 0, -1), (height, width, 1))])
+    events = offsets.select("slide", F.explode(corners).alias("c")).groupBy("slide", "c.y", "c.x").agg(F.sum("c.d").alias("d")).where("d != 0")
+    down = Window.partitionBy("slide", "x").orderBy("y")
+    steps = events.select("slide", "x", "y", F.sum("d").over(down).alias("d"), F.lead("y").over(down).alias("until")).where("d != 0")
+    rows = steps.select("slide", "x", "d", F.explode(F.sequence(F.col("y"), F.col("until") - 1)).alias("y"))
+    along = Window.partitionBy("slide", "y").orderBy("x")
+    stretches = rows.select("slide", "y", F.col("x").alias("x0"), (F.lead("x").over(along) - 1).alias("x1"), F.sum("d").over(along).alias("n"))
+    return stretches.where("n > 0")
+
+
 def roi_coverage(offsets: DataFrame, height: int, width: int, count: bool = False) -> DataFrame:
     """Pixels of the union of rectangles at (y, x), with the number that cover each if asked."""
-    rows = offsets.select("slide", "x", F.explode(F.sequence(F.col("y"), F.col("y") + (height - 1))).alias("y"))
-    cells = rows.select("slide", "y", F.explode(F.sequence(F.col("x"), F.col("x") + (width - 1))).alias("x"))
-    return cells.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")) if count else cells.distinct()
+    cells = coverage_runs(offsets, height, width).select("slide", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "n")
+    return cells if count else cells.select(*KEY)
 
 
 def mosaic(tiles: DataFrame, rows: int, cols: int) -> DataFrame:

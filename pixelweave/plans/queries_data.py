@@ -198,9 +198,22 @@ def _(spark, d):
     return H.assign(pix(spark, d), c, ("r", "g", "b")).select(*KEY, "class")
 
 
-@register("h6_fit_centers")
-def _(spark, d):
-    return H.fit_centers(B.gray(pix(spark, d)), 5)
+def kmeans_sql(k: int) -> str:
+    """Tables that end in ``centers`` (k, c): the best split of the gray histogram into k stretches."""
+    levels = (
+        f"hist AS (SELECT v, row_number() OVER (ORDER BY v) AS i, CAST(n AS DOUBLE) AS n FROM (SELECT {GRAY} AS v, count(*) AS n FROM pix GROUP BY 1)), "
+        "sums AS (SELECT i, v, n, sum(n) OVER w AS s0, sum(n * v) OVER w AS s1, sum(n * v * v) OVER w AS s2 FROM hist WINDOW w AS (ORDER BY i)), "
+        "costs AS (SELECT a.i AS a, b.i AS b, b.s2 - a.s2 + a.n * a.v * a.v - (b.s1 - a.s1 + a.n * a.v) ** 2 / (b.s0 - a.s0 + a.n) AS cost, (b.s1 - a.s1 + a.n * a.v) / (b.s0 - a.s0 + a.n) AS c FROM sums a JOIN sums b ON a.i <= b.i), "
+        "d1 AS (SELECT b AS e, cost AS best, [c] AS cs FROM costs WHERE a = 1)"
+    )
+    for j in range(2, k + 1):
+        levels += f", d{j} AS (SELECT c.b AS e, min(d.best + c.cost) AS best, arg_min(list_append(d.cs, c.c), d.best + c.cost) AS cs FROM costs c JOIN d{j - 1} d ON d.e = c.a - 1 GROUP BY 1)"
+    return levels + f", centers AS (SELECT unnest(range(1, {k + 1})) - 1 AS k, unnest(cs) AS c FROM d{k} WHERE e = (SELECT max(i) FROM hist))"
+
+
+@register("h6_fit_centers", "SELECT CAST(k AS INT) AS k, round(c, 6) AS c FROM centers", more=kmeans_sql(5))
+def _(spark, d):
+    return H.fit_intensities(B.gray(pix(spark, d)), 5).select("k", F.round(F.get("c", F.lit(0)), 6).alias("c"))
 
 
 # --- tile scoring ------------------------------------------------------------

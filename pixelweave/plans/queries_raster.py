@@ -493,7 +493,7 @@ COUNTED = f"(SELECT p.slide, p.y, p.x, count(*) AS n FROM grid p JOIN {m_sql('tu
 
 @on_pix("e8_patch_counts", f"SELECT * FROM {COUNTED}", GRID_SQL)
 def _(px):
-    return E.patch_counts(E.integral_image(mask(px, "tubule"), A.grid(px, S, S)), 20, 16, 0.2)
+    return E.count_patches(mask(px, "tubule"), S, S, 20, 16, 0.2)
 
 
 @on_pix("e9_grid_points", "SELECT slide, y, x FROM pix WHERE x % 10 + y % 5 = 0")
@@ -503,7 +503,7 @@ def _(px):
 
 @on_pix("e10_patch_offsets", f"SELECT slide, CAST(y * 2000 AS BIGINT) AS oy, CAST(x * 2000 AS BIGINT) AS ox FROM {COUNTED} WHERE x % 4 + y % 5 = 0", GRID_SQL)
 def _(px):
-    return E.patch_offsets(E.patch_counts(E.integral_image(mask(px, "tubule"), A.grid(px, S, S)), 20, 16, 0.2), 4, 5, 2000, 2000)
+    return E.patch_offsets(E.count_patches(mask(px, "tubule"), S, S, 20, 16, 0.2), 4, 5, 2000, 2000)
 
 
 @on_pix("e11_roi_coverage", f"SELECT slide, CAST(y + a.i AS INT) AS y, CAST(x + b.i AS INT) AS x, count(*) AS n FROM {m_sql('cap')} m, range(6) a(i), range(8) b(i) GROUP BY 1, y + a.i, x + b.i")
