@@ -16,7 +16,8 @@ def _buckets(rows: DataFrame, ranges: list[tuple]) -> dict[tuple, list[tuple[int
     kind = rows.schema["grp"].dataType.simpleString()
     table = F.broadcast(spark.createDataFrame(ranges, f"of {kind}, low double, high double"))  # at most a few for each wanted quantile
     met = rows.join(table, F.col("grp").eqNullSafe(F.col("of")) & F.col("v").between(F.col("low"), F.col("high")))
-    share = F.when(F.col("high") > F.col("low"), (F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)).otherwise(0.0)
+    # Halves, as the range itself may be above the largest double; where they are equal, the least value stands apart from the rest.
+    share = F.coalesce(F.try_divide(F.col("v") / 2 - F.col("low") / 2, F.col("high") / 2 - F.col("low") / 2), (F.col("v") > F.col("low")).cast("double"))
     part = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
     found = met.groupBy("of", "low", "high", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).collect()
     out: dict[tuple, list] = {}
