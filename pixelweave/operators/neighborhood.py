@@ -187,16 +187,10 @@ def median_mask(m: DataFrame, k: int, height: int, width: int) -> DataFrame:
     return rows.groupBy("slide", "x").applyInPandas(sums(height, "y", "x"), schema).where(F.col("n") * 2 > k * k).select(*KEY)
 
 
-def shell(m: DataFrame, nuclei: DataFrame | None, inner: int, outer: int, height: int, width: int, nested: bool = False, within: DataFrame | None = None, sigma: float | None = 2.0) -> DataFrame:
-    """Dilated minus eroded mask, without nuclei, within a mask, smoothed. ``nested`` dilates the eroded mask instead of the mask; without ``sigma`` it isn't smoothed.
-
-    All steps run over one tile and its margin; the masks move as words, once.
-    """
-    masks = {"m": m, "nuclei": nuclei, "within": within}
-    parts = {n: words.from_pixels(x) for n, x in masks.items() if x is not None}
-    names, small, large = list(parts), disk(inner), disk(outer)
+def shell_words(masks: dict[str, DataFrame], inner: int, outer: int, height: int, width: int, nested: bool = False, sigma: float | None = 2.0) -> DataFrame:
+    """Pixels of the shell of mask ``m`` without ``nuclei`` and within ``within``, as far as given, all in words. All steps run over one tile and its margin."""
+    names, small, large = list(masks), disk(inner), disk(outer)
     w = np.ones(1) if sigma is None else weights(sigma)
-    reach = inner + outer + len(w) // 2
 
     def ring(arrays: list[np.ndarray], touch) -> np.ndarray:
         given = dict(zip(names, arrays))
@@ -209,8 +203,13 @@ def shell(m: DataFrame, nuclei: DataFrame | None, inner: int, outer: int, height
             out &= filters.inner(given["within"], inner + outer, touch)
         return out if sigma is None else filters.correlate(out, w, w, touch).round(9) > 0.5
 
-    # A tile without the mask has no shell.
-    return filters.map_masks(words.joined(parts), names, reach, height, width, ring)
+    return filters.map_masks(words.joined(masks), names, inner + outer + len(w) // 2, height, width, ring)
+
+
+def shell(m: DataFrame, nuclei: DataFrame | None, inner: int, outer: int, height: int, width: int, nested: bool = False, within: DataFrame | None = None, sigma: float | None = 2.0) -> DataFrame:
+    """Dilated minus eroded mask, without nuclei, within a mask, smoothed. ``nested`` dilates the eroded mask instead of the mask; without ``sigma`` it isn't smoothed."""
+    masks = {n: words.from_pixels(x) for n, x in (("m", m), ("nuclei", nuclei), ("within", within)) if x is not None}
+    return shell_words(masks, inner, outer, height, width, nested, sigma)
 
 
 def tubule_shell(tubule: DataFrame, nuclei: DataFrame | None, height: int, width: int, inner: int = 2, outer: int = 7, within: DataFrame | None = None) -> DataFrame:

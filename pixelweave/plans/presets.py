@@ -68,8 +68,13 @@ def slide_scores(layers: DataFrame, block: int, preset: str = "final", width: in
     ``drop_up_to`` overrides the preset's size; ``width`` isn't needed any more.
     """
     p = PRESETS[preset]
-    drop = p.drop_up_to if drop_up_to is None else drop_up_to
-    stacked = algebra.structures(algebra.stack(layers), p.region, p.no_background)
+    return scores_of_stack(algebra.stack(layers), block, preset, p.drop_up_to if drop_up_to is None else drop_up_to)
+
+
+def scores_of_stack(stacked: DataFrame, block: int, preset: str, drop: int) -> DataFrame:
+    """The same from a stack of layers."""
+    p = PRESETS[preset]
+    stacked = algebra.structures(stacked, p.region, p.no_background)
     stacked = algebra.with_layer(stacked, "vessel_ring", p.ring())
     outside = ~algebra._any("vessel cap")
     terms = {"finfib": algebra.fibrosis(**p.formula), "tissue": p.tissue(), "bare": p.tissue() & outside, "inflamm": p.inflammation(), "rest": p.inflammation() | p.exclusion()}

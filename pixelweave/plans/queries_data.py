@@ -14,14 +14,16 @@ from ..operators import metrics as K
 from ..operators import patches as E
 from ..operators import pixels as B
 from ..operators import scoring as I
+from ..operators import tiles, words
 from ..operators import votes as J
 from ..operators.pixels import KEY
 from ..sources import slides as A
-from ..sources.tables import shared_dir
-from . import presets
+from ..sources import store
+from ..sources.tables import shared_dir, stored
+from . import presets, slide_plan
 from ..operators.resample import downsample_mask
 from .queries_raster import ABNORMAL_SQL, EXCLUSION, FIB, FIB_CLUSTER, GRAY, INFLAMM, R, comp_sql, erode_sql, abnormal, hash_sql, m_sql, offsets_table, sized
-from .raster import GRID_SQL, LAYERS, PIX_SQL, SIDE, layers, mask, pix
+from .raster import GRID_SQL, LAYERS, PIX_SQL, SIDE, large_tiles, layers, mask, pix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -223,7 +225,35 @@ NEAR = f"SELECT p.slide, p.y, p.x FROM grid p JOIN pix m ON p.slide = m.slide AN
 
 @register("i1_score_tiles", NEAR, more=GRID_SQL)
 def _(spark, d):
-    return I.score_tiles(pix(spark, d), I.mean_scorer(1), S, S, 32, 4).select(*KEY)
+    """From tiles written to the shared folder; absent pixels count as black."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    store.write_tiles(A.to_tiles(pix(spark, d), 64, fill=0), path)
+    return words.to_pixels(tiles.score(store.read_tiles(spark, path), I.mean_scorer(1), S, S, 64, 4, fill=0))
+
+
+def channel_scorer(weights: tuple[float, float, float], reach: int) -> I.Scorer:
+    """Weighted channels, smoothed over a square: what stands for a model in the query below."""
+    smooth = I.mean_scorer(reach)
+    return lambda block: smooth((block * weights).sum(axis=2, keepdims=True))
+
+
+#: A scorer and its threshold for each layer.
+SCORERS = {
+    "cortex": (channel_scorer((-1.0, 0.0, 0.0), 12), -0.72),
+    "cap": (channel_scorer((0.0, -1.0, 0.0), 12), -0.45),
+    "tubule": (channel_scorer((0.5, 0.5, 0.0), 2), 0.75),
+    "vessel": (channel_scorer((1.0, -1.0, 0.0), 12), 0.22),
+    "nuclei": (channel_scorer((0.0, 0.0, -1.0), 1), -0.2),
+}
+
+
+@register("slide_pipeline")
+def _(spark, d):
+    """Slides of 1,000 x 1,000 cells from their pixels to their scores, with the objects' own sizes."""
+    tiled = stored(large_tiles(pix(spark, d)), "tiles")
+    return slide_plan.slide_scores(tiled, 10 * S, 10 * S, 256, SCORERS, slide_plan.Sizes(fill=11, shrink=8, erode=3, halo=32, block=500))
 
 
 @register("i2_score_tiles_no_halo", f"SELECT slide, y, x FROM pix WHERE CAST(255 - {GRAY} AS DOUBLE) / 255 > 0.6")

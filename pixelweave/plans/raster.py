@@ -7,6 +7,8 @@ discounts the colour. A cell without a line item is white and has no row.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,21 @@ def layers(px: DataFrame) -> DataFrame:
     """(slide, y, x, layer): all layers in one pass over the pixels."""
     names = F.array_compact(F.array(*[F.when(F.expr(p), F.lit(n)) for n, p in LAYERS.items()]))
     return px.select(*KEY, F.explode(names).alias("layer"))
+
+
+def large_tiles(px: DataFrame, k: int = 10, side: int = 256) -> DataFrame:
+    """(slide, ty, tx, h, w, data): each slide enlarged k times, every cell a k x k square, in tiles; 1,000 x 1,000 cells for k = 10."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n = -(-SIDE * k // side)
+        cells = np.full((SIDE, SIDE, 3), 255, np.uint8)
+        cells[table.column("y").to_numpy(), table.column("x").to_numpy()] = np.stack([table.column(c).to_numpy() for c in "rgb"], 1)
+        whole = np.full((n * side, n * side, 3), 255, np.uint8)
+        whole[: SIDE * k, : SIDE * k] = cells.repeat(k, axis=0).repeat(k, axis=1)
+        at = [(ty, tx) for ty in range(n) for tx in range(n)]
+        slide = table.column("slide")
+        data = [whole[ty * side : (ty + 1) * side, tx * side : (tx + 1) * side].tobytes() for ty, tx in at]
+        ints = lambda x: pa.array(x, pa.int32())
+        return pa.table({"slide": pa.array([slide[0].as_py()] * len(at), slide.type), "ty": ints([a for a, _ in at]), "tx": ints([b for _, b in at]), "h": ints([side] * len(at)), "w": ints([side] * len(at)), "data": pa.array(data, pa.binary())})
+
+    return px.groupBy("slide").applyInArrow(run, "slide int, ty int, tx int, h int, w int, data binary")
