@@ -40,6 +40,16 @@ def patches_overlap(spark: SparkSession, height: int, width: int, size: int, ove
     return spark.range(max(0, rows) * max(0, cols)).select(F.col("id").cast("int").alias("patch_idx"), (F.floor(F.col("id") / cols) * stride).cast("int").alias("y0"), (F.col("id") % cols * stride).cast("int").alias("x0"))
 
 
+def slide_patches(extents: DataFrame, size: int, overlap: float = 0.5) -> DataFrame:
+    """(slide, patch_idx, y0, x0) of the whole patches of each slide (slide, height, width), in row-major order."""
+    stride = int(size * (1 - overlap))
+    fit = lambda n: F.floor((F.col(n) - size) / stride).cast("int") + 1
+    sized = extents.where((F.col("height") >= size) & (F.col("width") >= size)).select("slide", fit("height").alias("rows"), fit("width").alias("cols"))
+    i = F.col("i")
+    each = sized.select("slide", "cols", F.explode(F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1)).alias("i"))
+    return each.select("slide", i.alias("patch_idx"), (F.floor(i / F.col("cols")) * stride).cast("int").alias("y0"), (i % F.col("cols") * stride).cast("int").alias("x0"))
+
+
 def _covering(c: str, size: int, stride: int, last: int) -> Column:
     """Starts of the patches that cover a coordinate."""
     low = F.greatest(F.lit(0), F.floor((F.col(c) - size) / stride).cast("int") + 1)
@@ -222,3 +232,19 @@ def tile_manifest(paths: DataFrame) -> DataFrame:
     kept = paths.where(~F.col("path").contains("mask"))
     numbered = kept.withColumn("id", F.row_number().over(Window.partitionBy("folder").orderBy(natural_key(F.col("path")), "path")) - 1)
     return numbered.select("folder", "path", F.col("id").cast("int").alias("id"), F.replace(F.col("path"), F.lit("/"), F.lit("-")).alias("name"))
+
+
+def slide_windows(extents: DataFrame, patch: int, stride: int, seed: int = 0) -> DataFrame:
+    """(slide, i, j, y, x): the window grid of each slide (slide, height, width, none below ``patch``); inner windows move by a hashed step in [-stride, stride), windows at the border stay."""
+    fit = lambda n: F.ceil((F.col(n) - patch) / stride).cast("int") + 1
+    sized = extents.where((F.col("height") >= patch) & (F.col("width") >= patch)).select("*", fit("height").alias("rows"), fit("width").alias("cols"))
+    each = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
+    inner = (F.col("i") > 0) & (F.col("i") < F.col("rows") - 1) & (F.col("j") > 0) & (F.col("j") < F.col("cols") - 1)
+
+    def start(c: str, n: str, k: int) -> Column:
+        last = F.col(n) - patch
+        plain = F.least(F.col(c) * stride, last)
+        moved = plain + hashed(F.col("slide"), F.col("i"), F.col("j"), seed=seed + k, below=2 * stride) - stride
+        return F.when(inner, F.least(F.greatest(moved, F.lit(0)), last)).otherwise(plain)
+
+    return each.select("slide", "i", "j", start("i", "height", 0).alias("y"), start("j", "width", 1).alias("x"))

@@ -89,10 +89,12 @@ def restore_mask(m: DataFrame, height: int, width: int, to_height: int, to_width
 
 
 def build_pyramid(px: DataFrame, height: int, width: int, n: int = 4) -> DataFrame:
-    """Levels 0..n: each level is the 2 x 2 mean of the one before."""
+    """Levels 0..n: each level is the 2 x 2 mean of the one before, written once and read by the next."""
+    from ..sources.tables import stored
+
     out, now = px.select(F.lit(0).alias("level"), *KEY, "r", "g", "b"), px
     for level in range(1, n + 1):
-        now = coarsen_mean(now, height, width)
+        now = stored(coarsen_mean(now, height, width), "level")
         height, width = height // 2, width // 2
         out = out.unionByName(now.select(F.lit(level).alias("level"), *KEY, "r", "g", "b"))
     return out

@@ -456,13 +456,21 @@ def _(px):
 PATCHES = "SELECT CAST(a.i * 8 + b.i AS INT) AS patch_idx, CAST(a.i * 10 AS INT) AS y0, CAST(b.i * 10 AS INT) AS x0 FROM range(8) a(i), range(8) b(i)"
 
 
-def e3(spark: SparkSession, d: str) -> DataFrame:
-    side = pix(spark, d).agg((F.max("y") + 1).alias("h")).first()["h"]  # the extent of the whole raster
-    return E.patches_overlap(spark, side, side, 24, 0.55)
+#: Each slide's own extent.
+EXTENT_SQL = "ext AS (SELECT slide, CAST(max(y) + 1 AS INT) AS height, CAST(max(x) + 1 AS INT) AS width FROM pix GROUP BY slide)"
 
 
-QUERIES["e3_patches_overlap"] = e3
-ORACLE_SQL["e3_patches_overlap"] = f"WITH {PIX_SQL} {PATCHES}"
+def extents(px: DataFrame) -> DataFrame:
+    return px.groupBy("slide").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+
+
+@on_pix(
+    "e3_patches_overlap",
+    "SELECT slide, CAST(i * cols + j AS INT) AS patch_idx, CAST(i * 10 AS INT) AS y0, CAST(j * 10 AS INT) AS x0 FROM (SELECT *, unnest(range(cols)) AS j FROM (SELECT slide, (width - 24) // 10 + 1 AS cols, unnest(range((height - 24) // 10 + 1)) AS i FROM ext))",
+    EXTENT_SQL,
+)
+def _(px):
+    return E.slide_patches(extents(px), 24, 0.55)
 
 
 @on_pix("e4_min_positive", f"SELECT slide, y0, x0, count(*) AS n FROM {m_sql('tubule')} m, p WHERE y >= y0 AND y < y0 + 24 AND x >= x0 AND x < x0 + 24 GROUP BY ALL HAVING count(*) >= 0.22 * 576", f"p AS ({PATCHES})")
@@ -529,17 +537,18 @@ def hash_sql(*keys: str, seed: int = 0, below: int = 1000) -> str:
     return f"CAST({h} % {below} AS INT)"
 
 
-def e14(spark: SparkSession, d: str) -> DataFrame:
-    side = pix(spark, d).agg((F.max("y") + 1).alias("h")).first()["h"]
-    return E.jitter_windows(spark, side, side, 24, 12)
+def _jitter(c: str, n: str, k: int) -> str:
+    return f"CAST(CASE WHEN i > 0 AND i < rows - 1 AND j > 0 AND j < cols - 1 THEN least(greatest(least({c} * 12, {n} - 24) + {hash_sql('slide', 'i', 'j', seed=k, below=24)} - 12, 0), {n} - 24) ELSE least({c} * 12, {n} - 24) END AS INT)"
 
 
-def _jitter(c: str, k: int) -> str:
-    return f"CAST(CASE WHEN i > 0 AND i < 7 AND j > 0 AND j < 7 THEN least(greatest(least({c} * 12, 76) + {hash_sql('i', 'j', seed=k, below=24)} - 12, 0), 76) ELSE least({c} * 12, 76) END AS INT)"
-
+@on_pix(
+    "e14_jitter_windows",
+    f"SELECT slide, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {_jitter('i', 'height', 0)} AS y, {_jitter('j', 'width', 1)} AS x FROM (SELECT *, unnest(range(cols)) AS j FROM (SELECT *, unnest(range(rows)) AS i FROM (SELECT *, (height - 24 + 11) // 12 + 1 AS rows, (width - 24 + 11) // 12 + 1 AS cols FROM ext)))",
+    EXTENT_SQL,
+)
+def _(px):
+    return E.slide_windows(extents(px), 24, 12)
 
-QUERIES["e14_jitter_windows"] = e14
-ORACLE_SQL["e14_jitter_windows"] = f"SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, {_jitter('i', 0)} AS y, {_jitter('j', 1)} AS x FROM range(8) a(i), range(8) b(j)"
 
 # --- neighbourhoods ----------------------------------------------------------
 
@@ -644,16 +653,26 @@ def _(px):
     return both.withColumn("v", F.round("v", 6))
 
 
-@on_pix("f10_orientation")
-def _(px):
-    return N.orientation(B.gray(px), 2, S, S)
-
-
 def _mirror(c: str, o: str) -> str:
     """Coordinate c + o mirrored at the edges."""
     return f"CASE WHEN {c} + {o} < 0 THEN -1 - ({c} + {o}) WHEN {c} + {o} >= {S} THEN {2 * S - 1} - ({c} + {o}) ELSE {c} + {o} END"
 
 
+#: Offsets of a 3 x 3 neighbourhood with the weights of differences and of smoothing, edges mirrored.
+SOBEL_SQL = f"o AS (SELECT CAST(c.i AS INT) AS c, {_mirror('c.i', '(k.i - 1)')} AS m, (k.i - 1) * 0.5e0 AS step, CASE WHEN k.i = 1 THEN 0.5e0 ELSE 0.25e0 END AS soft FROM range({S}) c(i), range(3) k(i))"
+
+
+@on_pix(
+    "f10_orientation",
+    "SELECT yy.slide, yy.y, yy.x, round(0.5e0 * atan2(2 * xy.v, xx.v - yy.v), 6) AS theta FROM yy JOIN xx ON yy.slide = xx.slide AND yy.y = xx.y AND yy.x = xx.x JOIN xy ON yy.slide = xy.slide AND yy.y = xy.y AND yy.x = xy.x",
+    f"gr AS (SELECT slide, y, x, CAST({GRAY} AS DOUBLE) AS v FROM pix), {SOBEL_SQL}, "
+    "grad AS (SELECT t.slide, v.c AS y, h.c AS x, sum(t.v * v.step * h.soft) AS gy, sum(t.v * v.soft * h.step) AS gx FROM gr t JOIN o v ON t.y = v.m JOIN o h ON t.x = h.m GROUP BY ALL HAVING count(*) FILTER (v.step <> 0) > 0 AND count(*) FILTER (h.step <> 0) > 0), "
+    + ", ".join(gauss_sql(n, f"(SELECT slide, y, x, {p} AS v FROM grad)", 2) for n, p in (("yy", "gy * gy"), ("xx", "gx * gx"), ("xy", "gx * gy"))),
+)
+def _(px):
+    return N.orientation(B.gray(px), 2, S, S).withColumn("theta", F.round("theta", 6))
+
+
 THETA = "(SELECT slide, y, x, CAST(r % 60 AS DOUBLE) / 8 AS theta FROM pix)"
 
 
@@ -750,12 +769,12 @@ ABNORMAL_SQL = ORACLE_SQL["g6_abnormal_tissue"]
 
 
 def g7(px: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return G.tissue_objects(px.where("y % 14 < 9 and x % 14 < 9 and r > 60").select(*KEY), S, S, 20, 2, 8)
+    return G.tissue_objects(px.where("r + g > 380").select(*KEY), S, S, 20, 2, 8)
 
 
 _closed7, _last7 = steps("first", "de", "sq")
 OBJECTS = (
-    f"{GRID_SQL}, {offsets_table(N.SQUARE_4, 'sq')}, first AS (SELECT slide, y, x FROM pix WHERE y % 14 < 9 AND x % 14 < 9 AND r > 60), {_closed7}, "
+    f"{GRID_SQL}, {offsets_table(N.SQUARE_4, 'sq')}, first AS (SELECT slide, y, x FROM pix WHERE r + g > 380), {_closed7}, "
     + comp_sql(_last7, "obj")
     + f", big AS (SELECT slide, y, x, label FROM (SELECT *, count(*) OVER (PARTITION BY slide, label) AS n FROM obj) WHERE n > 20), "
     + comp_sql(f"(SELECT slide, y, x FROM grid EXCEPT SELECT slide, y, x FROM {_last7})", "gap", 4)
@@ -790,12 +809,12 @@ def box_sql(a: str) -> str:
     return f"CAST(greatest({low} - floor({lack} / 2.0) - 8, 0) AS INT) AS {a}0, CAST(least({high} + ceil({lack} / 2.0) + 8, {S}) AS INT) AS {a}1"
 
 
-BOXES = f"(SELECT slide, {box_sql('y')}, {box_sql('x')} FROM pix WHERE y BETWEEN 30 + slide * 5 AND 70 AND x BETWEEN 2 AND 20 + slide GROUP BY slide)"
+BOXES = f"(SELECT slide, {box_sql('y')}, {box_sql('x')} FROM pix WHERE r + g > 440 GROUP BY slide)"
 
 
 @on_pix("g9_bounding_boxes", f"SELECT * FROM {BOXES}")
 def _(px):
-    return G.bounding_boxes(px.where("y between 30 + slide * 5 and 70 and x between 2 and 20 + slide"), S, S, 60, 8)
+    return G.bounding_boxes(px.where("r + g > 440"), S, S, 60, 8)
 
 
 def start_sql(a: str, k: int) -> str:
@@ -806,4 +825,4 @@ def start_sql(a: str, k: int) -> str:
 
 @on_pix("g10_sample_crop", f"SELECT slide, {start_sql('y', 1)}, {start_sql('x', 2)}, inside FROM (SELECT *, {hash_sql('slide')} < 800 AS inside FROM {BOXES})")
 def _(px):
-    return G.sample_crop(G.bounding_boxes(px.where("y between 30 + slide * 5 and 70 and x between 2 and 20 + slide"), S, S, 60, 8), 40, S, S)
+    return G.sample_crop(G.bounding_boxes(px.where("r + g > 440"), S, S, 60, 8), 40, S, S)
