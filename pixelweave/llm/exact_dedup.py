@@ -7,9 +7,11 @@ by their full text. The key bounds what the sampling of splitters sends to the
 driver: about 40 bytes a sample, whatever the length of the texts.
 
 Hot groups: a digest held by more than ``max(hot_rows, rows / hot_groups)``
-rows gets a salt by doc id, so its copies spread over ``salts`` ranges. There
-are at most ``hot_groups`` such digests, so the salted digests and the merge of
-their ``hot_groups * salts`` partial winners are small enough to broadcast.
+rows gets a salt by doc id and input partition, so its copies spread over ranges
+even where their ids are null or equal: over ``salts`` of them, and over more the
+larger the group is. There are at most ``hot_groups`` such digests, so the salted
+digests and the merge of their partial winners, at most ``hot_groups * (salts + 8)``,
+are small enough to broadcast.
 
 Null text counts as empty. Rows with null ids come last in a group; of rows
 equal in text and id, one stays.
@@ -37,12 +39,14 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("raw"),
     ).withColumn("body", normalise(F.col("raw")))
     rows = docs.count()
-    hot = base.groupBy(F.sha2("body", 256).alias("digest")).count().where(F.col("count") > max(hot_rows, rows // hot_groups)).select("digest", F.lit(True).alias("hot"))
+    few = max(hot_rows, rows // hot_groups)
+    parts = F.greatest(F.lit(salts), F.ceil(F.col("count") * 4 / few)).cast("int")
+    hot = base.groupBy(F.sha2("body", 256).alias("digest")).count().where(F.col("count") > few).select("digest", F.lit(True).alias("hot"), parts.alias("parts"))
     doc = F.col("rest").getField(doc_id)
     keyed = (
         base.withColumn("digest", F.sha2("body", 256))
         .join(F.broadcast(hot), "digest", "left")
-        .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(doc), F.lit(salts))).otherwise(F.lit(0)))
+        .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(doc, F.spark_partition_id()), F.col("parts")).cast("int")).otherwise(F.lit(0)))
         .withColumns({"lead": F.substring("body", 1, LEAD), "h": F.xxhash64("body")})
         .repartitionByRange("lead", "h", "salt")
     )
@@ -57,12 +61,12 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
     # The partial winners of the salted groups: full texts are compared once more, one row a salt.
     winners = part.where(F.col("hot") & (F.col("nth") == 1)).select("digest", "salt", "body", "part_keep", "part_size")
     whole = winners.groupBy("digest", "body").agg(best("part_keep").alias("keep_id"), F.sum("part_size").alias("group_size"), F.collect_list(F.struct("salt", "part_keep")).alias("parts"))
-    lookup = whole.select("digest", "keep_id", "group_size", F.array_min("parts.salt").alias("first_salt"), F.explode("parts").alias("p")).select(
+    lookup = whole.select("digest", "keep_id", "group_size", F.array_min(F.transform(F.filter("parts", lambda p: p["part_keep"].eqNullSafe(F.col("keep_id"))), lambda p: p["salt"])).alias("first_salt"), F.explode("parts").alias("p")).select(
         F.col("digest").alias("w_digest"), F.col("p.salt").alias("w_salt"), F.col("p.part_keep").alias("w_part"), F.col("keep_id").alias("w_keep"), F.col("group_size").alias("w_size"), "first_salt"
     )
     joined = part.join(F.broadcast(lookup), F.col("hot") & (F.col("digest") == F.col("w_digest")) & (F.col("salt") == F.col("w_salt")) & F.col("part_keep").eqNullSafe(F.col("w_part")), "left")
     keep_id = F.when(F.col("hot"), F.col("w_keep")).otherwise(F.col("part_keep"))
-    # With all ids null, the winner of the lowest salt stays.
-    wins = (F.col("nth") == 1) & (F.col("hot").isNull() | F.when(F.col("w_keep").isNull(), F.col("salt") == F.col("first_salt")).otherwise(doc.eqNullSafe(F.col("w_keep"))))
+    # The id that stays may be in several parts, null or repeated: of these the lowest salt's winner stays.
+    wins = (F.col("nth") == 1) & (F.col("hot").isNull() | (F.col("salt") == F.col("first_salt")))
     row = F.struct(*[F.when(~F.col("was_null"), F.col("raw")).alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns])
     return joined.select(row.alias("doc"), keep_id.alias("keep_id"), F.when(F.col("hot"), F.col("w_size")).otherwise(F.col("part_size")).alias("group_size"), wins.alias("kept"), F.col("digest").alias("text_sha256"))

@@ -48,6 +48,16 @@ def test_exact_dedup_salts_hot_groups(spark):
     check_dedup(df.withColumn("doc_id", F.lit(None).cast("long")), hot_rows=10, salts=8)
 
 
+def test_exact_dedup_splits_hot_groups_of_null_and_repeated_ids(spark):
+    df = spark.range(3000).repartition(16).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"), F.lit(None).cast("long").alias("doc_id"))
+    check_dedup(df, hot_rows=10, salts=8)
+    check_dedup(df.withColumn("doc_id", F.lit(7).cast("long")), hot_rows=10, salts=8)
+    check_dedup(df.withColumn("doc_id", F.when(F.col("text") == "hot", F.lit(7)).cast("long")).union(df), hot_rows=10, salts=8)
+    keyed = exact_dedup.exact_dedup(df, hot_rows=10, salts=8)
+    parts = {r["count"] for r in df.where("text = 'hot'").groupBy(F.pmod(F.xxhash64(F.col("doc_id"), F.spark_partition_id()), F.lit(8))).count().collect()}
+    assert keyed.where("kept").count() == 2001 and max(parts) < 700
+
+
 def test_exact_dedup_shuffles_texts_once(spark):
     plan = exact_dedup.exact_dedup(spark.read.parquet(f"{SMALL}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("rangepartitioning") >= 1 and "Python" not in plan
