@@ -3,9 +3,13 @@
 Base kinds are assign, access and hex. The method adds two kinds for strings
 that no pattern names: runs of the hexadecimal class and of the base-64 class
 in which some window of ``WINDOW`` characters has at least the class's Shannon
-entropy. The window's entropy comes from counts that each step changes by one
-in and one out. Allow-listed strings (placeholders, identifiers with dashes,
-alphabets in order) and strings that overlap a base span are suppressed.
+entropy. The window's entropy follows from counts that each step changes by one
+in and one out.
+
+A run ends where a base span stands, and where a window would come within
+``WINDOW`` characters of an allow-listed word (placeholders, alphabets in order);
+what is left on both sides is scanned. Identifiers with dashes in their usual
+form are suppressed.
 
 Null text is empty and has no spans; ``base_sha256`` is then that of "".
 """
@@ -30,10 +34,10 @@ HEX = r"[0-9a-f]{16,}"
 WINDOW = 20
 #: Class, its characters, and the entropy in bits from which a window counts.
 CLASSES = (("entropy_hex", "0-9a-fA-F", 3.0), ("entropy_base64", "A-Za-z0-9+/_=-", 3.9))
-ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|x{6}|0123456789|abcdefgh|"
-    r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-)
+ALLOWED = r"(?i:example|sample|dummy|placeholder|changeme|your[_-]|x{6}|0123456789|abcdefgh)"
+IDENTIFIER = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Allow-listed words with what is within WINDOW characters of them.
+AROUND_ALLOWED = rf"(?s)(?:.{{0,{WINDOW}}}{ALLOWED})+.{{0,{WINDOW}}}"
 
 
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
@@ -75,15 +79,22 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         spans.kinded(spans.find(t, ACCESS, t.rlike(ACCESS)), "access", 1),
         spans.kinded(spans.find(t, HEX, t.rlike(HEX)), "hex", 2),
     )
+    # Base spans turned into spaces end the runs around them.
+    free = spans.blanked(t, ASSIGN, t.rlike(ASSIGN_KEPT), lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST)
+    based = rows.select("doc_id", base.alias("base"), free.alias("t"))
+    for pattern in (ACCESS, HEX):
+        based = based.withColumn("t", spans.blanked(t, pattern, t.rlike(pattern)))
     candidates = []
     for order, (kind, chars, _) in enumerate(CLASSES, 3):
         run = f"[{chars}]{{{WINDOW},}}"
         with_digit = f"(?<![{chars}])(?=[{chars.replace('0-9', '')}]*+[0-9])[{chars}]{{{WINDOW},}}"
-        candidates.append(spans.kinded(F.filter(spans.find(t, run, t.rlike(with_digit)), lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]")), kind, order))
-    found = rows.select("doc_id", base.alias("base"), F.concat(*candidates).alias("candidates"))
+        whole = F.filter(spans.find(t, run, t.rlike(with_digit)), lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]"))
+        pieces = lambda x: F.when(x["v"].rlike(ALLOWED), F.transform(spans.between(x["v"], AROUND_ALLOWED), lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e"), y["v"].alias("v")))).otherwise(F.array(x))
+        fresh = F.filter(F.flatten(F.transform(whole, pieces)), lambda x: (F.length(x["v"]) >= WINDOW) & x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]") & ~x["v"].rlike(IDENTIFIER))
+        candidates.append(spans.kinded(fresh, kind, order))
+    found = based.select("doc_id", "base", F.concat(*candidates).alias("candidates"))
     least = F.create_map(*[F.lit(x) for kind, _, bits in CLASSES for x in (kind, bits)])
-    fresh = F.filter(spans.apart(F.col("candidates"), F.col("base")), lambda x: ~x["v"].rlike(ALLOWED))
-    scored = found.select("doc_id", "base", F.when(F.size("candidates") > 0, F.filter(fresh, lambda x: window_entropy(x["v"]) >= F.element_at(least, x["kind"]))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,kind:string,v:string>>")).alias("extra"))
+    scored = found.select("doc_id", "base", F.when(F.size("candidates") > 0, F.filter("candidates", lambda x: window_entropy(x["v"]) >= F.element_at(least, x["kind"]))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,kind:string,v:string>>")).alias("extra"))
     # A string that passes both classes is told once, by the narrower.
     once = F.filter("extra", lambda x: (x["k"] == 3) | ~F.exists("extra", lambda y: (y["k"] == 3) & (y["s"] < x["e"]) & (x["s"] < y["e"])))
     return scored.select("doc_id", "base", once.alias("extra"))

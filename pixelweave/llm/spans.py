@@ -59,6 +59,24 @@ def find(text: Column, pattern: str, where: Column | None = None) -> Column:
     return found if where is None else F.when(where, found).otherwise(none())
 
 
+def between(text: Column, pattern: str) -> Column:
+    """What lies between the matches of a pattern, as structs (s, e, v), some of them empty; the whole text if it has none."""
+
+    def placed(parts: Column, matches: Column) -> Column:
+        ends = running_sums(F.transform(F.zip_with(parts, matches, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0))), lambda n: n.cast("bigint")))
+        starts = F.concat(F.array(F.lit(0).cast("bigint")), ends)
+        return F.transform(F.filter(F.arrays_zip(parts.alias("v"), starts.alias("s")), lambda x: x["v"].isNotNull()), lambda x: F.struct(x["s"].cast("int").alias("s"), (x["s"] + F.length(x["v"])).cast("int").alias("e"), x["v"].alias("v")))
+
+    return let(F.split(text, pattern, -1), lambda parts: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda matches: placed(parts, matches)))
+
+
+def blanked(text: Column, pattern: str, where: Column, keep: Callable[[Column], Column] | None = None) -> Column:
+    """The text with each match (each that ``keep`` holds for) turned into as many spaces, so that places stay; as it is where ``where`` is false."""
+    blank = lambda m: F.repeat(F.lit(" "), F.length(m))
+    told = lambda m: F.coalesce(blank(m) if keep is None else F.when(keep(m), blank(m)).otherwise(m), F.lit(""))
+    return F.when(where, F.array_join(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.concat(g, told(m))), "")).otherwise(text)
+
+
 def kinded(spans: Column, kind: str, order: int) -> Column:
     """Spans as structs that sort by start, then by the order of kinds."""
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(order).alias("k"), x["e"].alias("e"), F.lit(kind).alias("kind"), x["v"].alias("v")))

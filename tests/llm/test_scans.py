@@ -101,6 +101,22 @@ def test_entropy_reaches_keys_behind_long_heads(spark):
     assert got == {**{i: f"entropy_{'hex' if i == 3 else 'base64'}:4:{4 + len(r)}" for i, r in enumerate(runs)}, 4: ""}
 
 
+def test_secrets_beside_allowed_words_and_base_spans(spark):
+    import random
+
+    r = random.Random(11)
+    random_ = lambda n: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWYZghijkmnopqrtuvwyz2345678+/") for _ in range(n))
+    key, left, right = random_(40), random_(800), random_(800)
+    texts = [f"a {key} b", f"a sample-{key} b", f"a {left}dummy{right} b", f"a {key}/0123456789abcdef0 b", f"a {left}EXAMPLE b", f"é {left}dummy{key[:15]}dummy{right} b", f"token={key} {key}", f"AKIA{'Z9' * 10}_{key}"]
+    got = {x.doc_id: x.spans.split(",") for x in secrets.digest(secrets.scan_secrets(table(spark, texts)), ("assign", "access", "hex")).collect()}
+    assert got[0] == ["entropy_base64:2:42"] and got[1] == ["entropy_base64:28:49"]
+    assert got[2] == ["entropy_base64:2:782", "entropy_base64:827:1607"]
+    assert got[3] == ["entropy_base64:2:43", "hex:43:60"] and got[4] == ["entropy_base64:2:782"]
+    assert got[5] == ["entropy_base64:2:782", "entropy_base64:847:1627"]
+    assert got[6] == ["assign:0:46", "entropy_base64:47:87"]
+    assert got[7] == ["access:0:24", "entropy_base64:24:65"]
+
+
 def test_contexts_of_seeds_find_unseen_identifiers(spark):
     texts = [f"{prose(i, 20)} mailto user{i}@host{i}.example.org thanks {prose(i + 99, 20)}" for i in range(30)]
     texts += [f"{prose(500 + i, 20)} mailto user{i}@intranet{i} thanks {prose(i + 700, 5)}" for i in range(3)]
