@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from .pixels import KEY
+from .resample import upsample_nearest
 
 
 def window_votes(preds: DataFrame, size: int, edge: int) -> DataFrame:
@@ -54,3 +56,19 @@ def task_layers(classes: DataFrame, votes: DataFrame, names: dict[int, str], cap
     inside = classes.where(F.col("class").isin(*capsule)).select(*KEY)
     tufts = votes.where((F.col("task") == tuft) & (F.col("n") >= at_least)).select(*KEY).intersect(inside)
     return layers.unionByName(tufts.select("slide", F.lit("tuft").alias("layer"), "y", "x"))
+
+
+def segmented(preds: DataFrame, tissue: DataFrame, size: int, edge: int, pad: int, side: int, factor: int, names: dict[int, str], capsule: tuple[int, ...] = (2, 3), tuft: int = 3, at_least: int = 2, other: int = 6) -> DataFrame:
+    """(slide, layer, y, x): window predictions of a padded image of the given side to its layers at the final size.
+
+    Windows vote, the padding goes, the votes are enlarged by a whole factor and kept
+    to the tissue (at the final size); cells without a vote are of the other class, the
+    rest of the task with most votes.
+    """
+    votes = unpad(window_votes(preds, size, edge), pad, side, side)
+    votes = stored(mask_votes(upsample_nearest(votes, factor, factor), tissue), "votes")
+    whole = factor * (side - 2 * pad)
+    slides = tissue.select("slide").distinct()
+    rows = slides.select("slide", F.explode(F.sequence(F.lit(0), F.lit(whole - 1))).alias("y"))
+    told = other_class(votes, rows.select("slide", "y", F.explode(F.sequence(F.lit(0), F.lit(whole - 1))).alias("x")), other)
+    return task_layers(argmax_class(told), told, names, capsule, tuft, at_least)

@@ -347,6 +347,25 @@ def _(spark, d):
     return J.task_layers(J.argmax_class(v), v, {0: "dt", 1: "pt", 2: "vessel", 6: "other"}, (1, 2), 2, 2)
 
 
+_INNER = "{0} v JOIN range(160) a(i) ON v.y - 10 = a.i // 2 JOIN range(160) b(i) ON v.x - 10 = b.i // 2"
+SEGMENT_SQL = (
+    f"tis AS (SELECT v.slide, CAST(a.i AS INT) AS y, CAST(b.i AS INT) AS x FROM {_INNER.format(m_sql('tissue'))}), "
+    f"vt AS (SELECT v.slide, v.task, CAST(a.i AS INT) AS y, CAST(b.i AS INT) AS x, v.n FROM {_INNER.format('votes')}), "
+    "vm AS (SELECT vt.* FROM vt JOIN tis USING (slide, y, x)), "
+    "fine AS (SELECT slide, CAST(a.i AS INT) AS y, CAST(b.i AS INT) AS x FROM (SELECT DISTINCT slide FROM tis), range(160) a(i), range(160) b(i)), "
+    "all_ AS (SELECT slide, y, x, task, n FROM vm UNION ALL SELECT slide, y, x, 6, 7 FROM (SELECT slide, y, x FROM fine EXCEPT SELECT slide, y, x FROM vm)), "
+    "most AS (SELECT slide, y, x, max_by(task, n * 10 - task) AS class FROM all_ GROUP BY ALL)"
+)
+
+
+@register("vote_segmentation", "SELECT slide, CASE class WHEN 0 THEN 'dt' WHEN 6 THEN 'other' ELSE 'capsule' END AS layer, y, x FROM most UNION ALL SELECT slide, 'tuft', y, x FROM most JOIN (SELECT slide, y, x FROM vm WHERE task = 2 AND n >= 2) USING (slide, y, x) WHERE class IN (1, 2)", more=f"{VOTES_SQL}, {SEGMENT_SQL}")
+def _(spark, d):
+    from ..operators import resample as D
+
+    tissue = D.upsample_nearest(J.unpad(mask(pix(spark, d), "tissue"), 10, S, S), 2, 2)
+    return J.segmented(preds(spark, d), tissue, 24, 2, 10, S, 2, {0: "dt", 6: "other"}, (1, 2), 2, 2)
+
+
 # --- block counts and scores -------------------------------------------------
 
 
