@@ -99,7 +99,7 @@ def running(df: DataFrame, key: str, order: str, values: dict[str, str], fold, j
 
 
 def blocks(hashed: DataFrame) -> DataFrame:
-    """(c, b, turns, bx, by): the blocks of each conversation, their turns (x, y, bytes) in order, and the prefix before them."""
+    """(c, b, x, y, turns, bx, by): the blocks of each conversation, their own hash, their turns (p, x, y, bytes) in order, and the prefix before them."""
     turn = F.struct("p", "x", "y", "bytes")
     found = hashed.groupBy("c", F.floor(F.col("p") / BLOCK).alias("b")).agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.sort_array(F.collect_list(turn)).alias("turns"))
     return running(found, "c", "b", {"bx": "x", "by": "y"}, F.bit_xor, lambda a, b: a.bitwiseXOR(b))
@@ -121,11 +121,12 @@ def _nodes_of_block() -> Column:
 def nodes(cut: DataFrame, lengths: DataFrame) -> DataFrame:
     """(depth, px, py, qx, qy, bytes, n_convs, conv_id) of every node; root included."""
     # Equal blocks behind equal prefixes are one row from here on.
-    same = cut.groupBy("b", "bx", "by", "turns").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("conv"))
+    same = cut.groupBy("b", "bx", "by", "x", "y", "turns").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("conv"))
     same = stored(same, "blocks")
-    behind = same.groupBy("b", "bx", "by").agg(F.count(F.lit(1)).alias("k"), F.first(F.struct("turns", "n", "conv")).alias("only"))
+    behind = same.groupBy("b", "bx", "by").agg(F.count(F.lit(1)).alias("k"), F.first(F.struct("x", "y", "turns", "n", "conv")).alias("only"))
     chain = behind.where("k = 1").select("b", "bx", "by", "only.*")
-    split = same.join(behind.where("k > 1").select("b", "bx", "by"), ["b", "bx", "by"], "left_semi")
+    # By the block as well as the prefix, so a prefix that very many blocks follow is no hot key.
+    split = same.join(chain.select("b", "bx", "by", "x", "y"), ["b", "bx", "by", "x", "y"], "left_anti")
     spread = lambda df: df.select("n", "conv", F.explode(_nodes_of_block()).alias("d")).select("d.*", F.col("n").alias("n_convs"), F.col("conv").alias("conv_id"))
     refined = spread(split).groupBy(*NODE).agg(*[F.first(c).alias(c) for c in ("qx", "qy", "bytes")], F.sum("n_convs").alias("n_convs"), F.min("conv_id").alias("conv_id"))
     zero = F.lit(0).cast("long")
