@@ -22,7 +22,7 @@ from ..sources import store
 from ..sources.tables import shared_dir, stored
 from . import presets, slide_plan
 from ..operators.resample import downsample_mask
-from .queries_raster import ABNORMAL_SQL, EXCLUSION, FIB, FIB_CLUSTER, GRAY, INFLAMM, R, comp_sql, erode_sql, abnormal, hash_sql, m_sql, offsets_table, sized
+from .queries_raster import ABNORMAL_SQL, CLAHE_SQL, EXCLUSION, FIB, FIB_CLUSTER, GRAY, INFLAMM, R, abnormal, area_rows, area_sql, comp_sql, erode_sql, hash_sql, m_sql, offsets_table, sized
 from .raster import GRID_SQL, LAYERS, PIX_SQL, SIDE, large_tiles, layers, mask, pix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,7 +186,10 @@ def _(spark, d):
     return H.background_cluster(pix(spark, d), centers(spark), S, S, equalise=False, max_size=2)
 
 
-@register("h4_background_cluster_equalised")
+EQUAL_SQL = f"{CLAHE_SQL}, cls AS (SELECT slide, y, x, min_by(k, abs(v - c) * 1000 + k) AS class FROM eq, (VALUES {CENTER_VALUES}) t(k, c) GROUP BY ALL)"
+
+
+@register("h4_background_cluster_equalised", f"SELECT slide, y, x FROM {sized('n > 2')}", more=EQUAL_SQL + ", " + comp_sql("(SELECT slide, y, x FROM cls WHERE class = 0)"))
 def _(spark, d):
     return H.background_cluster(pix(spark, d), centers(spark), S, S, max_size=2, grid=8)
 
@@ -267,7 +270,15 @@ def _(spark, d):
     return I.classify_patches(patches, lambda pdf: np.stack([pdf["r"] - 60, pdf["g"] + 0.5, pdf["b"]], 1), 8, 4)
 
 
-@register("i4_score_images")
+#: Images of 50 x 50 with a white border, scored by the mean of 3 x 3 cells, and twice enlarged.
+IMAGES_SQL = (
+    f"{area_sql('ar', S, 50)}, small AS ({area_rows('ar', 'ar')}), "
+    "framed AS (SELECT g.slide, g.y, g.x, coalesce(s.r + s.g + s.b, 765) AS v FROM (SELECT slide, a.i AS y, b.i AS x FROM (SELECT DISTINCT slide FROM pix), range(-1, 51) a(i), range(-1, 51) b(i)) g LEFT JOIN small s ON g.slide = s.slide AND g.y = s.y AND g.x = s.x), "
+    "high AS (SELECT c.slide, c.y, c.x FROM framed c JOIN framed n ON c.slide = n.slide AND abs(c.y - n.y) <= 1 AND abs(c.x - n.x) <= 1 WHERE c.y BETWEEN 0 AND 49 AND c.x BETWEEN 0 AND 49 GROUP BY ALL HAVING sum(n.v) / (255e0 * 27) > 0.5)"
+)
+
+
+@register("i4_score_images", "SELECT slide, CAST(y * 2 + a.i AS INT) AS y, CAST(x * 2 + b.i AS INT) AS x FROM high, range(2) a(i), range(2) b(i)", more=IMAGES_SQL)
 def _(spark, d):
     return I.score_images(pix(spark, d), I.mean_scorer(1), S, S, 50, 10, 2)
 

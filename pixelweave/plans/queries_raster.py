@@ -291,7 +291,21 @@ def _(px):
     return B.class_legend(px.select(F.concat(F.lit("c"), (F.col("r") % 7).cast("string")).alias("class")))
 
 
-@on_pix("b16_clahe")
+#: Equalised gray as ``eq``: clipped histograms of 8 x 8 tiles, 13 cells a side, blended between the four tiles around a cell.
+CLAHE_SQL = (
+    f"gy AS (SELECT slide, y, x, {GRAY} AS v FROM pix), "
+    "hi AS (SELECT slide, y // 13 AS ty, x // 13 AS tx, v, CAST(count(*) AS DOUBLE) AS n FROM gy GROUP BY 1, y // 13, x // 13, v), "
+    "tot AS (SELECT slide, ty, tx, sum(n) AS total, greatest(1e0, 2e0 * sum(n) / 256) AS most FROM hi GROUP BY ALL), "
+    "kp AS (SELECT h.slide, h.ty, h.tx, h.v, h.n, least(h.n, t.most) AS kept, t.total FROM hi h JOIN tot t USING (slide, ty, tx)), "
+    "sp AS (SELECT slide, ty, tx, any_value(total) AS total, sum(n - kept) AS spare FROM kp GROUP BY ALL), "
+    "lk AS (SELECT s.slide, s.ty, s.tx, r.i AS v, 255e0 * sum(coalesce(k.kept, 0e0) + s.spare / 256) OVER (PARTITION BY s.slide, s.ty, s.tx ORDER BY r.i) / s.total AS level FROM sp s CROSS JOIN range(256) r(i) LEFT JOIN kp k ON k.slide = s.slide AND k.ty = s.ty AND k.tx = s.tx AND k.v = r.i), "
+    "pl AS (SELECT slide, y, x, v, floor((y + 5e-1) / 13 - 5e-1) AS y0, floor((x + 5e-1) / 13 - 5e-1) AS x0, (y + 5e-1) / 13 - 5e-1 AS fy, (x + 5e-1) / 13 - 5e-1 AS fx FROM gy), "
+    "cn AS (SELECT slide, y, x, v, y0 + a.i AS ty, x0 + b.i AS tx, (CASE a.i WHEN 1 THEN fy - y0 ELSE 1 - (fy - y0) END) * (CASE b.i WHEN 1 THEN fx - x0 ELSE 1 - (fx - x0) END) AS w FROM pl, range(2) a(i), range(2) b(i)), "
+    "eq AS (SELECT c.slide, c.y, c.x, CAST(floor(sum(c.w * l.level) / sum(c.w) + 5e-1) AS INT) AS v FROM cn c JOIN lk l ON c.slide = l.slide AND c.ty = l.ty AND c.tx = l.tx AND c.v = l.v GROUP BY ALL)"
+)
+
+
+@on_pix("b16_clahe", "SELECT slide, y, x, v FROM eq", CLAHE_SQL)
 def _(px):
     return B.clahe(B.gray(px), S, S, grid=8)
 
