@@ -44,7 +44,7 @@ from .common import remove, shared_dir, store
 from .wordhash import mix, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE, LONG, HOT = "▁", 64, 500_000
+SPACE, LONG, HOT = "▁", 64, 200_000
 #: One unit: spaces with a run of letters, digits or other characters.
 UNIT = re.compile(rf"[ {SPACE}]*+(?:[^\W\d_²]++|\d++|(?:[^\w {SPACE}]|[_²])++)|[ {SPACE}]++")
 UNIT_GROUPS = 10_000  # about as many units are grouped by a task
@@ -173,7 +173,7 @@ class Units:
         return pa.StringArray.from_buffers(len(which), pa.py_buffer(ends), pa.py_buffer(data[ranges(start, size)]))
 
 
-def _text_slices(column: pa.Array, chars: int = 1 << 19) -> Iterator[tuple[int, int, list[str]]]:
+def _text_slices(column: pa.Array, chars: int = 1 << 17) -> Iterator[tuple[int, int, list[str]]]:
     """Runs of rows with about ``chars`` characters, so that memory follows the longest text and not the batch."""
     first, size, held = 0, 0, []
     for i, t in enumerate(column):
@@ -490,9 +490,10 @@ _cache: dict = {}
 
 def _cached(shared, build):
     """One dictionary a worker process, for the broadcast in use."""
-    if _cache.get("of") != id(shared.value):
+    of = hash(tuple(shared.value))  # not its address, which another broadcast may get
+    if _cache.get("of") != of:
         _cache.clear()
-        _cache.update(of=id(shared.value), value=build())
+        _cache.update(of=of, value=build())
     return _cache["value"]
 
 
