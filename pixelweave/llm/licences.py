@@ -1,9 +1,12 @@
 """Licence scan: a trained paragraph classifier with template comparison.
 
-A paragraph is a line, or a notice wrapped over neighbouring lines: every span of
-lines without a blank one between, whose first and last vocabulary n-grams stand
-within ``REACH`` words, is scored as one text too. Of a family's spans in one
-place the shortest is told, by its first line; a line inside a confirmed span of
+A paragraph is a line, or a notice wrapped over neighbouring lines. What is scored
+as one text are spans: from every vocabulary n-gram, wherever it stands in its line,
+all that follow within ``REACH`` words, up to the end of its line and of each line
+after it without a blank one between. A span without confirmation counts only where
+no earlier place of its line holds all of it; a confirmed one doesn't where more
+alike spans of other families hold most of its n-grams. Of a family's spans in one
+place that of fewest lines is told, by its first line; a line inside a confirmed span of
 its family isn't told again. ``n_paragraphs`` counts lines.
 
 Features are the word bigrams and trigrams of a fixed vocabulary (those of the templates that hold an anchor word), so vectors
@@ -167,17 +170,27 @@ def vocabulary_grams(text: Column, vocabulary: list[str]) -> Column:
 
 
 def spans_of_lines(scanned: DataFrame) -> DataFrame:
-    """row, line, end, grams: distinct vocabulary n-grams of each line, and of each span of lines that a wrapped notice may take."""
+    """row, line, end, at, full, places: the vocabulary n-grams (at, gram) from each place that has one, up to ``REACH`` words on and no further than a line ``end`` or a blank line; ``full`` if the place before in the line doesn't reach as far."""
     hits = scanned.where(F.exists("hits", lambda x: x["gram"] != "")).select("row", F.inline("hits"))
-    by_line = hits.groupBy("row", "line").agg(F.array_sort(F.collect_list(F.struct("at", "end", "gram"))).alias("own"))
-    # Each line of a span has a word, so a span has no more lines than words.
-    ahead = Window.partitionBy("row").orderBy("line").rangeBetween(0, REACH)
-    near = by_line.select("row", "line", "own", F.flatten(F.collect_list("own").over(ahead)).alias("near")).where(F.exists("own", lambda x: x["gram"] != ""))
-    first = F.array_min(F.transform(F.filter("own", lambda x: x["gram"] != ""), lambda x: x["at"]))
+    by_word = Window.partitionBy("row").orderBy("at")
+    near = hits.withColumns({"near": F.collect_list(F.struct("at", "end", "gram")).over(by_word.rangeBetween(0, REACH)), "before": F.lag(F.struct("line", "at")).over(by_word)})
+    starts = near.where((F.col("gram") != "") & (F.col("before").isNull() | (F.col("before.at") != F.col("at"))))
     stop = F.coalesce(F.array_min(F.transform(F.filter("near", lambda x: x["gram"] == ""), lambda x: x["end"])), F.lit((1 << 31) - 1))
-    near = near.withColumns({"first": first, "stop": stop}).withColumn("near", F.filter("near", lambda x: (x["gram"] != "") & (x["end"] < F.col("stop")) & (x["at"] <= F.col("first") + REACH)))
-    ends = near.withColumn("end", F.explode(F.array_distinct(F.transform("near", lambda x: x["end"]))))
-    return ends.select("row", "line", "end", F.array_distinct(F.transform(F.filter("near", lambda x: x["end"] <= F.col("end")), lambda x: x["gram"])).alias("grams"))
+    starts = starts.withColumn("stop", stop).withColumn("near", F.filter("near", lambda x: (x["gram"] != "") & (x["end"] < F.col("stop"))))
+    ends = starts.select("row", "line", "at", "before", "near", F.explode(F.array_distinct(F.transform("near", lambda x: x["end"]))).alias("end"))
+    places = F.transform(F.filter("near", lambda x: x["end"] <= F.col("end")), lambda x: F.struct(x["at"].alias("at"), x["gram"].alias("gram")))
+    full = F.col("before").isNull() | (F.col("before.line") != F.col("line")) | (F.array_max("places")["at"] > F.col("before.at") + REACH)
+    return ends.withColumn("places", places).select("row", "line", "end", "at", full.alias("full"), "places")
+
+
+def disowned(compared: DataFrame, near: DataFrame, templates: DataFrame) -> DataFrame:
+    """(row, line, end, at, family) of confirmed spans that hold less than half of their n-grams alone: the others stand in a span of another family that is more alike, as where a span ends before the word that tells two families apart."""
+    key = ["row", "line", "end", "at"]
+    sure = compared.where("confirmed").join(near.select(*key, "places"), key)
+    held = sure.select(*key, "family", F.struct("alike", -F.size("places"), "probability", "family").alias("rank"), F.inline(F.transform("places", lambda x: F.struct(x["at"].alias("place"), x["gram"].alias("gram")))))
+    held = held.join(F.broadcast(templates.select("family", "gram").distinct()), ["family", "gram"])
+    own = (F.max("rank").over(Window.partitionBy("row", "place", "gram"))["family"] == F.col("family")).cast("int")
+    return held.withColumn("own", own).groupBy(*key, "family").agg(F.avg("own").alias("own")).where("own < 0.5").drop("own")
 
 
 def told_once(compared: DataFrame) -> DataFrame:
@@ -211,20 +224,25 @@ def scan_licences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     hits = F.when(any_anchor, vocabulary_grams(body, model["vocabulary"])).otherwise(F.array().cast("array<struct<line:int,end:int,at:int,gram:string>>"))
     scanned = stored(docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.size(F.split(body, "\n")).cast("long").alias("n_paragraphs"), hits.alias("hits")), "paragraphs")
     near = stored(spans_of_lines(scanned), "spans")
-    hits = near.select("row", "line", "end", F.explode("grams").alias("gram"))
+    key, templates = ["row", "line", "end", "at"], template_grams(spark)
+    hits = near.select(*key, "full", F.explode(F.array_distinct(F.transform("places", lambda x: x["gram"]))).alias("gram"))
     k = len(model["families"])
     weights = spark.createDataFrame([(g, *map(float, model["weights"][:, i])) for i, g in enumerate(model["vocabulary"])], "gram string, " + ", ".join(f"w{j} double" for j in range(k)))
-    sums = hits.join(F.broadcast(weights), "gram").groupBy("row", "line", "end").agg(*[F.sum(f"w{j}").alias(f"s{j}") for j in range(k)])
+    sums = hits.join(F.broadcast(weights), "gram").groupBy(*key, "full").agg(*[F.sum(f"w{j}").alias(f"s{j}") for j in range(k)])
     z = F.array(*[(F.col(f"s{j}") + float(model["bias"][j])) / float(model["temperature"]) for j in range(k)])
     e = F.transform("z", lambda x: F.exp(x - F.array_max("z")))
-    scored = sums.select("row", "line", "end", z.alias("z")).withColumn("p", F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
+    scored = sums.select(*key, "full", z.alias("z")).withColumn("p", F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
     best = F.array_max(F.slice("p", 2, k - 1))
     family = F.element_at(F.array(*[F.lit(f) for f in model["families"][1:]]), F.array_position(F.slice("p", 2, k - 1), best).cast("int"))
-    told = scored.select("row", "line", "end", best.alias("probability"), family.alias("family")).where(F.col("probability") >= model["sure"])
-    alike = hits.join(F.broadcast(template_grams(spark)), "gram").groupBy("row", "line", "end", "family", "template").agg((F.count(F.lit(1)) / F.max("size")).alias("alike")).groupBy("row", "line", "end", "family").agg(F.max("alike").alias("alike"))
+    told = scored.select(*key, "full", best.alias("probability"), family.alias("family")).where(F.col("probability") >= model["sure"])
+    alike = hits.join(F.broadcast(templates), "gram").groupBy(*key, "family", "template").agg((F.count(F.lit(1)) / F.max("size")).alias("alike")).groupBy(*key, "family").agg(F.max("alike").alias("alike"))
     alike_or_0 = F.coalesce("alike", F.lit(0.0))
-    compared = told.join(alike, ["row", "line", "end", "family"], "left").select("row", "line", "end", "family", F.round("probability", 4).alias("probability"), F.round(alike_or_0, 4).alias("alike"), (alike_or_0 >= ALIKE).alias("confirmed"))
-    per = told_once(compared).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("line", "end", "family", "probability", "alike", "confirmed"))).alias("found"))
+    compared = told.join(alike, [*key, "family"], "left").select(*key, "full", "family", F.round("probability", 4).alias("probability"), F.round(alike_or_0, 4).alias("alike"), (alike_or_0 >= ALIKE).alias("confirmed"))
+    compared = stored(compared.where(F.col("full") | F.col("confirmed")), "compared")
+    left = compared.join(disowned(compared, near, templates), [*key, "family"], "left_anti")
+    most = F.max_by(F.struct("probability", "alike", "confirmed"), F.struct("confirmed", "alike", -F.col("at")))
+    by_lines = left.groupBy("row", "line", "end", "family").agg(most.alias("most")).select("row", "line", "end", "family", "most.*")
+    per = told_once(by_lines).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("line", "end", "family", "probability", "alike", "confirmed"))).alias("found"))
     none = F.array().cast("array<struct<line:int,end:int,family:string,probability:double,alike:double,confirmed:boolean>>")
     return scanned.select("doc_id", "row", "n_paragraphs").join(per, "row", "left").select("doc_id", "n_paragraphs", F.coalesce("found", none).alias("found"))
 

@@ -355,6 +355,21 @@ def test_licences_of_wrapped_notices(spark, licence_model):
     assert all(r.n_predicted >= r.n_confirmed for r in got.values())
 
 
+def test_licences_anywhere_in_long_lines(spark, licence_model):
+    mit, apache, bsd = "released under the MIT license", "licensed under the Apache License, Version 2.0", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met"
+    cc = "this work is licensed under a creative commons attribution noncommercial 4.0 international license"
+    far = lambda n: " ".join(f"word{i}" for i in range(n))
+    texts = [f"see the mit license {far(60)} {apache}", f"{mit} {far(60)} {apache} {far(3000)} released under the BSD license", f"the mit license {far(60)} {bsd}", f"{mit}, or {apache}"]
+    # Wherever a span from the first words ends, the rest of a notice isn't taken for another family's.
+    texts += [f"released {far(2)} released under {far(n)} {cc} {far(n)} licensed under the GNU lesser general public license" for n in range(28, 50)]
+    texts += [f"{mit} {far(60)} " * 400 + apache]
+    found = licences.scan_licences(table(spark, texts, "row near line gram at full places"), model=licence_model)
+    got = {r.doc_id: r for r in licences.digest(found).collect()}
+    assert [got[i].families for i in range(3)] == ["apache-2.0", "apache-2.0,bsd,mit", "bsd"] and "apache-2.0" in got[3].families
+    assert got[2].paragraphs == "bsd:0" and {got[i].families for i in range(4, 26)} == {"cc-by-nc,lgpl"}
+    assert got[26].paragraphs == "apache-2.0:0,mit:0"
+
+
 def test_licences_of_whole_table(spark, licence_model):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = {r.doc_id: r.families for r in licences.digest(licences.scan_licences(docs, model=licence_model)).collect()}
