@@ -15,7 +15,7 @@ they stand, with the nodes of the last ``longest`` places, by the same rule.
    scores the earliest start wins; characters without a piece fall back to bytes;
 4. units of many texts (at most ``HOT``, by a count threshold) are broadcast to
    the tasks that encode the texts; the others leave holes in the ids, which joins
-   on unit and text fill. Units are told apart by 64-bit hashes there.
+   on unit and text, written one by one, fill. Units are told apart by 64-bit hashes there.
 
 The scores of a BPE model are ranks of merges, not log-probabilities; they are
 read as Zipf log-probabilities, -ln(rank + 1) - ln(ln(size)). A unigram model's
@@ -396,6 +396,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: T
     remove(own, paths.pop("seen"))
     encoded = kept(encode_units(units, table), "encoded")
     least = threshold(units, hot)
+    remove(own, paths.pop("units"))
     found = encoded.where(F.col("n") >= least).select("h", "ids").toArrow().combine_chunks()  # at most ``hot`` rows
     one = lambda c: c.chunk(0) if c.num_chunks else pa.array([], c.type)
     shared = spark.sparkContext.broadcast(Dictionary.of(one(found["h"]).to_numpy(zero_copy_only=False).view(np.uint64), one(found["ids"])))
@@ -424,20 +425,22 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: T
                 whole += len(meet)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), keys, pa.array(meet, pa.binary()), pa.array([packed(x) for x in ids], pa.binary())], ["doc_id", "key", "meet", "coded"])
 
-    missing = kept(keyed.select("key", "t").mapInArrow(wanted, "key binary, h long"), "wanted")
-    met = missing.join(encoded.where(F.col("n") < least).select("h", F.col("ids").alias("own")), "h").groupBy(F.col("key").alias("meet"))
+    # The join and the grouping are written one after the other, so that the shuffles of one are gone when the other begins.
+    missing = keyed.select("key", "t").mapInArrow(wanted, "key binary, h long")
+    met = kept(encoded.where(F.col("n") < least).select("h", F.col("ids").alias("own")).join(missing, "h").select(F.col("key").alias("meet"), "h", "own"), "met")
+    remove(own, paths.pop("encoded"))
     found = F.sort_array(F.collect_set(F.struct("h", "own")))  # copies of a text want the same
-    path = store(met.agg(F.transform(found, lambda x: x["own"]).alias("rare")), "rare", folder)
-    for used in paths.values():  # all that is left to do reads the texts and ``rare``
-        remove(own, used)
-    rare = spark.read.schema("meet binary, rare array<array<int>>").parquet(path)
+    grouped = met.groupBy("meet").agg(F.transform(found, lambda x: x["own"]).alias("rare"))
+    path = store(grouped.mapInArrow(packed_lists, "meet binary, rare binary"), "rare", folder)
+    remove(own, paths.pop("met"))  # all that is left to do reads the texts and ``rare``
+    rare = spark.read.schema("meet binary, rare binary").parquet(path)
     kind = docs.schema[doc_id].dataType.simpleString()
     half = keyed.mapInArrow(first, f"doc_id {kind}, key binary, meet binary, coded binary")
     surfaces = surface_bytes(table) if checked else None
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few_rows(batches):
-            done = [filled(unpacked(memoryview(x.as_buffer())), r) for x, r in zip(batch.column(2), batch.column(3), strict=True)]
+            done = [filled(unpacked(memoryview(x.as_buffer())), unpacked(memoryview(r.as_buffer())) if r.is_valid else None) for x, r in zip(batch.column(2), batch.column(3), strict=True)]
             size = np.array([len(x) for x in done], np.int64)
             ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), np.concatenate(done))
             same = [hashlib.sha256(x[1:] if x[:1] == b" " else x).digest() == h for x, h in zip(decoded(ids.values, size, surfaces), batch.column(1).to_pylist(), strict=True)] if checked else None
@@ -447,11 +450,22 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: T
     return whole.mapInArrow(last, f"doc_id {kind}, text_sha256 string, ids array<int>" + ", round_trip boolean" * checked)
 
 
-def filled(ids: np.ndarray, rare: pa.Scalar) -> np.ndarray:
+def packed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of lists of the second column, each as one: their number, their sizes, and what they hold."""
+    for batch in batches:
+        lists = batch.column(1)
+        number, inner = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten()
+        size, values = pc.list_value_length(inner).to_numpy(zero_copy_only=False).astype(np.int32), inner.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        at, place = np.concatenate([[0], np.cumsum(number)]), np.concatenate([[0], np.cumsum(size)])
+        out = [packed(np.concatenate([np.array([b - a], np.int32), size[a:b], values[place[a] : place[b]]])) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["meet", "rare"])
+
+
+def filled(ids: np.ndarray, rare: np.ndarray | None) -> np.ndarray:
     """``ids`` with each hole -1 - k replaced by the k-th ids of ``rare``."""
-    if not rare.is_valid:
+    if rare is None:
         return ids
-    values, size = rare.values.flatten().to_numpy(), pc.list_value_length(rare.values).to_numpy()
+    size, values = rare[1 : 1 + rare[0]].astype(np.int64), rare[1 + rare[0] :]
     at, hole = np.cumsum(size) - size, ids < 0
     k = -1 - ids[hole]
     wide = np.ones(len(ids), np.int64)

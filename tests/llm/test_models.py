@@ -251,6 +251,23 @@ def test_rare_units_give_the_same_result(spark):
     assert pieces.encode(df.limit(0)).count() == 0
 
 
+def test_tables_go_once_they_are_read(spark, monkeypatch, tmp_path):
+    from pixelweave.llm import common
+
+    seen = {}
+
+    def store(df, tag, folder=None):
+        seen[tag] = sorted(p.name.split("-")[0] for p in tmp_path.iterdir())
+        return common.store(df, tag, str(tmp_path))
+
+    monkeypatch.setattr(pieces, "store", store)
+    df = table(spark, [prose(i, 50) for i in range(9)] + [None, ""])
+    got = {r.doc_id: list(r.ids) for r in pieces.encode(df, hot=5).collect()}
+    assert len(got) == 11 and got[10] == []
+    # What the joins hold on disk at a time: the rare units' ids are joined, then grouped by text.
+    assert seen["met"] == ["encoded"] and seen["rare"] == ["met"] and [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["rare"]
+
+
 def test_units_join_to_the_text_and_hold_no_piece_across():
     for t in ["a b", "  x", "abc123,;", "x" * 200, "\n\n a ", prose(4, 100)]:
         assert "".join(pieces.units_of(t)) == " " + t
