@@ -403,7 +403,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: T
     del found
     pieces = spark.sparkContext.broadcast([(p.replace(SPACE, " "), i, score) for p, i, score in table.pieces])
     rest = (table.longest, table.unknown, table.bytes0)
-    # Texts are known by their SHA-256, so that both passes over them agree however often they run.
+    # Texts are known by their SHA-256 (in the joins by its first 16 bytes), so that both passes over them agree however often they run.
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("key"), body.alias("t"))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +412,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: T
                 u = Units.of(texts)
                 _, order, new = lacking(u, shared.value)
                 if len(order):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(u.text[order[new]])), pa.array(u.hash[order[new]].view(np.int64))], ["key", "h"])
+                    yield pa.RecordBatch.from_arrays([pc.binary_slice(batch.column(0).slice(a, b - a), 0, 16).take(pa.array(u.text[order[new]])), pa.array(u.hash[order[new]].view(np.int64))], ["key", "h"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_, whole = _cached(pieces, lambda: {p: (i, score) for p, i, score in pieces.value}), 0
@@ -421,7 +421,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: T
                 ids, lacks = coded(texts, shared.value, lambda u: best_ids(u, table_, *rest))
                 keys = batch.column(1).slice(a, b - a)
                 # A text that lacks nothing meets no row; numbers in place of keys spread the copies of a hot one.
-                meet = [k if lack else (whole + i).to_bytes(8, "little") for i, (k, lack) in enumerate(zip(keys.to_pylist(), lacks.tolist(), strict=True))]
+                meet = [k[:16] if lack else (whole + i).to_bytes(8, "little") for i, (k, lack) in enumerate(zip(keys.to_pylist(), lacks.tolist(), strict=True))]
                 whole += len(meet)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), keys, pa.array(meet, pa.binary()), pa.array([packed(x) for x in ids], pa.binary())], ["doc_id", "key", "meet", "coded"])
 
