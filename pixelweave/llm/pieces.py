@@ -10,7 +10,8 @@ they stand, with the nodes of the last ``longest`` places, by the same rule.
 
 1. distinct units of the corpus with their counts;
 2. each unit's substrings of bounded length, equi-joined to the piece table
-   (broadcast: its size is the vocabulary's), are the edges of its lattice;
+   (broadcast: its size is the vocabulary's; by 64-bit numbers, then the strings
+   are compared), are the edges of its lattice;
 3. edges grouped by unit are folded by Viterbi with ``aggregate``; of equal
    scores the earliest start wins; characters without a piece fall back to bytes;
 4. units of many texts (at most ``HOT``, by a count threshold) are broadcast to
@@ -118,9 +119,9 @@ _CODE = mix(np.arange(0x3000, dtype=np.uint64)) | np.uint64(1)
 
 
 def _code_hashes(code: np.ndarray) -> np.ndarray:
-    out = _CODE[np.minimum(code, len(_CODE) - 1)]
-    beyond = code >= len(_CODE)
-    if beyond.any():
+    out = np.take(_CODE, code, mode="clip")
+    if len(code) and code.max() >= len(_CODE):
+        beyond = code >= len(_CODE)
         out[beyond] = mix(code[beyond].astype(np.uint64)) | np.uint64(1)
     return out
 
@@ -129,10 +130,20 @@ def run_hashes(code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
     """Hashes of runs of code points, wherever they stand."""
     power, inverse = powers(len(code) + 1)
     sums = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(_code_hashes(code) * power[: len(code)], out=sums[1:])
+    each = _code_hashes(code)
+    each *= power[: len(code)]
+    np.cumsum(each, out=sums[1:])
     return mix((sums[start + size] - sums[start]) * inverse[start] + size.astype(np.uint64))
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes in order, the place of one of each, and how often it comes."""
+    order = np.argsort(h)
+    each = h[order]
+    new = np.flatnonzero(np.append(np.ones(min(1, len(h)), bool), each[1:] != each[:-1]))
+    return each[new], order[new], np.diff(new, append=len(h))
+
+
 def hashes(units: list[str]) -> np.ndarray:
     """The hashes that ``Units`` gives to whole units."""
     size = np.array([len(u) for u in units], np.int64)
@@ -155,7 +166,7 @@ class Units:
         code = np.frombuffer(body.encode("utf-32-le"), np.uint32)
         lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
         ends = np.cumsum(lengths)
-        kind = _classes()[code]
+        kind = np.take(_classes(), code, mode="clip")
         head = np.zeros(len(code), bool)
         head[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
         head[(ends - lengths)[lengths > 0]] = True
@@ -207,8 +218,8 @@ def distinct_units(docs: DataFrame, text: str = "text", merge: int = 200_000, mo
             for _, _, texts in _text_slices(batch.column(0)):
                 u = Units.of(texts)
                 short = np.flatnonzero(u.size <= LONG)
-                h, first, n = np.unique(u.hash[short], return_index=True, return_counts=True)
-                held.append((h, n, u.strings(short[first])))
+                h, one, n = distinct(u.hash[short])
+                held.append((h, n, u.strings(short[one])))
                 if sum(len(x[0]) for x in held) > merge:
                     whole = added()
                     if len(whole[0]) > most:
@@ -258,18 +269,25 @@ def viterbi(edges: Column) -> Column:
     return F.aggregate(edges, start, step, lambda acc: F.element_at(settled(acc), -1)["ids"])
 
 
+def piece_key(piece: Column) -> Column:
+    """A 64-bit number, by which the join finds pieces faster than by strings; the strings are compared after it."""
+    return F.xxhash64(piece)
+
+
 def encode_units(units: DataFrame, table: Table) -> DataFrame:
     """(unit, h, n, ids) from (unit, h, n): the relational lattice of each unit, folded."""
     spark = units.sparkSession
-    pieces = spark.createDataFrame([(p.replace(SPACE, " "), i, score) for p, i, score in table.pieces], "piece string, id int, score double")
+    pieces = spark.createDataFrame([(p.replace(SPACE, " "), i, score) for p, i, score in table.pieces], "piece string, id int, score double").withColumn("key", piece_key(F.col("piece")))
     parts = -(-max(1, units.count()) // UNIT_GROUPS)
     spread = units.repartition(max(parts, 8), "unit")
     # Two explodes and a substring stay inside generated code; a nested transform would not.
     ends = spread.select("unit", "h", "n", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("end"))
     cuts = ends.select("unit", "h", "n", "end", F.explode(F.sequence(F.greatest(F.col("end") - table.longest, F.lit(0)), F.col("end") - 1)).alias("start"))
-    edges = cuts.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("end") - F.col("start"))).join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
-    # An edge without a piece keeps its place as a negative id until its bytes are put in.
-    edge = F.struct("end", "start", F.coalesce("id", -F.col("end")).alias("id"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
+    cuts = cuts.withColumn("cut", F.substring(F.col("unit"), F.col("start") + 1, F.col("end") - F.col("start"))).withColumn("key", piece_key(F.col("cut")))
+    same = F.coalesce(F.col("piece") == F.col("cut"), F.lit(False))
+    edges = cuts.join(F.broadcast(pieces), "key", "left").where(same | (F.col("end") == F.col("start") + 1))
+    # An edge without a piece keeps its place as a negative id until its bytes are put in; beside the character's own piece (where keys meet) it never wins.
+    edge = F.struct("end", "start", F.when(same, F.col("id")).otherwise(-F.col("end")).alias("id"), F.when(same, F.col("score")).otherwise(F.lit(table.unknown)).alias("score"))
     grouped = edges.groupBy("unit", "h", "n").agg(F.collect_list(edge).alias("edges"))
     best = grouped.select("unit", "h", "n", viterbi(F.sort_array("edges")).alias("ids"))
 
@@ -304,7 +322,7 @@ class Dictionary:
     def of(cls, h: np.ndarray, ids: pa.ListArray) -> Dictionary:
         order = np.argsort(h)
         size = pc.list_value_length(ids).to_numpy(zero_copy_only=False)[order]
-        bits = max(1, len(h).bit_length())
+        bits = len(h).bit_length() + 2  # few share their leading bits
         begin = np.searchsorted(h[order], np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
         at = np.concatenate([[0], np.cumsum(size)])
         return cls(h[order], np.append(begin, len(h)).astype(np.int32), 64 - bits, at, ids.take(pa.array(order)).flatten().to_numpy(zero_copy_only=False).astype(np.int32))
@@ -315,14 +333,15 @@ class Dictionary:
         if not len(self.key):
             return out
         top = (h >> np.uint64(self.shift)).astype(np.int64)
-        place, end = self.begin[top], self.begin[top + 1]
+        place, end = self.begin.take(top), self.begin.take(top + 1)
         left = np.flatnonzero(place < end)
+        place, end, h = place[left], end[left], h[left]
         while len(left):
-            hit = self.key[place[left]] == h[left]
-            out[left[hit]] = place[left[hit]]
-            left = left[~hit]
-            place[left] += 1
-            left = left[place[left] < end[left]]
+            hit = self.key.take(place) == h
+            out[left[hit]] = place[hit]
+            place = place + 1
+            more = np.flatnonzero(~hit & (place < end))
+            left, place, end, h = left[more], place[more], end[more], h[more]
         return out
 
 
@@ -369,13 +388,14 @@ def coded(texts: list[str], common: Dictionary, long_ids) -> tuple[list[np.ndarr
 
 
 def packed(ids: np.ndarray) -> bytes:
-    """The number of ids, and their bytes by significance, compressed."""
-    return len(ids).to_bytes(8, "little") + pa.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+    """The least of the ids and 0, and what each is above it, in two bytes where that is enough, else in four."""
+    low = min(0, int(ids.min(initial=0)))
+    wide = int(ids.max(initial=0)) - low > 0xFFFF
+    return low.to_bytes(7, "little", signed=True) + bytes([wide]) + (ids.astype(np.int64) - low).astype(np.uint32 if wide else np.uint16).tobytes()
 
 
 def unpacked(x: memoryview) -> np.ndarray:
-    n = int.from_bytes(x[:8], "little")
-    return np.frombuffer(pa.decompress(pa.py_buffer(x[8:]), 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view(np.int32).ravel()
+    return (np.frombuffer(x[8:], np.uint32 if x[7] else np.uint16).astype(np.int64) + int.from_bytes(x[:7], "little", signed=True)).astype(np.int32)
 
 
 def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: Table | None = None, hot: int = HOT, checked: bool = False) -> DataFrame:

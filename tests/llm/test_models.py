@@ -251,6 +251,31 @@ def test_rare_units_give_the_same_result(spark):
     assert pieces.encode(df.limit(0)).count() == 0
 
 
+def test_pieces_are_found_by_numbers_and_told_apart_by_their_strings(spark, monkeypatch):
+    table_ = pieces.read_model()
+    words = [" internationalization", " naïve", " 東京", " zzq", "123456", "%%%%", " a", "é𝄞", "-"]
+    units = spark.createDataFrame([(w, i, 1) for i, w in enumerate(words)], "unit string, h long, n long")
+    plan = pieces.encode_units(units, table_)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join LeftOuter" in x]
+    assert len(joins) == 1 and joins[0].count("key#") == 2 and " AND " not in joins[0]  # one 64-bit key, no string
+    want = {r.unit: list(r.ids) for r in pieces.encode_units(units, table_).collect()}
+    known = {p.replace("▁", " "): (i, v) for p, i, v in table_.pieces}
+    assert want == {w: pieces.best_ids(w, known, table_.longest, table_.unknown, table_.bytes0).tolist() for w in words}
+    # Hundreds of pieces to a key.
+    monkeypatch.setattr(pieces, "piece_key", lambda piece: pieces.F.xxhash64(piece) % 50)
+    assert {r.unit: list(r.ids) for r in pieces.encode_units(units, table_).collect()} == want
+
+
+def test_packed_ids_take_two_bytes_where_that_is_enough():
+    r = np.random.default_rng(3)
+    for ids in (r.integers(0, 32000, 1000), r.integers(-500, 65000, 1000), np.array([0, 0xFFFF]), np.array([-1, 0xFFFF]), np.array([-(1 << 31), (1 << 31) - 1, -1]), np.array([], np.int64)):
+        x = pieces.packed(ids.astype(np.int32))
+        back = pieces.unpacked(memoryview(x))
+        assert back.dtype == np.int32 and back.tolist() == ids.tolist()
+        two = len(ids) == 0 or max(ids.max(), 0) - min(ids.min(), 0) <= 0xFFFF
+        assert len(x) == 8 + len(ids) * (2 if two else 4)
+
+
 def test_tables_go_once_they_are_read(spark, monkeypatch, tmp_path):
     from pixelweave.llm import common
 
