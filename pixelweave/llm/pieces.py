@@ -32,7 +32,7 @@ import functools
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -197,38 +197,44 @@ def _text_slices(column: pa.Array, chars: int = 1 << 17) -> Iterator[tuple[int,
         yield first, len(column), held
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which its worker, kept for later tasks, gives Arrow's unused memory back: stages without Python run beside it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def distinct_units(docs: DataFrame, text: str = "text", merge: int = 200_000, most: int = 600_000) -> DataFrame:
     """(unit, n) of at most ``LONG`` characters. A task adds up what it has seen, every ``merge`` rows, and gives up to about ``most`` units at a time, so a unit may come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole: tuple | None = None
-        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        whole, held = 0, []  # rows of the first table, where it is a sum; tables of (unit, n)
 
-        def added() -> tuple[np.ndarray, np.ndarray, pa.Array]:
-            rows = [*([whole] if whole else []), *held]
+        def added() -> pa.Table:
+            # In Arrow's memory, which goes back to the system.
+            rows = pa.concat_tables(held).group_by("unit", use_threads=False).aggregate([("n", "sum")])
             held.clear()
-            h, first, which = np.unique(np.concatenate([x[0] for x in rows]), return_index=True, return_inverse=True)
-            n = np.bincount(which, weights=np.concatenate([x[1] for x in rows])).astype(np.int64)
-            return h, n, pa.concat_arrays([x[2] for x in rows]).take(pa.array(first))
-
-        def out(x: tuple) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([x[2], pa.array(x[1])], ["unit", "n"])
+            return rows.select(["unit", "n_sum"]).rename_columns(["unit", "n"])
 
         for batch in batches:
             for _, _, texts in _text_slices(batch.column(0)):
                 u = Units.of(texts)
                 short = np.flatnonzero(u.size <= LONG)
-                h, one, n = distinct(u.hash[short])
-                held.append((h, n, u.strings(short[one])))
-                if sum(len(x[0]) for x in held) > merge:
-                    whole = added()
-                    if len(whole[0]) > most:
-                        yield out(whole)
-                        whole = None
-        if held or whole:
-            yield out(added())
+                _, one, n = distinct(u.hash[short])
+                held.append(pa.table({"unit": u.strings(short[one]), "n": n}))
+                if sum(len(x) for x in held) - whole > merge:
+                    held.append(added())
+                    whole = len(held[0])
+                    if whole > most:
+                        yield from held.pop().to_batches()
+                        whole = 0
+        if held:
+            yield from added().to_batches()
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, "unit string, n long")
+    return docs.select(F.col(text).alias("t")).mapInArrow(tidy(run), "unit string, n long")
 
 
 def counted_units(found: DataFrame) -> DataFrame:
@@ -238,7 +244,7 @@ def counted_units(found: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes(batch.column(0).to_pylist()).view(np.int64)), batch.column(1)], ["unit", "h", "n"])
 
-    return found.groupBy("unit").agg(F.sum("n").alias("n")).mapInArrow(run, "unit string, h long, n long")
+    return found.groupBy("unit").agg(F.sum("n").alias("n")).mapInArrow(tidy(run), "unit string, h long, n long")
 
 
 def viterbi(edges: Column) -> Column:
@@ -277,7 +283,10 @@ def piece_key(piece: Column) -> Column:
 def encode_units(units: DataFrame, table: Table) -> DataFrame:
     """(unit, h, n, ids) from (unit, h, n): the relational lattice of each unit, folded."""
     spark = units.sparkSession
-    pieces = spark.createDataFrame([(p.replace(SPACE, " "), i, score) for p, i, score in table.pieces], "piece string, id int, score double").withColumn("key", piece_key(F.col("piece")))
+    surface, number, score = zip(*table.pieces, strict=True)
+    # From Arrow: rows of Python objects would pass through workers of their own on the executors.
+    local = pa.table({"piece": [p.replace(SPACE, " ") for p in surface], "id": pa.array(number, pa.int32()), "score": pa.array(score, pa.float64())})
+    pieces = spark.createDataFrame(local).withColumn("key", piece_key(F.col("piece")))
     parts = -(-max(1, units.count()) // UNIT_GROUPS)
     spread = units.repartition(max(parts, 8), "unit")
     # Two explodes and a substring stay inside generated code; a nested transform would not.
@@ -446,16 +455,16 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: T
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), keys, pa.array(meet, pa.binary()), pa.array([packed(x) for x in ids], pa.binary())], ["doc_id", "key", "meet", "coded"])
 
     # The join and the grouping are written one after the other, so that the shuffles of one are gone when the other begins.
-    missing = keyed.select("key", "t").mapInArrow(wanted, "key binary, h long")
+    missing = keyed.select("key", "t").mapInArrow(tidy(wanted), "key binary, h long")
     met = kept(encoded.where(F.col("n") < least).select("h", F.col("ids").alias("own")).join(missing, "h").select(F.col("key").alias("meet"), "h", "own"), "met")
     remove(own, paths.pop("encoded"))
     found = F.sort_array(F.collect_set(F.struct("h", "own")))  # copies of a text want the same
     grouped = met.groupBy("meet").agg(F.transform(found, lambda x: x["own"]).alias("rare"))
-    path = store(grouped.mapInArrow(packed_lists, "meet binary, rare binary"), "rare", folder)
+    path = store(grouped.mapInArrow(tidy(packed_lists), "meet binary, rare binary"), "rare", folder)
     remove(own, paths.pop("met"))  # all that is left to do reads the texts and ``rare``
     rare = spark.read.schema("meet binary, rare binary").parquet(path)
     kind = docs.schema[doc_id].dataType.simpleString()
-    half = keyed.mapInArrow(first, f"doc_id {kind}, key binary, meet binary, coded binary")
+    half = keyed.mapInArrow(tidy(first), f"doc_id {kind}, key binary, meet binary, coded binary")
     surfaces = surface_bytes(table) if checked else None
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,7 +476,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: T
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.hex() for x in batch.column(1).to_pylist()]), ids, *([pa.array(same)] if checked else [])], ["doc_id", "text_sha256", "ids", *["round_trip"] * checked])
 
     whole = half.join(rare, "meet", "left").select("doc_id", "key", "coded", "rare")
-    return whole.mapInArrow(last, f"doc_id {kind}, text_sha256 string, ids array<int>" + ", round_trip boolean" * checked)
+    return whole.mapInArrow(tidy(last), f"doc_id {kind}, text_sha256 string, ids array<int>" + ", round_trip boolean" * checked)
 
 
 def packed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

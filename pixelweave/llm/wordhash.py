@@ -36,7 +36,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``n`` powers of an odd base, and those of its inverse."""
     if len(_powers[0]) < n:
         for i, b in enumerate((_BASE, _UNBASE)):
-            p = np.full(max(n, SLICE * 2), b)
+            p = np.full(1 << (n - 1).bit_length(), b)  # as many as are asked for, doubling: each worker keeps them
             p[0] = 1
             _powers[i] = np.multiply.accumulate(p)
     return _powers[0][:n], _powers[1]

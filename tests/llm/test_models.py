@@ -266,6 +266,45 @@ def test_pieces_are_found_by_numbers_and_told_apart_by_their_strings(spark, monk
     assert {r.unit: list(r.ids) for r in pieces.encode_units(units, table_).collect()} == want
 
 
+def test_pieces_need_no_python_workers(spark):
+    units = spark.range(1).selectExpr("' naïve' AS unit", "0L AS h", "1L AS n")
+    plan = pieces.encode_units(units, pieces.read_model())._jdf.queryExecution().optimizedPlan().toString()
+    # Rows of Python objects stand in a plan as an RDD, whose workers stay beside those of the texts.
+    assert "LogicalRDD" not in plan and "ExternalRDD" not in plan and "LocalRelation" in plan
+
+
+def test_units_are_counted_whole_however_often_they_are_added_up(spark):
+    from collections import Counter
+
+    texts = [prose(i % 7, 60) for i in range(30)] + [None, "", "x" * 65, "y" * 63, "東京 é𝄞 ²."]
+    want = Counter(x for t in texts for x in pieces.units_of(t or "") if len(x) <= pieces.LONG)
+    df = table(spark, texts)
+    for merge, most in ((200_000, 600_000), (10, 50), (0, 0)):
+        got = Counter()
+        for r in pieces.distinct_units(df, merge=merge, most=most).collect():
+            got[r.unit] += r.n
+        assert got == want
+
+
+def test_a_worker_keeps_little_memory():
+    # In a process of its own: 131,072 characters, the size of a slice of texts.
+    code = """
+import numpy as np, pyarrow as pa
+from pixelweave.llm import pieces, wordhash
+u = pieces.Units.of(["ab cd " * 21845])
+print(sum(x.nbytes for x in wordhash._powers))
+done = list(pieces.tidy(lambda batches: (b.slice(0, 1) for b in batches))(iter([pa.record_batch({"n": [1, 2]})])))
+print(len(done), done[0].num_rows)
+"""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120, cwd=Path(__file__).parents[2])
+    kept, same = run.stdout.splitlines()
+    assert int(kept) <= 8 << 20 and same == "1 1"  # 32 MB before
+
+
 def test_packed_ids_take_two_bytes_where_that_is_enough():
     r = np.random.default_rng(3)
     for ids in (r.integers(0, 32000, 1000), r.integers(-500, 65000, 1000), np.array([0, 0xFFFF]), np.array([-1, 0xFFFF]), np.array([-(1 << 31), (1 << 31) - 1, -1]), np.array([], np.int64)):
