@@ -12,6 +12,9 @@ from ..operators.resample import build_pyramid
 
 EXTENSIONS = ("ndpi", "svs", "zarr")
 
+#: Image rows of a layer that are written to one file.
+BAND = 1024
+
 
 def catalog_of(files: DataFrame) -> DataFrame:
     """(slide_id, path, ext) of the files whose suffix is known; others are left out."""
@@ -96,8 +99,9 @@ def create_layers(levels: DataFrame, names: list[tuple[str, int]]) -> DataFrame:
 
 
 def write_layer(m: DataFrame, path: str) -> None:
-    """Layers as Parquet by slide and layer; only the partitions at hand are replaced."""
-    m.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slide", "layer").parquet(path)
+    """Layers as Parquet by slide and layer; only the partitions at hand are replaced. A layer of a slide is one file for each band of ``BAND`` image rows, whatever number of tasks makes its cells."""
+    together = m.repartition("slide", "layer", F.floor(F.col("y") / BAND))
+    together.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slide", "layer").parquet(path)
 
 
 def read_layer(spark: SparkSession, path: str, slide: Column | None = None, layer: str | None = None) -> DataFrame:
