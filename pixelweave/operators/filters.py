@@ -30,15 +30,20 @@ def _padded(a: np.ndarray, ry: int, rx: int, touch: Touch, **how) -> np.ndarray:
 
 
 def correlate(a: np.ndarray, wy: np.ndarray, wx: np.ndarray, touch: Touch) -> np.ndarray:
-    """Sum of wy[i] * wx[j] * a[y + i - ry, x + j - rx], mirrored at the image's edges."""
+    """Sum of wy[i] * wx[j] * a[y + i - ry, x + j - rx], mirrored at the image's edges. Some rows at a time, which the CPU's cache holds."""
     a = _padded(a, len(wy) // 2, len(wx) // 2, touch, mode="symmetric")
     h, w = a.shape[0] - len(wy) + 1, a.shape[1] - len(wx) + 1
-    rows = np.zeros((h, a.shape[1]))
-    for i in np.flatnonzero(wy):
-        rows += wy[i] * a[i : i + h]
-    out = np.zeros((h, w))
-    for j in np.flatnonzero(wx):
-        out += wx[j] * rows[:, j : j + w]
+    n = max(1, 32_000 // max(a.shape[1], 1))
+    out, rows, part = np.zeros((h, w)), np.empty((n, a.shape[1])), np.empty((n, a.shape[1]))
+    for y in range(0, h, n):
+        some = out[y : y + n]
+        m = len(some)
+        values = a[y : y + m + len(wy) - 1].astype(float)
+        rows[:] = 0
+        for i in np.flatnonzero(wy):
+            rows[:m] += np.multiply(values[i : i + m], wy[i], out=part[:m])
+        for j in np.flatnonzero(wx):
+            some += np.multiply(rows[:m, j : j + w], wx[j], out=part[:m, :w])
     return out
 
 
@@ -51,16 +56,18 @@ def box_sums(a: np.ndarray, r: int, touch: Touch) -> np.ndarray:
 
 
 def dilated(a: np.ndarray, shape: list[tuple[int, int, int]], touch: Touch) -> np.ndarray:
-    """Cells that the rows (dy, left, right) of a shape reach from a set cell, with no set cell beyond the image. ``shape`` is symmetric."""
+    """Cells that the rows (dy, left, right) of a shape reach from a set cell, with no set cell beyond the image. ``shape`` is symmetric, each row of it around 0."""
     r = max(abs(x) for row in shape for x in row)
     a = _padded(a, r, r, touch, mode="constant")
-    upto = np.zeros((a.shape[0], a.shape[1] + 1), np.int32)
-    np.cumsum(a, axis=1, out=upto[:, 1:])
     h, w = a.shape[0] - 2 * r, a.shape[1] - 2 * r
     out = np.zeros((h, w), bool)
-    for dy, left, right in shape:
-        rows = upto[r + dy : r + dy + h]
-        out |= rows[:, r + right + 1 : r + right + 1 + w] > rows[:, r + left : r + left + w]
+    # Every image row spread to both sides, wider step by step: a row of the shape takes it when it has its width.
+    wide, reach = a[:, r : r + w].copy(), 0
+    for dy, _, right in sorted(shape, key=lambda row: row[2]):
+        for reach in range(reach + 1, right + 1):
+            wide |= a[:, r - reach : r - reach + w]
+            wide |= a[:, r + reach : r + reach + w]
+        out |= wide[r + dy : r + dy + h]
     return out
 
 
@@ -136,6 +143,63 @@ def map_masks(w: DataFrame, masks: list[str], reach: int, height: int, width: in
     return tiled.groupBy("slide", "ty", "tx").applyInArrow(run, f"slide {kind}, y int, x int")
 
 
+def of_block(block: np.ndarray, ty: int, tx: int, side: int, halo: int, reach: int, height: int, width: int, f: Callable) -> np.ndarray:
+    """``f(array, touch)`` over the part of a tile's block (with its halo, which isn't smaller than the reach) that lies in the image: the tile's own (side, side) cells, unset beyond the image."""
+    y0, y1, x0, x1, touch = _region(ty, tx, side, reach, height, width)
+    top, left = ty * side - halo, tx * side - halo
+    found = f(block[y0 - top : y1 - top, x0 - left : x1 - left], touch)
+    own = _own(found, ty, tx, side, y0 if touch[0] else y0 + reach, x0 if touch[2] else x0 + reach)
+    return np.pad(own, ((0, side - own.shape[0]), (0, side - own.shape[1])))
+
+
+def _own(found: np.ndarray, ty: int, tx: int, side: int, y_from: int, x_from: int) -> np.ndarray:
+    """The tile's part of a result that begins at (y_from, x_from)."""
+    return found[ty * side - y_from :, tx * side - x_from :][:side, :side]
+
+
+def map_levels(w: DataFrame, masks: list[str], reach: int, height: int, width: int, f: Callable, out: list[str], tile: int | None = None) -> DataFrame:
+    """(slide, y, w, columns ``out``): words of the cells where ``f(arrays, touch)``, {name: array} shrunk by ``reach``, is true.
+
+    ``w`` (slide, k, y, w, columns ``masks``) has words of levels, a cell of which is k x k cells here, each word of a mask once. One
+    shuffle moves each level's own words; a task enlarges them. A tile's side is a multiple of 64.
+    """
+    side = tile or TILE
+    if side % words.WORD:
+        raise ValueError("words don't fit into the tiles")
+
+    def run(table: pa.Table) -> pa.Table:
+        ty, tx = (table.column(c)[0].as_py() for c in ("ty", "tx"))
+        y0, y1, x0, x1, touch = _region(ty, tx, side, reach, height, width)
+        arrays = {name: np.zeros((y1 - y0, x1 - x0), bool) for name in masks}
+        level, y, at, *bits = (table.column(c).to_numpy() for c in ("k", "y", "w", *masks))
+        for k in np.unique(level).tolist():
+            for name, b in zip(masks, bits):
+                some = np.flatnonzero((level == k) & (b != 0))
+                if len(some):
+                    grid, gy, gx = unpacked(y[some], at[some], b[some])
+                    grid, gy, gx = grid.repeat(k, 0).repeat(k, 1), gy * k, gx * k
+                    top, left = max(gy, y0), max(gx, x0)
+                    part = grid[top - gy : max(y1 - gy, 0), left - gx : max(x1 - gx, 0)]
+                    arrays[name][top - y0 : top - y0 + part.shape[0], left - x0 : left - x0 + part.shape[1]] |= part
+        found = f(arrays, touch)
+        packed = []
+        for name in out:
+            own = _own(found[name], ty, tx, side, y0 if touch[0] else y0 + reach, x0 if touch[2] else x0 + reach)
+            packed.append(np.packbits(np.pad(own, ((0, 0), (0, -own.shape[1] % words.WORD))), axis=1, bitorder="little").view(np.int64))
+        y, at = np.nonzero(np.any(packed, axis=0))
+        slide = pa.array([table.column("slide")[0].as_py()] * len(y), table.schema.field("slide").type)
+        place = {"y": pa.array((y + ty * side).astype(np.int32)), "w": pa.array((at + tx * side // words.WORD).astype(np.int32))}
+        return pa.table({"slide": slide, **place, **{n: pa.array(b[y, at]) for n, b in zip(out, packed)}})
+
+    k = F.col("k")
+    first = F.col("w") * words.WORD * k
+    span = lambda low, high, n: F.sequence(F.greatest(F.lit(0), F.floor((low - reach) / side).cast("int")), F.least(F.lit((n - 1) // side), F.floor((high + reach) / side).cast("int")))
+    tiled = w.where((F.col("y") >= 0) & (F.col("y") * k < height) & (F.col("w") >= 0) & (first < width)).withColumn("ty", F.explode(span(F.col("y") * k, F.least(F.col("y") * k + k - 1, F.lit(height - 1)), height)))
+    tiled = tiled.withColumn("tx", F.explode(span(first, F.least(first + k * words.WORD - 1, F.lit(width - 1)), width)))
+    kind = w.schema["slide"].dataType.simpleString()
+    return tiled.groupBy("slide", "ty", "tx").applyInArrow(run, f"slide {kind}, y int, w int, " + ", ".join(f"{n} long" for n in out))
+
+
 def separable(v: DataFrame, wy: np.ndarray, wx: np.ndarray, height: int, width: int, tile: int | None = None) -> DataFrame:
     """(slide, y, x, v): weighted sums, for the cells with a present pixel among those that have a weight."""
     reach = max(len(wy), len(wx)) // 2

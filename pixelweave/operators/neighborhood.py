@@ -187,23 +187,27 @@ def median_mask(m: DataFrame, k: int, height: int, width: int) -> DataFrame:
     return rows.groupBy("slide", "x").applyInPandas(sums(height, "y", "x"), schema).where(F.col("n") * 2 > k * k).select(*KEY)
 
 
-def shell_words(masks: dict[str, DataFrame], inner: int, outer: int, height: int, width: int, nested: bool = False, sigma: float | None = 2.0) -> DataFrame:
-    """Pixels of the shell of mask ``m`` without ``nuclei`` and within ``within``, as far as given, all in words. All steps run over one tile and its margin."""
-    names, small, large = list(masks), disk(inner), disk(outer)
-    w = np.ones(1) if sigma is None else weights(sigma)
+def shell_array(given: dict[str, np.ndarray], inner: int, outer: int, nested: bool, w: np.ndarray | None, touch: filters.Touch) -> np.ndarray:
+    """The shell of the array ``m`` without ``nuclei`` and within ``within``, as far as given, smoothed by the weights."""
+    core = filters.eroded(given["m"], disk(inner), touch)
+    grown = filters.dilated(core if nested else filters.inner(given["m"], inner, touch), disk(outer), touch)
+    out = grown & ~filters.inner(core, outer, touch)
+    if "nuclei" in given:
+        out &= ~filters.inner(given["nuclei"], inner + outer, touch)
+    if "within" in given:
+        out &= filters.inner(given["within"], inner + outer, touch)
+    if w is None:
+        return out
+    # Above 0.5 when rounded to nine digits.
+    return filters.correlate(out, w, w, touch) * 1e9 > 5e8 + 0.5 if out.any() else filters.inner(out, len(w) // 2, touch)
 
-    def ring(arrays: list[np.ndarray], touch) -> np.ndarray:
-        given = dict(zip(names, arrays))
-        core = filters.eroded(given["m"], small, touch)
-        grown = filters.dilated(core if nested else filters.inner(given["m"], inner, touch), large, touch)
-        out = grown & ~filters.inner(core, outer, touch)
-        if "nuclei" in given:
-            out &= ~filters.inner(given["nuclei"], inner + outer, touch)
-        if "within" in given:
-            out &= filters.inner(given["within"], inner + outer, touch)
-        return out if sigma is None else filters.correlate(out, w, w, touch).round(9) > 0.5
 
-    return filters.map_masks(words.joined(masks), names, inner + outer + len(w) // 2, height, width, ring)
+def shell_words(masks: dict[str, DataFrame], inner: int, outer: int, height: int, width: int, nested: bool = False, sigma: float | None = 2.0) -> DataFrame:
+    """Pixels of the shell of mask ``m`` without ``nuclei`` and within ``within``, as far as given, all in words. All steps run over one tile and its margin."""
+    names = list(masks)
+    w = None if sigma is None else weights(sigma)
+    reach = inner + outer + (0 if w is None else len(w) // 2)
+    return filters.map_masks(words.joined(masks), names, reach, height, width, lambda arrays, touch: shell_array(dict(zip(names, arrays)), inner, outer, nested, w, touch))
 
 
 def shell(m: DataFrame, nuclei: DataFrame | None, inner: int, outer: int, height: int, width: int, nested: bool = False, within: DataFrame | None = None, sigma: float | None = 2.0) -> DataFrame:
@@ -285,9 +289,14 @@ def edge_band(m: DataFrame, height: int, width: int, n: int = 2) -> DataFrame:
     return minus(from_runs(runs), m)
 
 
-def spread_by(runs: DataFrame, radius: Column, height: int, width: int) -> DataFrame:
-    """Union of disks whose radius is a column of the runs."""
+def spread_runs(runs: DataFrame, radius: Column, height: int, width: int) -> DataFrame:
+    """The rows of disks whose radius is a column of the runs, as they overlap."""
     r = radius.cast("int")
     rows = runs.withColumn("r", r).select("slide", "y", "x0", "x1", "r", F.explode(F.sequence(-F.col("r"), F.col("r"))).alias("dy"))
     reach = F.floor(F.sqrt(F.col("r") * F.col("r") - F.col("dy") * F.col("dy"))).cast("int")
-    return merge_runs(clip_runs(rows.select("slide", (F.col("y") + F.col("dy")).alias("y"), (F.col("x0") - reach).alias("x0"), (F.col("x1") + reach).alias("x1")), height, width))
+    return clip_runs(rows.select("slide", (F.col("y") + F.col("dy")).alias("y"), (F.col("x0") - reach).alias("x0"), (F.col("x1") + reach).alias("x1")), height, width)
+
+
+def spread_by(runs: DataFrame, radius: Column, height: int, width: int) -> DataFrame:
+    """Union of disks whose radius is a column of the runs."""
+    return merge_runs(spread_runs(runs, radius, height, width))

@@ -9,7 +9,7 @@ from ..sources.tables import stored
 from . import words
 from .algebra import minus
 from .components import label_words
-from .neighborhood import SQUARE_4, close_, complement_runs, from_runs, gauss_threshold_runs, spread_by, to_runs
+from .neighborhood import SQUARE_4, close_, complement_runs, from_runs, gauss_threshold_runs, spread_by, spread_runs, to_runs
 from .patches import hashed
 from .pixels import KEY
 from .resample import downsample_mask
@@ -52,6 +52,23 @@ def scaled_dilation(m: DataFrame, height: int, width: int, base: int = 5) -> Dat
     return minus(from_runs(spread_by(with_size, F.lit(base) + F.floor(F.log1p(2500.0 * F.col("size"))), height, width)), m)
 
 
+def of_size_at_least(w: DataFrame, size: int, width: int) -> DataFrame:
+    """(slide, y, x0, x1, label, size): runs of the 4-connected objects of a mask in words that have at least ``size`` cells."""
+    runs = stored(label_words(w, width, 4), "objects")
+    return runs.join(sizes(runs).where(F.col("size") >= size), ["slide", "label"])
+
+
+def holes_of_less(w: DataFrame, area: int, height: int, width: int) -> DataFrame:
+    """Words of the 4-connected background components of fewer than ``area`` cells."""
+    holes = stored(label_words(words.complement(w, height, width), width, 4), "holes")
+    return words.from_runs(holes.join(sizes(holes).where(F.col("size") < area), ["slide", "label"], "left_semi"))
+
+
+def scaled_rings(runs: DataFrame, height: int, width: int, base: int = 5) -> DataFrame:
+    """Words of the rings around objects (runs with ``size``): dilation by base + int(ln(1 + 2500 * size)), with the source."""
+    return words.from_runs(spread_runs(runs, F.lit(base) + F.floor(F.log1p(2500.0 * F.col("size"))), height, width))
+
+
 def filter_fibrosis(m: DataFrame, max_size: int, width: int, block: int | None = None) -> DataFrame:
     """Pixels with ``kept``: whether their 8-connected object (cut at blocks, if given) has more than ``max_size`` pixels."""
     runs = label_runs(m, width, 8, block)

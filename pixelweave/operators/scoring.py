@@ -44,10 +44,14 @@ def mean_scorer(reach: int = 1) -> Scorer:
     """Mean of all channels over the (2 reach + 1) square, divided by 255; zeros beyond the block."""
 
     def run(block: np.ndarray) -> np.ndarray:
-        v = np.pad(block.sum(axis=2), reach)
-        n = 2 * reach + 1
-        s = np.pad(v.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-        out = s[n:, n:] - s[:-n, n:] - s[n:, :-n] + s[:-n, :-n]
+        n, (h, w) = 2 * reach + 1, block.shape[:2]
+        s = np.zeros((h + n, w + n))
+        s[reach + 1 : reach + 1 + h, reach + 1 : reach + 1 + w] = block.sum(axis=2) if block.shape[2] > 1 else block[:, :, 0]
+        np.cumsum(s, axis=0, out=s)
+        np.cumsum(s, axis=1, out=s)
+        out = s[n:, n:] - s[:-n, n:]
+        out -= s[n:, :-n]
+        out += s[:-n, :-n]
         return out / (255.0 * block.shape[2] * n * n)
 
     return run

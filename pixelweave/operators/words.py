@@ -116,6 +116,14 @@ def joined(parts: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy(*PLACE).agg(*[F.bit_or(n).alias(n) for n in parts])
 
 
+def complement(words: DataFrame, height: int, width: int) -> DataFrame:
+    """(slide, y, w, bits): the unset cells of the extent of each slide that has a row."""
+    first = F.col("w") * WORD
+    every = words.select("slide").distinct().select("slide", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("slide", "y", F.explode(F.sequence(F.lit(0), F.lit((width - 1) // WORD))).alias("w"))
+    both = joined({"every": every.select(*PLACE, span(F.lit(0), F.least(F.lit(WORD - 1), F.lit(width - 1) - first)).alias("bits")), "set": words})
+    return both.select(*PLACE, F.col("every").bitwiseAND(F.bitwise_not("set")).alias("bits")).where("bits != 0")
+
+
 def surface(words: DataFrame, height: int, width: int) -> DataFrame:
     """Set cells with an unset one above, below, left or right of them; cells at the image's border are part of it.
 

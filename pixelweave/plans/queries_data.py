@@ -19,7 +19,7 @@ from ..operators import votes as J
 from ..operators.pixels import KEY
 from ..sources import slides as A
 from ..sources import store
-from ..sources.tables import shared_dir, stored
+from ..sources.tables import shared_dir
 from . import presets, slide_plan
 from ..operators.resample import downsample_mask
 from .queries_raster import ABNORMAL_SQL, CLAHE_SQL, EXCLUSION, FIB, FIB_CLUSTER, GRAY, INFLAMM, R, abnormal, area_rows, area_sql, comp_sql, erode_sql, hash_sql, m_sql, offsets_table, sized
@@ -239,7 +239,7 @@ def _(spark, d):
 def channel_scorer(weights: tuple[float, float, float], reach: int) -> I.Scorer:
     """Weighted channels, smoothed over a square: what stands for a model in the query below."""
     smooth = I.mean_scorer(reach)
-    return lambda block: smooth((block * weights).sum(axis=2, keepdims=True))
+    return lambda block: smooth((block @ np.array(weights))[:, :, None])
 
 
 #: A scorer and its threshold for each layer.
@@ -255,8 +255,7 @@ SCORERS = {
 @register("slide_pipeline")
 def _(spark, d):
     """Slides of 1,000 x 1,000 cells from their pixels to their scores, with the objects' own sizes."""
-    tiled = stored(large_tiles(pix(spark, d)), "tiles")
-    return slide_plan.slide_scores(tiled, 10 * S, 10 * S, 256, SCORERS, slide_plan.Sizes(fill=11, shrink=8, erode=3, halo=32, block=500))
+    return slide_plan.slide_scores(large_tiles(pix(spark, d)), 10 * S, 10 * S, 256, SCORERS, slide_plan.Sizes(fill=11, shrink=8, erode=3, halo=32, block=500))
 
 
 @register("i2_score_tiles_no_halo", f"SELECT slide, y, x FROM pix WHERE CAST(255 - {GRAY} AS DOUBLE) / 255 > 0.6")

@@ -7,13 +7,13 @@ Scorers stand for the segmentation models: functions of an array with its halo.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import algebra, components, filters, neighborhood, objects, tiles, words
-from ..operators.resample import upsample_runs
+from ..operators import algebra, filters, neighborhood, objects, tiles, words
 from ..operators.scoring import Scorer
 from ..sources.tables import stored
 from . import presets
@@ -45,52 +45,79 @@ def foreground(a: np.ndarray, white: int) -> np.ndarray:
 
 def pale(a: np.ndarray, saturation: int, value: int) -> np.ndarray:
     """Pale and bright cells, by saturation and value on 0..255."""
-    a = a.astype(np.int64)
-    v, low = a.max(axis=2), a.min(axis=2)
-    return (np.where(v == 0, 0, np.floor((v - low) * 255.0 / np.maximum(v, 1) + 0.5)) < saturation) & (v > value)
+    v, low = (reduce(f, (a[:, :, i] for i in range(a.shape[2]))).astype(np.int32) for f in (np.maximum, np.minimum))
+    # floor((v - low) * 255 / v + 0.5) < saturation, in whole numbers.
+    return np.where(v == 0, saturation > 0, (v - low) * 510 < (2 * saturation - 1) * v) & (v > value)
 
 
-def enlarged(w: DataFrame, k: int) -> DataFrame:
-    return words.from_runs(upsample_runs(words.to_runs(w), k, k))
+def level_masks(level1: DataFrame, height: int, width: int, side: int, scorers: dict[str, tuple[Scorer, float]], sizes: Sizes) -> DataFrame:
+    """(slide, k, y, w, tissue, background, cortex, tubule, cap, vessel, nuclei): what follows from a tile and its neighbours, each layer at its own level (cells of k x k), in one pass over the pixels."""
+    s = sizes
+    close = s.fill + s.shrink + s.erode
+
+    def tissue(a: np.ndarray, touch) -> np.ndarray:
+        filled = filters.eroded(filters.dilated(foreground(a, s.white), neighborhood.disk(s.fill), touch), neighborhood.disk(s.shrink), touch)
+        return filters.eroded(filled, neighborhood.disk(s.erode), touch)
+
+    def clean(a: np.ndarray, touch) -> np.ndarray:
+        out = pale(a, s.saturation, s.value)
+        for step in (filters.eroded, filters.dilated, *[filters.dilated] * 3, *[filters.eroded] * 3):
+            out = step(out, neighborhood.ELLIPSE_5, touch)
+        return out
 
+    def level(k: int, reaches: dict[str, tuple[int, object]], scored: list[str]) -> tuple[int, dict]:
+        n, h, w = side // k, height // k, width // k
+        around = min(s.halo, n)
+        halo = max(around, *(r for r, _ in reaches.values()), 0) if reaches else around
 
-def without_small(w: DataFrame, width: int, size: int) -> DataFrame:
-    """4-connected objects of at least ``size`` cells."""
-    runs = stored(components.label_words(w, width, 4), "objects")
-    big = objects.sizes(runs).where(F.col("size") >= size)
-    return words.from_runs(runs.join(big, ["slide", "label"], "left_semi"))
+        def of(name: str):
+            scorer, t = scorers[name]
+            cut = slice(halo - around, halo + n + around)
+            return lambda block, ty, tx: scorer(block[cut, cut].astype(float))[around : around + n, around : around + n] > t
 
+        parts = {name: (lambda block, ty, tx, r=r, f=f: filters.of_block(block, ty, tx, n, halo, r, h, w, f)) for name, (r, f) in reaches.items()}
+        return halo, parts | {name: of(name) for name in scored}
 
-def masks(level1: DataFrame, height: int, width: int, side: int, scorers: dict[str, tuple[Scorer, float]], sizes: Sizes) -> DataFrame:
-    """(slide, y, w, one column a layer) at the finest level: tissue, background, cortex, tubule, cap, vessel, vessel_dilated, nuclei, as the pipeline has them before restriction."""
-    level2 = tiles.coarser(level1)
-    level3 = tiles.coarser(level2)
-    h2, w2, h3, w3 = height // 2, width // 2, height // 4, width // 4
-    s = sizes
+    # Where the steps of the foreground reach further than a tile of its level, they follow on its words.
+    wide = close > side // 4
+    ground = (0, lambda a, touch: foreground(a, s.white)) if wide else (close, tissue)
+    found = stored(tiles.layers(level1, {1: level(1, {"background": (16, clean)}, ["nuclei"]), 2: level(2, {}, ["tubule", "cap", "vessel"]), 4: level(4, {"tissue": ground}, ["cortex"])}, height, width, side), "layers")
+    if not wide:
+        return found
+    h, w = height // 4, width // 4
 
-    def tissue(a: list[np.ndarray], touch) -> np.ndarray:
+    def grown(a: list[np.ndarray], touch) -> np.ndarray:
         filled = filters.eroded(filters.dilated(a[0], neighborhood.disk(s.fill), touch), neighborhood.disk(s.shrink), touch)
         return filters.eroded(filled, neighborhood.disk(s.erode), touch)
 
-    def clean(a: list[np.ndarray], touch) -> np.ndarray:
-        out = a[0]
-        for step in (filters.eroded, filters.dilated, *[filters.dilated] * 3, *[filters.eroded] * 3):
-            out = step(out, neighborhood.ELLIPSE_5, touch)
-        return out
+    done = words.from_pixels(filters.map_masks(layer(found, 4, "tissue"), ["bits"], close, h, w, grown))
+    return found.withColumn("tissue", F.lit(0).cast("long")).unionByName(at_level(done, 4, "tissue", found.columns))
+
+
+def layer(found: DataFrame, k: int, name: str) -> DataFrame:
+    """Words of one layer."""
+    return found.where((F.col("k") == k) & (F.col(name) != 0)).select(*words.PLACE, F.col(name).alias("bits"))
+
 
-    white, saturation, value = s.white, s.saturation, s.value
-    ground = filters.map_masks(tiles.mask(level3, lambda a: foreground(a, white), h3, w3), ["bits"], s.fill + s.shrink + s.erode, h3, w3, tissue)
-    background = filters.map_masks(tiles.mask(level1, lambda a: pale(a, saturation, value), height, width), ["bits"], 16, height, width, clean)
-    score = lambda name, level, h, w, n: tiles.score(level, scorers[name][0], h, w, n, min(s.halo, n), scorers[name][1])
-    cap = without_small(score("cap", level2, h2, w2, side // 2), w2, s.small)
-    cap = words.from_pixels(objects.fill_small_holes(stored(words.to_pixels(cap), "cap"), s.hole, h2, w2))
-    vessel = stored(without_small(score("vessel", level2, h2, w2, side // 2), w2, s.small), "vessel")
-    ring = words.from_pixels(objects.scaled_dilation(words.to_pixels(vessel), h2, w2, s.ring))
-    return words.joined({
-        "tissue": enlarged(words.from_pixels(ground), 4), "background": words.from_pixels(background), "cortex": enlarged(score("cortex", level3, h3, w3, side // 4), 4),
-        "tubule": enlarged(score("tubule", level2, h2, w2, side // 2), 2), "cap": enlarged(cap, 2), "vessel": enlarged(vessel, 2), "vessel_dilated": enlarged(ring, 2),
-        "nuclei": score("nuclei", level1, height, width, side),
-    })
+def at_level(w: DataFrame, k: int, name: str, columns: list[str]) -> DataFrame:
+    """Words of one mask as rows of a table with a column for each layer."""
+    zero = F.lit(0).cast("long")
+    return w.select([F.lit(k).alias("k") if c == "k" else F.col(c) if c in words.PLACE else (F.col("bits") if c == name else zero).alias(c) for c in columns])
+
+
+def masks(level1: DataFrame, height: int, width: int, side: int, scorers: dict[str, tuple[Scorer, float]], sizes: Sizes) -> DataFrame:
+    """(slide, k, y, w, one column a layer): tissue, background, cortex, tubule, cap, vessel, vessel_dilated, nuclei, as the pipeline has them before restriction, each at its own level."""
+    s, zero = sizes, F.lit(0).cast("long")
+    h, w = height // 2, width // 2
+    found = level_masks(level1, height, width, side, scorers, s)
+    cap = stored(words.from_runs(objects.of_size_at_least(layer(found, 2, "cap"), s.small, w)), "cap")
+    vessel = stored(objects.of_size_at_least(layer(found, 2, "vessel"), s.small, w), "vessel")
+    found = found.withColumns({"cap": zero, "vessel": zero, "vessel_dilated": zero})
+    filled = cap.unionByName(objects.holes_of_less(cap, s.hole, h, w)).groupBy(*words.PLACE).agg(F.bit_or("bits").alias("bits"))
+    more = [(filled, "cap"), (words.from_runs(vessel), "vessel"), (objects.scaled_rings(vessel, h, w, s.ring), "vessel_dilated")]
+    for bits, name in more:
+        found = found.unionByName(at_level(bits, 2, name, found.columns))
+    return found
 
 
 def slide_scores(level1: DataFrame, height: int, width: int, side: int, scorers: dict[str, tuple[Scorer, float]], sizes: Sizes | None = None) -> DataFrame:
@@ -99,11 +126,20 @@ def slide_scores(level1: DataFrame, height: int, width: int, side: int, scorers:
     ``scorers`` gives a scorer and its threshold for cortex, cap, tubule, vessel and nuclei.
     """
     s = sizes or Sizes()
-    found = stored(masks(level1, height, width, side, scorers, s), "masks")
-    cut = algebra.structures(found)
-    one = lambda name: cut.select(*words.PLACE, F.col(name).alias("bits")).where("bits != 0")
-    membrane, capsule = (words.from_pixels(neighborhood.shell_words({"m": one(m), "nuclei": one("nuclei")}, *radii, height, width, nested=m == "tubule")) for m, radii in (("tubule", s.membrane), ("cap", s.capsule)))
-    parts = {n: found.select(*words.PLACE, F.col(n).alias("bits")) for n in found.columns if n not in words.PLACE} | {"tbm": membrane, "bc": capsule}
+    found = masks(level1, height, width, side, scorers, s)
+    names = [c for c in found.columns if c not in (*words.PLACE, "k")]
+    smooth = neighborhood.weights(2.0)
+    reach = {m: sum(radii) + len(smooth) // 2 for m, radii in (("tubule", s.membrane), ("cap", s.capsule))}
+    most = max(reach.values())
+
+    def shells(a: dict[str, np.ndarray], touch) -> dict[str, np.ndarray]:
+        """All layers, the dilated vessel without the vessel, and the shells of tubule and cap as they are after restriction."""
+        keep = a["cortex"] & ~a["background"]
+        of = {"tubule": a["tubule"] & keep, "cap": a["cap"] & keep & ~a["tubule"]}
+        shell = lambda m, radii: neighborhood.shell_array({n: filters.inner(x, most - reach[m], touch) for n, x in (("m", of[m]), ("nuclei", a["nuclei"]))}, *radii, m == "tubule", smooth, touch)
+        own = {n: filters.inner(x, most, touch) for n, x in a.items()}
+        return own | {"vessel_dilated": own["vessel_dilated"] & ~own["vessel"], "tbm": shell("tubule", s.membrane), "bc": shell("cap", s.capsule)}
+
+    stacked = filters.map_levels(found, names, most, height, width, shells, [*names, "tbm", "bc"])
     zero = F.lit(0).cast("long")
-    stacked = words.joined(parts).withColumns({n: zero for n in algebra.LAYERS if n not in parts})
-    return presets.scores_of_stack(stacked, s.block, "final", s.drop_up_to)
+    return presets.scores_of_stack(stacked.withColumns({n: zero for n in algebra.LAYERS if n not in stacked.columns}), s.block, "final", s.drop_up_to)
