@@ -255,7 +255,7 @@ SCORERS = {
 @register("slide_pipeline")
 def _(spark, d):
     """Slides of 1,000 x 1,000 cells from their pixels to their scores, with the objects' own sizes."""
-    return slide_plan.slide_scores(large_tiles(pix(spark, d)), 10 * S, 10 * S, 256, SCORERS, slide_plan.Sizes(fill=11, shrink=8, erode=3, halo=32, block=500))
+    return slide_plan.slide_scores(large_tiles(pix(spark, d, ("slide",))), 10 * S, 10 * S, 256, SCORERS, slide_plan.Sizes(fill=11, shrink=8, erode=3, halo=32, block=500))
 
 
 @register("i2_score_tiles_no_halo", f"SELECT slide, y, x FROM pix WHERE CAST(255 - {GRAY} AS DOUBLE) / 255 > 0.6")

@@ -42,12 +42,12 @@ PIX_SQL = f"""pix AS (
 GRID_SQL = f"grid AS (SELECT slide, CAST(a.i AS INT) AS y, CAST(b.i AS INT) AS x FROM (SELECT DISTINCT slide FROM pix), range({SIDE}) a(i), range({SIDE}) b(i))"
 
 
-def pix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(slide, y, x, r, g, b). An image row lies in one partition, so what groups cells by (slide, y) and more needs no further shuffle."""
+def pix(spark: SparkSession, sf_dir: str, together: tuple[str, ...] = ("slide", "y")) -> DataFrame:
+    """(slide, y, x, r, g, b). What has the same ``together``, an image row or a whole slide, lies in one partition, so what groups cells by it and more needs no further shuffle."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     place = [F.floor(F.col("l_suppkey") / SUPPLIERS).cast("int").alias("slide"), *[(F.col(c) % SIDE).cast("int").alias(a) for c, a in (("l_orderkey", "y"), ("l_partkey", "x"))]]
     value = lambda c: F.round(c).cast("int")
-    rows = lines.select(*place, "l_quantity", "l_discount").repartition("slide", "y")
+    rows = lines.select(*place, "l_quantity", "l_discount").repartition(*together)
     return rows.groupBy(*KEY).agg(value(F.max(F.col("l_quantity") * 5)).alias("r"), value(F.min(F.col("l_quantity") * 5)).alias("g"), value(F.max(F.col("l_discount") * 2000)).alias("b"))
 
 
